@@ -42,8 +42,8 @@ def query(cols: str, oracle: str | None = None, name: str | None = None,
 
         QUERIES[key] = run
         if oracle is not None:
-            parts = [f"round(CAST({c} AS DOUBLE), {int(t[1:] or 6)}) + 0.0::DOUBLE AS {c}"
-                     if t.startswith("d") else f"CAST({c} AS {_SQL[t]}) AS {c}" for c, t in spec]
+            parts = [f'round(CAST("{c}" AS DOUBLE), {int(t[1:] or 6)}) + 0.0::DOUBLE AS "{c}"'
+                     if t.startswith("d") else f'CAST("{c}" AS {_SQL[t]}) AS "{c}"' for c, t in spec]
             ORACLES[key] = with_views(f"SELECT {', '.join(parts)} FROM (\n{oracle}\n) AS result", views)
         return fn
 
