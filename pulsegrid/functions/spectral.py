@@ -1,0 +1,105 @@
+"""Arrow-batched FFTs over sparse binned series, and column expressions over power arrays.
+
+Series of the same length in a batch are stacked and transformed in one call; everything after the
+transform (band search, noise floor, overtones) stays in the JVM.
+"""
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+
+def tukey(n: int, alpha: float = 0.25) -> np.ndarray:
+    """Tapered-cosine window, periodic form."""
+    k = np.arange(n)
+    edge = alpha * n / 2.0
+    w = np.ones(n)
+    left, right = k < edge, k > n - edge
+    w[left] = 0.5 * (1 + np.cos(np.pi * (k[left] / edge - 1)))
+    w[right] = 0.5 * (1 + np.cos(np.pi * ((k[right] - n) / edge + 1)))
+    return w
+
+
+def transform_rows(sig: np.ndarray, kind: str, highpass_len: int = 0) -> np.ndarray:
+    """Spectra of equal-length rows.
+
+    ``power``: squared one-sided amplitude with a symmetric Hann window; ``raw``: |X|^2 and
+    ``magnitude``: |X| with the same window; ``segment``: |X|^2 / (sum w)^2 with a Tukey window.
+    """
+    n = sig.shape[1]
+    if 0 < highpass_len < n:
+        box = np.ones(highpass_len) / highpass_len
+        sig = sig - np.stack([np.convolve(r, box, mode="same") for r in sig])
+    else:
+        sig = sig - sig.mean(axis=1, keepdims=True)
+    if kind == "segment":
+        w = tukey(n)
+        return (np.abs(np.fft.rfft(sig * w, axis=1)) / w.sum()) ** 2
+    spec = np.abs(np.fft.rfft(sig * np.hanning(n), axis=1))
+    if kind == "magnitude":
+        return spec
+    if kind == "raw":
+        return spec ** 2
+    spec /= n
+    if spec.shape[1] > 2:
+        spec[:, 1:-1] *= 2.0
+    return spec ** 2
+
+
+def power_udf(kind: str = "power", highpass_len: int = 0, min_len: int = 8):
+    """UDF (bins array, counts array, n) -> spectrum array; null below ``min_len`` samples."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(bins: pd.Series, counts: pd.Series, n: pd.Series) -> pd.Series:
+        by_len = defaultdict(list)
+        for i, k in enumerate(n):
+            if not pd.isna(k) and k >= min_len:
+                by_len[int(k)].append(i)
+        out: list = [None] * len(n)
+        for length, rows in by_len.items():
+            for s in range(0, len(rows), 256):
+                part = rows[s:s + 256]
+                sig = np.zeros((len(part), length))
+                for j, i in enumerate(part):
+                    np.add.at(sig[j], np.asarray(bins.iloc[i], np.int64), np.asarray(counts.iloc[i], float))
+                for j, row in zip(part, transform_rows(sig, kind, highpass_len)):
+                    out[j] = row
+        return pd.Series(out, index=n.index)
+
+    return run
+
+
+def array_median(a: Column) -> Column:
+    s, n = F.sort_array(a), F.size(a)
+    mid = (F.element_at(s, F.floor((n + 1) / 2).cast("int"))
+           + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2.0
+    return F.when(n > 0, mid)
+
+
+def band_slice(power: Column, df: Column, fmin: float, fmax: float) -> tuple[Column, Column]:
+    """Slice of ``power`` with fmin <= i * df <= fmax, and the index of its first element."""
+    lo = F.ceil(fmin / df - 1e-9).cast("int")
+    hi = F.least(F.floor(fmax / df + 1e-9).cast("int"), F.size(power) - 1)
+    return F.slice(power, lo + 1, F.greatest(hi - lo + 1, F.lit(0))), lo
+
+
+def local_power(power: Column, df: Column, f: Column, start=0.0) -> Column:
+    """Largest power within 1.5 bins of ``f`` on the grid start + i * df."""
+    pos = (f - start) / df
+    lo = F.greatest(F.ceil(pos - 1.5 - 1e-9), F.lit(0)).cast("int")
+    hi = F.least(F.ceil(pos + 1.5 - 1e-9).cast("int") + 1, F.size(power))
+    return F.coalesce(F.array_max(F.slice(power, lo + 1, F.greatest(hi - lo, F.lit(0)))), F.lit(0.0))
+
+
+def harmonic_comb(power: Column, df: Column, f0: Column, fmax: float, n_harmonics: int = 3,
+                  start=0.0) -> Column:
+    """Share of the overtones 2 f0, 3 f0, ... (up to fmax and the last bin) that show a bump."""
+    top = F.least(F.lit(float(fmax)), start + (F.size(power) - 1) * df)
+    base = local_power(power, df, f0, start)
+    ks = F.filter(F.sequence(F.lit(2), F.lit(n_harmonics + 1)), lambda k: k * f0 <= top)
+    hits = F.filter(ks, lambda k: local_power(power, df, k * f0, start) > 0.25 * base)
+    return F.when(f0.isNull() | (f0 <= 0) | (F.size(power) < 4), 0.0) \
+            .when(F.size(ks) == 0, 0.0).otherwise(F.size(hits) / F.size(ks))

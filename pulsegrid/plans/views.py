@@ -25,7 +25,8 @@ SQL_VIEWS = {
     "px_tone": """SELECT 'tone' || CAST(o_orderkey // 4000 AS VARCHAR) AS rec_id, o_orderkey AS seq,
         CAST(10 + o_orderkey % 5 AS INTEGER) AS x, CAST(20 + (o_orderkey // 5) % 5 AS INTEGER) AS y,
         CAST(o_orderkey % 2 AS INTEGER) AS p,
-        ((o_orderkey % 4000) // 20) * 5000 + ((o_orderkey % 20) * 73) % 1000 AS t FROM orders""",
+        ((o_orderkey % 4000) // 20) * 5000
+          + ((o_orderkey % 20) * 73 + CAST(floor(o_totalprice) AS BIGINT)) % 1500 AS t FROM orders""",
     "pulses": """SELECT rec_id, k, k*1000000 + (k*7919)%1000 AS t FROM
         (SELECT rec_id, unnest(range(0, max(t)//1000000 + 2)) AS k FROM px_events GROUP BY rec_id)""",
     "telemetry": """SELECT rec_id, k, k*100000 AS t,
@@ -92,7 +93,8 @@ class Views:
             i.alias("seq"), (10 + i % 5).cast("int").alias("x"),
             (20 + F.expr("o_orderkey div 5") % 5).cast("int").alias("y"),
             (i % 2).cast("int").alias("p"),
-            (F.expr("(o_orderkey % 4000) div 20") * 5000 + (i % 20) * 73 % 1000).alias("t"))
+            (F.expr("(o_orderkey % 4000) div 20") * 5000
+             + (i % 20 * 73 + F.floor("o_totalprice")) % 1500).alias("t"))
 
     def _ticks(self, us: int) -> DataFrame:
         """Whole multiples 0..max(t)/us+1 of a period per recording."""
@@ -159,7 +161,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
 
     def visit(sql: str):
         for name in pool:
-            if name not in order and re.search(rf"\b{name}\b", sql) and pool[name] is not sql:
+            if name not in order and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql) and pool[name] is not sql:
                 visit(pool[name])
                 if name not in order:
                     order.append(name)
