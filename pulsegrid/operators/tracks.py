@@ -173,10 +173,13 @@ def primary_mover(movers: DataFrame, az_window: tuple[float, float] | None = Non
 
 
 def multifile_consistency(primary: DataFrame, recordings: DataFrame, gate_deg: float = 10.0) -> DataFrame:
-    """Whether every recording has a primary mover and their bearings agree within the gate."""
+    """Consistent if every recording has a primary mover; bearings agree (null under two) when all
+    lie within the gate of the first recording's."""
     j = recordings.select("rec_id").join(primary.select("rec_id", "bearing_deg"), "rec_id", "left")
     g = j.agg(F.count("*").alias("n_files"), F.count("bearing_deg").alias("n_present"),
-              (F.max("bearing_deg") - F.min("bearing_deg")).alias("bearing_spread_deg"))
-    return g.withColumn("present_in_all", F.col("n_files") == F.col("n_present")).withColumn(
-        "consistent", F.col("present_in_all") & (F.col("bearing_spread_deg") <= gate_deg))
-
+              F.min_by("bearing_deg", F.when(F.col("bearing_deg").isNotNull(), F.col("rec_id"))).alias("first_deg"),
+              F.array_compact(F.collect_list("bearing_deg")).alias("_b"))
+    worst = F.array_max(F.transform("_b", lambda b: F.abs(wrap180(b - F.col("first_deg")))))
+    return g.select("n_files", "n_present", (F.col("n_files") == F.col("n_present")).alias("consistent"),
+                    F.when(F.col("n_present") >= 2, worst <= gate_deg).alias("bearings_agree"),
+                    F.when(F.col("n_present") >= 2, worst).alias("bearing_spread_deg"))

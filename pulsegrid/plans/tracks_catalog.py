@@ -158,8 +158,8 @@ def primary_mover(v):
     return tk.primary_mover(movs(v), gate_deg=2.5)
 
 
-@query("n_files:l n_present:l bearing_spread_deg:d present_in_all:b consistent:b", """SELECT count(*) AS n_files, count(bearing_deg) AS n_present, max(bearing_deg)-min(bearing_deg) AS bearing_spread_deg, count(*)=count(bearing_deg) AS present_in_all,
-  count(*)=count(bearing_deg) AND max(bearing_deg)-min(bearing_deg) <= 10 AS consistent FROM (SELECT DISTINCT rec_id FROM px_events) LEFT JOIN summ USING (rec_id)""",
+@query("n_files:l n_present:l consistent:b bearings_agree:b bearing_spread_deg:d", """SELECT count(*) AS n_files, count(bearing_deg) AS n_present, count(*)=count(bearing_deg) AS consistent, max(d) <= 10 AS bearings_agree, max(d) AS bearing_spread_deg FROM
+  (SELECT *, abs(bearing_deg - (SELECT arg_min(bearing_deg, rec_id) FROM summ)) AS d FROM (SELECT DISTINCT rec_id FROM px_events) LEFT JOIN summ USING (rec_id))""",
        views={**DETS, "clu": "SELECT *, 0 AS cluster FROM movs WHERE above_horizon AND bearing_deg BETWEEN 100 AND 200", "summ": SUMM})
 def multifile_consistency(v):
     recs = v.px_events.select("rec_id").distinct()
