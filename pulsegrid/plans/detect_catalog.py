@@ -108,7 +108,7 @@ def kvf_tracker(v):
 
 @query("rec_id target_id:l step:l cx:d cy:d freq_hz:d4 snr:d4")
 def freq_verified_tracker(v):
-    return dt.freq_verified_tracker(v.px_tone, 32, 32, min_cluster=4, close_radius=1, amplitude=0.05)
+    return dt.freq_verified_tracker(v.px_tone, 32, 32, min_cluster=4, close_radius=1, amplitude=0.05, noise_thresh=12)
 
 
 @query("rec_id step:l t:l azimuth_deg:d3 elev_deg:d range_m:d area:l n_events:l")

@@ -23,7 +23,8 @@ SQL_VIEWS = {
         CAST(((l_orderkey*8+l_linenumber)*7919)%10000000 AS BIGINT) AS t
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "px_tone": """SELECT 'tone' || CAST(o_orderkey // 4000 AS VARCHAR) AS rec_id, o_orderkey AS seq,
-        CAST(10 + o_orderkey % 5 AS INTEGER) AS x, CAST(20 + (o_orderkey // 5) % 5 AS INTEGER) AS y,
+        CAST((o_orderkey % 4000) // 160 + CAST(floor(o_totalprice) AS BIGINT) % 5 AS INTEGER) AS x,
+        CAST(12 + (CAST(floor(o_totalprice) AS BIGINT) // 5) % 5 AS INTEGER) AS y,
         CAST(o_orderkey % 2 AS INTEGER) AS p,
         ((o_orderkey % 4000) // 20) * 5000
           + ((o_orderkey % 20) * 73 + CAST(floor(o_totalprice) AS BIGINT)) % 1500 AS t FROM orders""",
@@ -87,11 +88,13 @@ class Views:
 
     @cached_property
     def px_tone(self) -> DataFrame:
+        """One-second recordings of a 5 x 5 patch that flickers at 200 Hz and drifts to the right."""
         i = F.col("o_orderkey")
         return self.table("orders").select(
             F.concat(F.lit("tone"), F.expr("o_orderkey div 4000").cast("string")).alias("rec_id"),
-            i.alias("seq"), (10 + i % 5).cast("int").alias("x"),
-            (20 + F.expr("o_orderkey div 5") % 5).cast("int").alias("y"),
+            i.alias("seq"),
+            (F.expr("(o_orderkey % 4000) div 160") + F.floor("o_totalprice") % 5).cast("int").alias("x"),
+            (12 + F.floor(F.floor("o_totalprice") / 5) % 5).cast("int").alias("y"),
             (i % 2).cast("int").alias("p"),
             (F.expr("(o_orderkey % 4000) div 20") * 5000
              + (i % 20 * 73 + F.floor("o_totalprice")) % 1500).alias("t"))
