@@ -1,7 +1,7 @@
 """Fixed reference tables: rigs, target signatures, perception criteria."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Sensor key, width px, height px, pixel pitch um, focal length mm, horizontal FOV deg
 RIGS = [
@@ -36,3 +36,12 @@ def signatures(spark: SparkSession) -> DataFrame:
         [(n, lo, hi, snr, h, 0.34 if h else 0.0) for n, lo, hi, snr, h in SIGNATURES],
         "signature string, freq_lo double, freq_hi double, snr_gate double, expect_harmonics boolean, "
         "harmonic_gate double")
+
+
+def match_signatures(dets: DataFrame) -> DataFrame:
+    """One row per detection (freq_hz, snr, harmonic) and target class whose band and gates it meets."""
+    rows = F.array(*[F.struct(F.lit(n).alias("signature"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(g).alias("g"),
+                              F.lit(0.34 if h else 0.0).alias("h")) for n, lo, hi, g, h in SIGNATURES])
+    ok = F.filter(rows, lambda s: F.col("freq_hz").between(s["lo"], s["hi"]) & (F.col("snr") >= s["g"])
+                  & (F.col("harmonic") >= s["h"]))
+    return dets.withColumn("_s", F.explode(ok)).withColumn("signature", F.col("_s.signature")).drop("_s")

@@ -31,34 +31,60 @@ def hot_pixel_mask(ev: DataFrame, pct: float = 99.95) -> DataFrame:
 
 
 # ------------------------------------------------------------------ dead time per pixel
-def _next_kept(ts: np.ndarray, period: int) -> np.ndarray:
-    return np.searchsorted(ts, ts + period)
-
-
-def _transfer(ts: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a chunk's kept chain ends, for each possible first kept event of the chunk."""
-    n = len(ts)
-    nxt = _next_kept(ts, period)
-    end = np.where(nxt < n, nxt, np.arange(n))
-    while True:                      # pointer doubling to the end of every chain
-        jump = end[end]
-        if np.array_equal(jump, end):
-            break
-        end = jump
-    heads = min(int(np.searchsorted(ts, ts[0] + period)) + 1, n)
-    exits = ts[end[:heads]]
-    last_of_run = np.append(exits[1:] != exits[:-1], True)
-    return ts[:heads][last_of_run], exits[last_of_run]
-
-
-def _kept(ts: np.ndarray, carry, period: int) -> list[int]:
-    """Indexes kept in one chunk, given the last kept time before it."""
-    i = 0 if carry is None else int(np.searchsorted(ts, carry + period))
-    out = []
-    while i < len(ts):
-        out.append(i)
-        i = int(np.searchsorted(ts, ts[i] + period))
-    return out
+class Chunks:
+    """The sorted time arrays of one Arrow batch laid end to end, so that a single search serves all.
+
+    Each array is shifted into its own range, wide enough that no dead time reaches the next one.
+    """
+
+    def __init__(self, arrays, period: int):
+        self.period = period
+        self.t = np.concatenate([np.asarray(a, np.int64) for a in arrays])
+        size = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))
+        self.stop = np.cumsum(size)
+        self.start = self.stop - size
+        self.low = int(self.t.min())
+        self.stride = int(self.t.max()) - self.low + period + 1
+        self.shift = np.arange(len(arrays), dtype=np.int64) * self.stride - self.low
+        self.key = self.t + np.repeat(self.shift, size)
+        self.end = np.repeat(self.stop, size)
+        self.nxt = np.searchsorted(self.key, self.key + period)
+
+    def transfer(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per array: the possible first kept times of the chunk and where each chain ends."""
+        end = np.where(self.nxt < self.end, self.nxt, np.arange(len(self.t)))
+        while True:                      # pointer doubling to the end of every chain
+            jump = end[end]
+            if np.array_equal(jump, end):
+                break
+            end = jump
+        exits = self.t[end]
+        heads = np.minimum(self.nxt[self.start] + 1, self.stop)
+        head = np.zeros(len(self.t) + 1, np.int64)
+        np.add.at(head, self.start, 1)
+        np.add.at(head, heads, -1)
+        keep = np.cumsum(head[:-1]) > 0
+        same = np.append(exits[1:] == exits[:-1], False)
+        same[heads - 1] = False          # the last head closes its run
+        keep &= ~same
+        cut = np.cumsum(np.add.reduceat(keep, self.start))[:-1]
+        return np.split(self.t[keep], cut), np.split(exits[keep], cut)
+
+    def kept(self, carry: np.ndarray) -> list[np.ndarray]:
+        """Per array: the kept positions, given the last kept time before it (NaN for none)."""
+        has = ~np.isnan(carry)
+        at = self.start.copy()
+        want = carry[has].astype(np.int64) + self.period + self.shift[has]
+        at[has] = np.maximum(np.searchsorted(self.key, want), self.start[has])
+        mark = np.zeros(len(self.t), bool)
+        at = at[at < self.stop]
+        while len(at):
+            mark[at] = True
+            nxt = self.nxt[at]
+            at = nxt[nxt < self.end[at]]
+        where = np.flatnonzero(mark)
+        cut = np.searchsorted(where, self.stop)[:-1]
+        return [p - s for p, s in zip(np.split(where, cut), self.start)]
 
 
 def refractory_filter(ev: DataFrame, period_us: int, chunk_us: int | None = None) -> DataFrame:
@@ -84,13 +110,12 @@ def refractory_filter(ev: DataFrame, period_us: int, chunk_us: int | None = None
     @F.pandas_udf(T.StructType([T.StructField("heads", T.ArrayType(T.LongType())),
                                 T.StructField("exits", T.ArrayType(T.LongType()))]))
     def transfer(ts: pd.Series) -> pd.DataFrame:
-        pairs = [_transfer(np.asarray(a, np.int64), period_us) for a in ts]
-        return pd.DataFrame({"heads": [h for h, _ in pairs], "exits": [e for _, e in pairs]})
+        heads, exits = Chunks(ts, period_us).transfer() if len(ts) else ([], [])
+        return pd.DataFrame({"heads": heads, "exits": exits})
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def kept(ts: pd.Series, carry: pd.Series) -> pd.Series:
-        return pd.Series([_kept(np.asarray(a, np.int64), None if pd.isna(c) else int(c), period_us)
-                          for a, c in zip(ts, carry)])
+        return pd.Series(Chunks(ts, period_us).kept(carry.to_numpy(float)) if len(ts) else [])
 
     def fold(batches):
         pixel, last = None, None

@@ -131,14 +131,14 @@ def convergence(joined: DataFrame, keys: list[str], sigma: float = 0.2) -> DataF
     fa, fe = F.when(sel, F.col("a_f0")), F.when(sel, F.col("f0"))
     g = joined.groupBy(*keys).agg(
         F.count("*").alias("n_frames"), F.count_if(both).alias("_b"), F.count_if(either).alias("_e"), F.count(fa).alias("n_both"),
-        F.median(fa).alias("_fa"), F.median(fe).alias("_fe"), F.corr(fa, fe).alias("_r"))
+        F.median(fa).alias("_fa"), F.median(fe).alias("_fe"), F.covar_pop(fa, fe).alias("_cv"), (F.stddev_pop(fa) * F.stddev_pop(fe)).alias("_sd"))
     ok = F.col("n_both") >= 5
     g = g.withColumn("median_freq_ratio", F.when(ok, harmonic_ratio(F.col("_fa"), F.col("_fe"))))
     g = g.withColumns({
         "temporal_overlap": F.when(F.col("_e") > 0, F.col("_b") / F.col("_e")).otherwise(0.0),
         "band_agreement": F.when(ok, F.exp(-F.pow(F.log("median_freq_ratio") / sigma, 2))).otherwise(0.0),
-        "f0_covariation": F.when(ok & ~F.isnan("_r"), F.col("_r"))})
-    return g.withColumn("kappa_overall", F.col("temporal_overlap") * F.col("band_agreement")).drop("_b", "_e", "_fa", "_fe", "_r")
+        "f0_covariation": F.when(ok & (F.col("_sd") > 0), F.col("_cv") / F.col("_sd"))})
+    return g.withColumn("kappa_overall", F.col("temporal_overlap") * F.col("band_agreement")).drop("_b", "_e", "_fa", "_fe", "_cv", "_sd")
 
 
 def bayes(pa: Column, pe: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.angles import around, bearing, elevation, focal_px, pinhole_range, wrap360
 from ..schema import US
 from ..session import cut_lineage
-from .background import VOXEL, coarse_depth, reference_end, with_phase_bin
+from .background import VOXEL, coarse_depth, with_phase_bin
 from .denoise import PIXEL, hot_pixels
 from .ordered import islands, last, scan
 from .quantiles import counted_quantiles, exact_quantiles
@@ -36,11 +36,9 @@ def frozen_seen(ev: DataFrame, pulses: DataFrame, width: int, height: int, n_pha
 
 def reference_ends(pulses: DataFrame, levels: int) -> DataFrame:
     """Columns end_1..end_k: the end of each reference depth per recording."""
-    out = None
-    for n in range(1, levels + 1):
-        e = reference_end(pulses, n).withColumnRenamed("ref_end", f"end_{n}")
-        out = e if out is None else out.join(e, "rec_id")
-    return out
+    w = Window.partitionBy("rec_id").orderBy("t")
+    return pulses.withColumn("_n", F.row_number().over(w)).groupBy("rec_id").agg(
+        *[F.max(F.when(F.col("_n") <= n, F.col("t"))).alias(f"end_{n}") for n in range(1, levels + 1)])
 
 
 def mask_sweep(ev: DataFrame, pulses: DataFrame, tel: DataFrame, fov_deg: float, width: int,
@@ -117,7 +115,7 @@ def masking_metrics(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int
     dret = F.col("target_kept") / F.greatest("n_d", F.lit(1))
     bret = (F.col("kept") - F.col("target_kept")) / F.greatest(F.col("tot") - F.col("n_d"), F.lit(1))
     return k.select("rec_id", "level", "kept", (100.0 * (1 - F.col("kept") / F.col("tot"))).alias("reduction_pct"),
-                    (F.col("kept") / F.col("dur")).alias("rate_hz"), "target_kept",
+                    F.try_divide("kept", "dur").alias("rate_hz"), "target_kept",
                     (100 * dret).alias("target_retained_pct"), (100 * bret).alias("background_retained_pct"),
                     (dret / F.greatest(bret, F.lit(1e-6))).alias("contrast"))
 

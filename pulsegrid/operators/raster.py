@@ -17,7 +17,7 @@ from .rotation import world_azimuth
 
 def cell(value: Column, lo: Column, hi: Column, n: int) -> Column:
     """Histogram bin in [0, n) with the last edge closed; null outside [lo, hi]."""
-    b = F.least(F.floor((value - lo) / (hi - lo) * n), F.lit(n - 1)).cast("int")
+    b = F.least(F.floor(F.try_divide(value - lo, hi - lo) * n), F.lit(n - 1)).cast("int")
     return F.when((value >= lo) & (value <= hi), b)
 
 

@@ -130,7 +130,7 @@ def fit_rigid_motion(v):
     return cm.fit_rigid_motion(q, ["rec_id"])
 
 
-@query("rec_id step:l cx:d4 cy:d4 vx_px_s:d4 vy_px_s:d4 contrast_gain:d4")
+@query("rec_id step:l cx:d4 cy:d4 vx_px_s:d4 vy_px_s:d4 contrast_gain:d4", name="cmax_tracker")
 def contrast_tracker(v):
     d = cut_lineage(dt.cluster_frames(v.px_tone, 100_000, 32, 32, 4, 1, 0))
     return cm.contrast_tracker(v.px_tone, d, 100_000, 8, 60.0, 3, 2, 0.5, 60, width=32, height=32)

@@ -258,9 +258,7 @@ def interpolate_box(v):
 @query("rec_id target_id:l signature n:l", """SELECT rec_id, target_id, s AS signature, count(*) AS n FROM dets JOIN (VALUES ('drone',80,800,4.0,true),('insect',30,250,3.0,false),('mosquito',300,800,3.0,true),('hummingbird',15,120,3.0,false),('bird',3,30,2.5,false),('custom',10,1000,4.0,false)) z(s,lo,hi,g,h)
   ON freq_hz BETWEEN lo AND hi AND snr >= g AND harmonic >= CASE WHEN h THEN 0.34 ELSE 0 END GROUP BY ALL""", views=DETS)
 def signature_library(v):
-    s = tables.signatures(v.spark)
-    j = dets(v).join(F.broadcast(s), (F.col("freq_hz") >= F.col("freq_lo")) & (F.col("freq_hz") <= F.col("freq_hi"))
-                     & (F.col("snr") >= F.col("snr_gate")) & (F.col("harmonic") >= F.col("harmonic_gate")))
+    j = tables.match_signatures(dets(v))
     return j.groupBy("rec_id", "target_id", "signature").agg(F.count("*").alias("n"))
 
 
