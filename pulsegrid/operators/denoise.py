@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..schema import US
+from ..session import cut_lineage
 from .select import polarity_filter
 
 PIXEL = ["rec_id", "x", "y"]
@@ -102,10 +103,13 @@ def refractory_filter(ev: DataFrame, period_us: int, chunk_us: int | None = None
     period_us = int(period_us)
     width = int(chunk_us or max(64 * period_us, US // 4))
     chunk = F.floor(F.col("t") / width).alias("_chunk")
-    cells = (ev.groupBy(*PIXEL, chunk, "t").agg(F.min(F.struct("seq", "p")).alias("e"))
-             .groupBy(*PIXEL, "_chunk")
-             .agg(F.sort_array(F.collect_list(F.struct("t", "e.seq", "e.p"))).alias("es"))
+    # seq and polarity share one long so that the merge is a hash aggregation; the cells are used
+    # twice (summary and filter), so they are written once instead of shuffled twice
+    cells = (ev.select(*PIXEL, chunk, "t", (F.col("seq") * 2 + F.col("p")).alias("e"))
+             .groupBy(*PIXEL, "_chunk", "t").agg(F.min("e").alias("e"))
+             .groupBy(*PIXEL, "_chunk").agg(F.sort_array(F.collect_list(F.struct("t", "e"))).alias("es"))
              .withColumn("ts", F.transform("es", lambda s: s["t"])))
+    cells = cut_lineage(cells)
 
     @F.pandas_udf(T.StructType([T.StructField("heads", T.ArrayType(T.LongType())),
                                 T.StructField("exits", T.ArrayType(T.LongType()))]))
@@ -138,7 +142,7 @@ def refractory_filter(ev: DataFrame, period_us: int, chunk_us: int | None = None
     return (cells.join(heads, [*PIXEL, "_chunk"])
             .select(*PIXEL, F.explode(F.transform(
                 kept("ts", "_carry"), lambda i: F.element_at("es", i + 1))).alias("e"))
-            .select("rec_id", "e.seq", "x", "y", "e.p", "e.t"))
+            .select("rec_id", F.expr("e.e div 2").alias("seq"), "x", "y", (F.col("e.e") % 2).cast("int").alias("p"), "e.t"))
 
 
 # ------------------------------------------------------------------ neighbour support
