@@ -57,6 +57,7 @@ def mask_sweep(ev: DataFrame, pulses: DataFrame, tel: DataFrame, fov_deg: float,
     grid = (e.groupBy("rec_id", cell(F.col("az"), F.lit(0.0), F.lit(360.0), 180).alias("a"),
                       cell(el, F.lit(-30.0), F.lit(30.0), 60).alias("b"))
             .agg(F.count("*").alias("n"), *[F.count_if(k).alias(f"k{i}") for i, k in enumerate(keeps)]))
+    grid = cut_lineage(grid)             # at most 180 x 60 rows per recording, read twice below
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k"))
                               for i in range(levels + 1)]))
     rows = grid.select("rec_id", "n", (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("inside"),
