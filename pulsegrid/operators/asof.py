@@ -4,6 +4,9 @@ The marks of a group become half-open intervals ``[t_k, t_{k+1})``.  Each interv
 every time bucket it touches and events look up their own bucket, so the join is an equi join:
 no sort of the events, no window over them.  Catalyst broadcasts the marks when their size allows
 it and otherwise shuffles by (group, bucket), which AQE can split when one bucket is hot.
+
+Size estimates of derived marks are far too large, which would shuffle the events for nothing, so
+the interval rows are counted first (a small job) and broadcast explicitly up to a fixed bound.
 """
 from __future__ import annotations
 
@@ -11,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import US
 
+#: most interval rows that are broadcast (some 200 bytes each)
+BROADCAST_ROWS = 500_000
+
 
 def intervals(marks: DataFrame, keys: list[str], t: str = "t", bucket_us: int = US) -> DataFrame:
     """Turn marks into rows (keys, bucket, a, b, m, nx) with ``m``/``nx`` the mark and its follower.
@@ -38,11 +44,13 @@ def asof(events: DataFrame, marks: DataFrame, keys: list[str], te: Column, mark_
     first mark).  Columns ``_first``/``_last`` hold the group's mark range.
     """
     span = marks.groupBy(*keys).agg(F.min(mark_t).alias("_first"), F.max(mark_t).alias("_last"))
+    iv = intervals(marks, keys, mark_t, bucket_us)
+    if iv.count() <= BROADCAST_ROWS:          # every group has at least one interval
+        span, iv = F.broadcast(span), F.broadcast(iv)
     ev = events.join(span, keys, "left")
     low = F.greatest(te, F.col("_first")) if clip else te
     ev = ev.withColumn("_te", F.least(low, F.col("_last"))) \
            .withColumn("_bucket", F.floor(F.col("_te") / bucket_us))
-    iv = intervals(marks, keys, mark_t, bucket_us)
     on = [ev[k] == iv[k] for k in keys] + [
         ev["_bucket"] == iv["_bucket"], ev["_te"] >= iv["a"], ev["_te"] < iv["b"]]
     out = ev.join(iv, on, "left")

@@ -67,7 +67,7 @@ def shared_revolution_join(a: DataFrame, b: DataFrame, pulses: DataFrame) -> Dat
 
     ``a``/``b`` have (rev, t_s, bearing_deg); ``pulses`` (k, t) of the common rotation.
     """
-    w = Window.partitionBy().orderBy("t")
+    w = Window.partitionBy(F.lit(0)).orderBy("t")          # the pulses of one capture: one row per turn
     spin = pulses.select(F.col("k").alias("rev"), (360.0 / ((F.lead("t").over(w) - F.col("t")) / US)).alias("omega")) \
                  .where("omega IS NOT NULL")
     j = a.select("rev", F.col("t_s").alias("ta"), F.col("bearing_deg").alias("ba")).join(
