@@ -136,7 +136,7 @@ _BF = {"gate": _GATE, "bf_bins": """SELECT rec_id, target_id, nb, least(CAST(flo
        "bf_ser": SERIES.format(k=_BK, bins="bf_bins"), "bf_dft": DFT.format(k=_BK, ser="bf_ser")}
 
 
-@query("rec_id target_id:l n_events:l peak_hz:d snr:d4", """SELECT rec_id, target_id, n_events, arg_max(hz, raw) AS peak_hz, max(raw)/(median(raw)+1e-12) AS snr FROM
+@query("rec_id target_id:l n_events:l peak_hz:d snr:d4", """SELECT rec_id, target_id, n_events, CASE WHEN any_value(n_events) >= 32 THEN arg_max(hz, raw) END AS peak_hz, CASE WHEN any_value(n_events) >= 32 THEN max(raw)/(median(raw)+1e-12) ELSE 0 END AS snr FROM
   (SELECT *, f/((b-a)/1000000.0) AS hz FROM bf_dft JOIN (SELECT rec_id, target_id, any_value(a) AS a, any_value(b) AS b, count(*) AS n_events FROM gate GROUP BY ALL) USING (rec_id, target_id))
   WHERE hz BETWEEN 2 AND 20 GROUP BY ALL""", views=_BF)
 def blade_fft(v):

@@ -91,7 +91,7 @@ def shared_revolution_join(v):
 @query("n:l dt_s:d4 dphi_deg:d2 dt_se_s:d4 dphi_se_deg:d2 omega_rel_spread:d omega_mean:d separable:b", f"""SELECT n, b AS dt_s, a AS dphi_deg, sqrt(s2/sxx) AS dt_se_s, sqrt(s2*xx/(n*sxx)) AS dphi_se_deg,
    ptp/om AS omega_rel_spread, om AS omega_mean, ptp/om > 0.05 AND abs(b) > 2*sqrt(s2/sxx) AS separable FROM (SELECT *, greatest(syy-b*b*sxx,0)/(n-2) AS s2 FROM
    (SELECT count(*) AS n, regr_slope(dbearing, omega) AS b, regr_intercept(dbearing, omega) AS a, regr_sxx(dbearing, omega) AS sxx, regr_syy(dbearing, omega) AS syy,
-      max(omega)-min(omega) AS ptp, avg(omega) AS om, sum(omega*omega) AS xx FROM ({SHARED})))""", views=DETS)
+      max(omega)-min(omega) AS ptp, avg(omega) AS om, sum(omega*omega) AS xx FROM ({SHARED}) HAVING count(*) >= 3))""", views=DETS)
 def fit_timing_boresight(v):
     return kpi.fit_timing_boresight(shared(v), [])
 
