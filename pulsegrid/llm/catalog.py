@@ -1,7 +1,9 @@
 """Registered queries: each applies one operator, with its production parameters, to its whole table."""
 from __future__ import annotations
 
-from . import decontam, dedup, jaccard
+from pyspark.sql import functions as F
+
+from . import decontam, dedup, jaccard, licenses, mixing, sharding
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -9,6 +11,55 @@ ALNUM = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+PHRASES_SQL = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+NOTICES_SQL = ", ".join(f"({k}, '{label}', '{notice}')" for k, (label, notice) in enumerate(licenses.TEMPLATES))
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all({LOWER}, '{ALNUM}') AS words FROM documents),
+phrase(phrase, n, label) AS (VALUES {PHRASES_SQL}),
+start AS (SELECT r, unnest(range(0, len(words))) AS k, words FROM d),
+place AS (SELECT r, k, label FROM start JOIN phrase ON array_to_string(words[k + 1:k + n], ' ') = phrase),
+base AS (SELECT r, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list_distinct(list(label)) AS labels FROM place GROUP BY r),
+notice AS (SELECT template, label, list_distinct(regexp_extract_all(lower(notice), '{ALNUM}')) AS words FROM (VALUES {NOTICES_SQL}) v(template, label, notice)),
+block AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}')) AS words
+          FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+found AS (SELECT r, label, len(list_intersect(b.words, t.words)) / len(t.words) AS containment FROM block b, notice t
+          WHERE len(list_intersect(b.words, t.words)) >= ceil(len(t.words) * 0.8 - 1e-9)),
+more AS (SELECT r, list_distinct(list(label)) AS labels, max(containment) AS best FROM found GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)""")
+def op2_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_sampled_splitters(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size / weight AS reach, sum(source_size) OVER () AS everything FROM s),
+l AS (SELECT *, (everything - coalesce(sum(3 * source_size) OVER (ORDER BY reach, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY reach, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+f AS (SELECT *, (SELECT level FROM l WHERE reach > level ORDER BY reach LIMIT 1) AS free FROM l),
+t AS (SELECT source, source_size, CAST(CASE WHEN reach <= level OR free IS NULL THEN 3 * source_size ELSE least(free * weight, 3 * source_size) END AS DOUBLE) AS target FROM f),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before,
+        CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS passes
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 4) AS target,
+       CAST(size * (passes + CASE WHEN size > 0 AND before + size / 2 <= target - passes * source_size AND passes < 3 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c""")
+def op6_curriculum_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
 @query(rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
