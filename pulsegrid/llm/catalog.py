@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, licenses, mixing, sharding
+from . import decontam, dedup, jaccard, langid, licenses, mixing, sharding
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -36,6 +36,11 @@ def op2_license_scans(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_sampled_splitters(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
