@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, langid, licenses, mixing, sharding
+from . import decontam, dedup, jaccard, langid, licenses, mixing, sharding, toxicity
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -65,6 +65,12 @@ def op6_curriculum_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+@query()
+def op7_toxicity(spark, sf_dir):
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 @query(rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
