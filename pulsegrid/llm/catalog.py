@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, html_extract, jaccard, langid, licenses, mixing, sharding, toxicity
+from . import decontam, dedup, html_extract, jaccard, langid, licenses, mixing, sharding, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -51,6 +51,17 @@ def op4_sampled_splitters(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (SELECT page_id, html, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM coded)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM r""")
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents),
