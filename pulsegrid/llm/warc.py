@@ -174,8 +174,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("content").mapInArrow(_read, schema)
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder."""
+def archive_folder(spark: SparkSession, kind: str = "warc") -> str:
+    """The name of a fresh folder below the shared checkpoint folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         import tempfile
@@ -183,7 +183,7 @@ def archive_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         shared = tempfile.mkdtemp(prefix="spark-")
     shared = shared if "://" in shared or shared.startswith("file:") else "file://" + os.path.abspath(shared)
-    return f"{shared.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
