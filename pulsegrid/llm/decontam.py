@@ -78,10 +78,10 @@ class Block:
         terms = sorted({t for p in words for t in p})
         number = {t: k for k, t in enumerate(terms)}
         self.terms = pa.array(terms, pa.large_string())
-        self.length = np.array([len(p) for p in words])
+        self.length = np.array([len(p) for p in words], np.int64)
         self.term = np.full((len(words), max(self.length, default=1)), -1, np.int64)
         self.order = np.zeros_like(self.term)
-        rarity = np.array([counts.get(t, 0) for t in terms])
+        rarity = np.array([counts.get(t, 0) for t in terms], np.int64)
         for k, p in enumerate(words):
             self.term[k, :len(p)] = [number[t] for t in p]
             self.order[k] = np.argsort(np.where(self.term[k] < 0, np.iinfo(np.int64).max, rarity[self.term[k]]), kind="stable")
