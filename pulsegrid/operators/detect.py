@@ -279,7 +279,7 @@ def surface_steps(ev: DataFrame, dt_s: float, tau_s: float, calibration_s: float
 def freq_verified_tracker(ev: DataFrame, width: int, height: int, band=(80.0, 800.0), dt_s: float = 0.01, tau_s: float = 0.05,
                           calibration_s: float = 0.03, min_cluster: int = 20, fs: float = 1000.0, window_s: float = 0.3,
                           min_events: int = 40, amplitude: float = 0.10, close_radius: int = 3, pos_only: bool = True,
-                          max_tracks: int = 4, gate: float = 80.0, max_missed: int = 10, noise_thresh: int = 2) -> DataFrame:
+                          max_tracks: int | None = None, gate: float = 80.0, max_missed: int = 10, noise_thresh: int = 2) -> DataFrame:
     """Time-surface clusters verified by the absolute in-band amplitude, then tracked."""
     from .spectra import spectra
     on = ev.where("p = 1") if pos_only else ev

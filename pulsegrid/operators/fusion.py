@@ -190,7 +190,7 @@ def cross_coherence(ev: DataFrame, boxes: DataFrame, audio: DataFrame, rate: int
     """Magnitude-squared coherence of the in-box event rate and the audio on one clock, in-band peak.
 
     ``plan`` has (rec_id, audio_id, offset_s).  Audio is averaged down to ``fs``; segments overlap
-    by half.  Coherence is a ratio per frequency, so restricting it to the band replaces the
+    by half; a span shorter than one segment has no result.  Coherence is a ratio per frequency, so restricting it to the band replaces the
     filtering of both series.
     """
     t0 = boxes.groupBy("rec_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
@@ -202,17 +202,21 @@ def cross_coherence(ev: DataFrame, boxes: DataFrame, audio: DataFrame, rate: int
          .agg(F.avg("amp").alias("v")))
     ends = a.groupBy("rec_id").agg((F.max("bin") + 1).alias("_na"))
     n = t0.join(ends, "rec_id").select("rec_id", F.least(F.floor((F.col("_t1") - F.col("_t0")) / (US / fs)), F.col("_na")).alias("_n")) \
-          .where("_n >= 16").withColumn("_len", F.least(F.lit(nperseg), F.col("_n")).cast("int"))
+          .where(F.col("_n") >= nperseg).withColumn("_len", F.lit(nperseg).cast("int"))
     hop = F.greatest(F.floor(F.col("_len") / 2), F.lit(1))
+    last = F.floor((F.col("_n") - F.col("_len")) / hop)
 
     def segs(s, name):
         d = s.join(n, "rec_id").where(F.col("bin") < F.col("_n"))
         lo = F.greatest(F.ceil((F.col("bin") - F.col("_len") + 1) / hop), F.lit(0))
-        hi = F.least(F.floor(F.col("bin") / hop), F.floor((F.col("_n") - F.col("_len")) / hop))
+        hi = F.least(F.floor(F.col("bin") / hop), last)
         return (d.where(hi >= lo).withColumn("seg", F.explode(F.sequence(lo, hi))).groupBy("rec_id", "seg", "_len")
                 .agg(F.collect_list((F.col("bin") - F.col("seg") * hop).cast("int")).alias(f"{name}_b"), F.collect_list("v").alias(f"{name}_v")))
 
-    j = segs(e, "e").join(segs(a, "a"), ["rec_id", "seg", "_len"])
+    # Every segment counts, silent ones too: they add their audio power and no event power.
+    seg = n.select("rec_id", "_len", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("seg"))
+    j = seg.join(segs(e, "e"), ["rec_id", "seg", "_len"], "left").join(segs(a, "a"), ["rec_id", "seg", "_len"], "left")
+    j = j.withColumns({c: F.coalesce(c, F.array().cast(j.schema[c].dataType)) for c in ("e_b", "e_v", "a_b", "a_v")})
     s = j.select("rec_id", "_len", _cross("e_b", "e_v", "a_b", "a_v", "_len").alias("s"))
     z = s.select("rec_id", "_len", F.posexplode(F.arrays_zip(*[F.element_at("s", i + 1).alias(c) for i, c in enumerate(("xx", "yy", "re", "im"))]))
                  .alias("k", "z")).groupBy("rec_id", "_len", "k").agg(*[F.sum(f"z.{c}").alias(c) for c in ("xx", "yy", "re", "im")], F.count("*").alias("n_segments"))

@@ -105,17 +105,22 @@ def ladder_signature(ev: DataFrame, keys: list[str], sweep: DataFrame | None = N
 
 
 def accumulate_comb(ev: DataFrame, keys: list[str], pass_key: str, sweep_px_s: float, f_lo: float = 80.0,
-                    f_hi: float = 1500.0, bin_px: float = 1.0, n_lag: int = 220, min_events: int = 60) -> DataFrame:
-    """Mean of the passes' autocorrelations (missing lags count as 0), smallest strong peak."""
+                    f_hi: float = 1500.0, bin_px: float = 1.0, n_lag: int | None = None, min_events: int = 60) -> DataFrame:
+    """Mean of the passes' autocorrelations (missing lags count as 0), smallest strong peak.
+
+    All lags of the band are used; ``n_lag`` limits them if given.
+    """
     v = abs(sweep_px_s)
     h = sweep_histogram(ev, [*keys, pass_key], min_events, bin_px).where("acf IS NOT NULL")
     used = h.groupBy(*keys).agg(F.count("*").alias("n_passes"))
-    acc = (h.select(*keys, F.posexplode(F.slice("acf", 1, n_lag)).alias("lag", "v")).groupBy(*keys, "lag")
+    lags = F.col("acf") if n_lag is None else F.slice("acf", 1, n_lag)
+    acc = (h.select(*keys, F.posexplode(lags).alias("lag", "v")).groupBy(*keys, "lag")
            .agg(F.sum("v").alias("v")).join(used, keys).withColumn("v", F.col("v") / F.col("n_passes")))
     g = acc.groupBy(*keys, "n_passes").agg(F.map_from_entries(F.collect_list(F.struct("lag", "v"))).alias("m"))
     at = lambda l: F.coalesce(F.element_at("m", l), F.lit(0.0))
     lo = max(int(round(v / f_hi / bin_px)), 2)
-    hi = min(int(round(v / f_lo / bin_px)), n_lag - 2)
+    hi = int(round(v / f_lo / bin_px))
+    hi = hi if n_lag is None else min(hi, n_lag - 2)
     if hi <= lo:
         return g.select(*keys, "n_passes", F.lit(None).cast("double").alias("blade_hz"), F.lit(0.0).alias("comb_strength"))
     peaks = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda l: (at(l) > 0) & (at(l) >= at(l - 1)) & (at(l) >= at(l + 1)))

@@ -192,8 +192,7 @@ def rate_surface(ev: DataFrame, width: int, height: int, grid: int = 8, dt_us: i
     f = (base.where(hi >= lo).withColumn("step", F.explode(F.sequence(lo, hi)))
          .groupBy("rec_id", "step", "gx", "gy", "_n")
          .agg((F.sum("_c") / (tail_us / US)).alias("rate_hz")))
-    stride = F.greatest(F.floor(F.col("_n") / 60), F.lit(1))
-    tops = (f.where(F.col("step") % stride == 0).groupBy("rec_id", "step").agg(F.max("rate_hz").alias("m"))
+    tops = (f.groupBy("rec_id", "step").agg(F.max("rate_hz").alias("m"))
             .groupBy("rec_id").agg(F.greatest(F.percentile("m", 0.92), F.lit(1.0)).alias("zmax")))
     return f.drop("_n").join(tops, "rec_id")
 

@@ -11,6 +11,7 @@ from ..functions.angles import wrap180
 from ..functions.spectral import array_median
 from ..schema import US
 from ..session import cut_lineage
+from .ordered import count, scan
 from .raster import event_rate
 from .rotation import REC, unwrap
 from .spectra import region_spectrum
@@ -20,7 +21,7 @@ BLOCK = 65_536
 
 # ------------------------------------------------------------------ neighbourhoods of long series
 def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
-         size: int = BLOCK) -> tuple[DataFrame, WindowSpec, Column]:
+         size: int) -> tuple[DataFrame, WindowSpec, Column]:
     """Cut each series into blocks that also hold the rows their edge windows need.
 
     Returns the enlarged frame, the window over (keys, block) in index order, and the condition
@@ -34,8 +35,12 @@ def halo(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
 
 def neighbourhood(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
                   make) -> DataFrame:
-    """Add the columns ``make(window)`` returns, computed over a halo of rows around each row."""
-    big, w, own = halo(df, keys, idx, before, after)
+    """Add the columns ``make(window)`` returns, computed over a halo of rows around each row.
+
+    Blocks are cut by row number, so gaps in the index don't shorten a halo.
+    """
+    numbered = scan(df, keys, [idx], F.floor(F.col(idx) / BLOCK), _row=count(False))
+    big, w, own = halo(numbered, keys, "_row", before, after, BLOCK)
     cols = make(w)
     return big.withColumns(cols).where(own).select(*df.columns, *cols)
 
@@ -203,8 +208,8 @@ def smoothed_rate(ev: DataFrame, bin_us: int, smooth_us: int = 10_000) -> DataFr
 def estimate_spin_period(ev: DataFrame, bin_s: float = 0.005, lo_s: float = 0.2, hi_s: float = 5.0) -> DataFrame:
     """Rotation period from the event-rate periodicity, refined on the per-revolution peaks.
 
-    The rate is binned in parallel; the peak walk afterwards runs over the above-threshold bins
-    only (a sequential pass of a few rows per revolution).
+    The seed is the strongest lag of the autocorrelation; the refinement fits a line through the
+    strongest bin of each revolution.
     """
     bin_us = int(round(bin_s * US))
     rate = cut_lineage(smoothed_rate(ev, bin_us))
@@ -215,34 +220,29 @@ def estimate_spin_period(ev: DataFrame, bin_s: float = 0.005, lo_s: float = 0.2,
     seed = (acf.join(dims, "rec_id").where((F.col("lag") * bin_s >= lo_s - 1e-9) & (F.col("lag") * bin_s <= top + 1e-9))
             .groupBy("rec_id").agg(F.max_by("lag", F.struct("acf", -F.col("lag"))).alias("lag0"),
                                    F.max("acf").alias("confidence")))
-    # a bin at or above the threshold has its neighbourhood's maximum at or above it as well, so the
-    # walk needs only those bins (about a tenth of the series)
-    cand = rate.join(seed.join(dims.select("rec_id", "thr"), "rec_id"), "rec_id") \
-               .where(F.col("rate") >= F.col("thr")).select("rec_id", "bin", "rate", "lag0")
-
-    def walk(key, pdf):
-        pdf = pdf.sort_values("bin")
-        b, r = pdf["bin"].to_numpy(), pdf["rate"].to_numpy()
-        seed_s = float(pdf["lag0"].iloc[0]) * bin_s
-        guard = max(int(round(0.4 * seed_s / bin_s)), 1)
-        peaks, i = [], 0
-        while i < len(b):
-            lo, hi = np.searchsorted(b, [b[i] - guard, b[i] + guard])
-            peak = int(b[lo + int(np.argmax(r[lo:hi]))])
-            if not peaks or peak - peaks[-1] > guard:
-                peaks.append(peak)
-            i = max(int(np.searchsorted(b, peak + guard)), i + 1)
-        period = seed_s
-        if len(peaks) >= 3:
-            tp = (np.array(peaks) + 0.5) * bin_s
-            idx = np.round((tp - tp[0]) / seed_s).astype(int)
-            if len(set(idx)) >= 3:
-                slope = float(np.polyfit(idx, tp, 1)[0])
-                period = slope if lo_s <= slope <= hi_s else period
-        return pd.DataFrame({"rec_id": [key[0]], "period_s": [round(period, 5)], "n_peaks": [len(peaks)]})
-
-    fit = cand.groupBy("rec_id").applyInPandas(walk, "rec_id string, period_s double, n_peaks long")
-    return seed.select("rec_id", (F.col("lag0") * bin_s).alias("seed_s"), "confidence").join(fit, "rec_id")
+    fit = _cycle_fit(rate.join(seed.select("rec_id", "lag0"), "rec_id").join(dims.select("rec_id", "thr"), "rec_id"), bin_s)
+    period = F.when((F.col("n_peaks") >= 3) & F.col("slope").between(lo_s, hi_s), F.col("slope")).otherwise(F.col("lag0") * bin_s)
+    return seed.select("rec_id", "lag0", (F.col("lag0") * bin_s).alias("seed_s"), "confidence").join(fit, "rec_id") \
+               .select("rec_id", "seed_s", "confidence", F.round(period, 5).alias("period_s"), "n_peaks")
+
+
+def _cycle_fit(rate: DataFrame, bin_s: float, reach: tuple[int, ...] = (8, 64, 512, 1 << 40)) -> DataFrame:
+    """rec_id, slope, n_peaks: the line through the strongest bin of every cycle.
+
+    Cycles are counted from the strongest bin of the recording with the period known so far.  The first line uses the cycles
+    near it; each line is precise enough to count the cycles of a wider reach, up to the whole recording.
+    """
+    line = rate.groupBy("rec_id").agg(F.max_by("bin", F.struct("rate", -F.col("bin"))).alias("at"), F.first("lag0").cast("double").alias("step"))
+    for cycles in reach:
+        near = rate.where(F.col("rate") >= F.col("thr")).join(line, "rec_id")
+        c = F.round((F.col("bin") - F.col("at")) / F.col("step"))
+        near = near.withColumn("cycle", c).where((F.abs("cycle") <= cycles) & (F.abs(F.col("bin") - F.col("at") - F.col("cycle") * F.col("step")) <= 0.4 * F.col("step")))
+        peaks = near.groupBy("rec_id", "cycle").agg(F.max_by("bin", F.struct("rate", -F.col("bin"))).alias("peak"), F.first("at").alias("at"), F.first("step").alias("step"))
+        line = peaks.groupBy("rec_id").agg(F.regr_slope("peak", "cycle").alias("slope"), F.regr_intercept("peak", "cycle").alias("start"), F.first("at").alias("at"),
+                                           F.first("step").alias("step"), F.count("*").alias("n_peaks"))
+        good = (F.col("n_peaks") >= 3) & F.col("slope").isNotNull()
+        line = line.select("rec_id", "n_peaks", F.when(good, F.col("start")).otherwise(F.col("at")).alias("at"), F.when(good, F.col("slope")).otherwise(F.col("step")).alias("step"))
+    return line.select("rec_id", (F.col("step") * bin_s).alias("slope"), "n_peaks")
 
 
 def refine_telemetry_offset(ev: DataFrame, pulses: DataFrame, bin_s: float = 0.005,

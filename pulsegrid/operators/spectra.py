@@ -87,21 +87,13 @@ def band_snr(spec: DataFrame, fs: float, band: tuple[float, float] = (300.0, 150
 
 # ------------------------------------------------------------------ maps
 def flicker_map(ev: DataFrame, fmin: float = 80.0, fmax: float = 800.0, fs: float = 2000.0,
-                cell: int = 8, min_events: int = 40, snr_min: float = 0.0, width: int | None = None,
-                height: int | None = None, mem_budget: int | None = None) -> DataFrame:
+                cell: int = 8, min_events: int = 40, snr_min: float = 0.0) -> DataFrame:
     """Per cell: dominant in-band frequency, SNR, in-band power and event count.
 
-    Late events are clipped into the last time bin.  With a memory budget (cells x bins) the rate
-    is coarsened per recording, never below 2.2 fmax.
+    Late events are clipped into the last time bin.
     """
     s = spans(ev).withColumn("_span", F.greatest((F.col("t_last") - F.col("t_first")).cast("double"), F.lit(1.0)))
-    rate = F.lit(float(fs))
-    if mem_budget is not None:
-        cells = math.ceil(width / cell) * math.ceil(height / cell)
-        n0 = F.floor(F.col("_span") / (US / fs))
-        rate = F.when(cells * n0 > mem_budget, F.greatest(
-            fs * (mem_budget / (cells * n0)), F.lit(2.2 * fmax))).otherwise(rate)
-    s = s.withColumn("fs", rate).withColumn("n_bins", F.floor(F.col("_span") / (US / F.col("fs"))).cast("int"))
+    s = s.withColumn("fs", F.lit(float(fs))).withColumn("n_bins", F.floor(F.col("_span") / (US / F.col("fs"))).cast("int"))
     key = ["rec_id", "cy", "cx"]
     pos = F.floor((F.col("t") - F.col("t_first")) / (US / F.col("fs")))
     binned = (ev.join(s, "rec_id")
@@ -191,8 +183,12 @@ def spectrogram(ev: DataFrame, keys: list[str], fs: float = 2000.0, nperseg: int
     parts = (b.where(hi >= lo).withColumn("seg", F.explode(F.sequence(lo, hi)))
              .select(*keys, "seg", "_hop", F.col("_n").alias("n_bins"),
                      (F.col("bin") - F.col("seg") * F.col("_hop")).cast("int").alias("bin"), "c"))
-    hop = parts.groupBy(*keys, "seg").agg(F.first("_hop").alias("_hop"))
-    sp = spectra(parts, [*keys, "seg"], "segment").join(hop, [*keys, "seg"])
+    # Every segment of the span has a row; one without events has no power.
+    dims = b.groupBy(*keys).agg(F.max("_n").alias("_len"), F.max("_hop").alias("_hop"), F.max(segs).alias("_segs"))
+    every = dims.withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_segs").cast("long"))))
+    own = spectra(parts, [*keys, "seg"], "segment").select(*keys, "seg", "power")
+    silent = F.array_repeat(F.lit(0.0), (F.floor(F.col("_len") / 2) + 1).cast("int"))
+    sp = every.join(own, [*keys, "seg"], "left").withColumns({"power": F.coalesce("power", silent), "n_bins": F.col("_len")})
     t = (F.col("seg") * F.col("_hop") + F.col("n_bins") / 2) / fs
     out = sp.select(*keys, "seg", t.alias("t_s"), "n_bins", F.posexplode("power").alias("k", "power")) \
             .withColumn("f_hz", F.col("k") * fs / F.col("n_bins"))
@@ -292,14 +288,15 @@ def line_of(power_rows: DataFrame, keys: list[str], freqs: list[float], fmax: fl
 
 
 def nufft_spectrum(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq: int = 600,
-                   max_events: int = 8000) -> DataFrame:
-    """Dominant line per recording by direct non-uniform DFT of at most ``max_events`` samples."""
+                   max_events: int | None = None) -> DataFrame:
+    """Dominant line per recording by direct non-uniform DFT of all events (or a sample of ``max_events``)."""
     freqs = freq_grid(fmin, fmax, n_freq)
-    return line_of(nudft(random_subsample(ev, max_events), ["rec_id"], freqs), ["rec_id"], freqs, fmax)
+    sub = ev if max_events is None else random_subsample(ev, max_events)
+    return line_of(nudft(sub, ["rec_id"], freqs), ["rec_id"], freqs, fmax)
 
 
 def lomb_scargle(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq: int = 512,
-                 max_events: int = 6000, literal: bool = False) -> DataFrame:
+                 max_events: int | None = None, literal: bool = False) -> DataFrame:
     """Normalised periodogram of the event times, one row per (recording, frequency).
 
     With unit impulses the centred signal vanishes, so the default is the point-process form (the
@@ -307,7 +304,7 @@ def lomb_scargle(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq:
     times, which is what centring the impulses amounts to in the original tool.
     """
     freqs = freq_grid(fmin, fmax, n_freq)
-    sub = random_subsample(ev, max_events)
+    sub = ev if max_events is None else random_subsample(ev, max_events)
     t0 = sub.groupBy("rec_id").agg(F.min("t").alias("_t0"), F.count("*").alias("_n")).where("_n >= 8")
     t = (F.col("t") - F.col("_t0")) / US
     pts = sub.join(t0, "rec_id").select("rec_id", t.alias("ts"), F.posexplode(
@@ -317,7 +314,7 @@ def lomb_scargle(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq:
         (F.atan2(F.sum(F.sin(2 * w * F.col("ts"))), F.sum(F.cos(2 * w * F.col("ts")))) / (2 * w)).alias("tau"))
     y = F.sin(2 * math.pi * F.col("ts")) if literal else F.lit(1.0)
     a = w * (F.col("ts") - F.col("tau"))
-    g = pts.join(tau, ["rec_id", "k", "f_hz"]).groupBy("rec_id", "k", "f_hz").agg(
+    g = pts.join(tau.drop("f_hz"), ["rec_id", "k"]).groupBy("rec_id", "k", "f_hz").agg(
         F.sum(y * F.cos(a)).alias("yc"), F.sum(y * F.sin(a)).alias("ys"), F.sum(F.cos(a) ** 2).alias("cc"),
         F.sum(F.sin(a) ** 2).alias("ss"), F.sum(y * y).alias("yy"))
     p = 0.5 * (F.col("yc") ** 2 / F.greatest("cc", F.lit(1e-300)) + F.col("ys") ** 2 / F.greatest("ss", F.lit(1e-300)))

@@ -35,57 +35,68 @@ def _closed(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ image-plane multi-target
 class MultiTrack:
-    """Greedy nearest neighbour in track order with velocity prediction, smoothing and coasting."""
+    """All live tracks as arrays: position, velocity, box, age of the last hit.
 
-    def __init__(self, gate=60.0, max_missed=8, max_tracks=6, smooth=0.4):
-        self.gate, self.max_missed, self.max_tracks, self.s = gate, max_missed, max_tracks, smooth
-        self.live: list[dict] = []
-        self.next_id, self.step = 0, None
+    A step moves every track by its velocity, takes one distance matrix of tracks and candidates, gives each track
+    in order of age the nearest candidate that is left inside the gate, and updates all hit tracks at once.
+    """
+
+    def __init__(self, gate=60.0, max_missed=8, max_tracks=None, smooth=0.4):
+        self.gate, self.max_missed, self.max_tracks, self.smooth = gate, max_missed, max_tracks, smooth
+        self.ids, self.missed = np.zeros(0, int), np.zeros(0, int)
+        self.at, self.speed, self.box = np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, 4))
+        self.started, self.step = 0, None
 
-    def _idle(self, n: int):
-        """Steps without candidates: every track predicts and misses."""
-        for _ in range(min(n, self.max_missed + 1)):
-            for tr in self.live:
-                tr["c"] = tr["c"] + tr["v"]
-                tr["missed"] += 1
-            self.live = [tr for tr in self.live if tr["missed"] <= self.max_missed]
+    def _keep(self, which: np.ndarray):
+        self.ids, self.missed, self.at, self.speed, self.box = (v[which] for v in (self.ids, self.missed, self.at, self.speed, self.box))
 
     def update(self, step: int, cands: list[tuple]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """``cands`` = (x, y, box); returns (candidate index, track id, position, box)."""
-        if self.step is not None:
-            self._idle(step - self.step - 1)
+        silent = 0 if self.step is None else step - self.step - 1
         self.step = step
-        free, out = list(range(len(cands))), []
-        for tr in self.live:
-            tr["c"] = tr["c"] + tr["v"]
-            d = [(math.hypot(cands[k][0] - tr["c"][0], cands[k][1] - tr["c"][1]), k) for k in free]
-            d = min((p for p in d if p[0] < self.gate), default=None)
-            if d is None:
-                tr["missed"] += 1
-                continue
-            free.remove(d[1])
-            seen = np.array(cands[d[1]][:2], float)
-            new = (1 - self.s) * seen + self.s * tr["c"]
-            tr["v"] = new - (tr["c"] - tr["v"])
-            tr["c"], tr["missed"] = new, 0
-            tr["box"] = self.s * tr["box"] + (1 - self.s) * np.array(cands[d[1]][2], float)
-            out.append((d[1], tr["id"], tr["c"], tr["box"]))
-        self.live = [tr for tr in self.live if tr["missed"] <= self.max_missed]
-        for k in free:
-            if len(self.live) < self.max_tracks:
-                tr = {"id": self.next_id, "c": np.array(cands[k][:2], float), "v": np.zeros(2),
-                      "box": np.array(cands[k][2], float), "missed": 0}
-                self.next_id += 1
-                self.live.append(tr)
-                out.append((k, tr["id"], tr["c"], tr["box"]))
+        self._keep(self.missed + silent <= self.max_missed)
+        self.missed = self.missed + silent
+        before = self.at + silent * self.speed
+        self.at = before + self.speed
+        seen = np.array([c[:2] for c in cands], float).reshape(-1, 2)
+        boxes = np.array([c[2] for c in cands], float).reshape(-1, 4)
+        pick = assign(np.hypot(*(self.at[:, None, :] - seen[None]).transpose(2, 0, 1)), self.gate)
+        hit = pick >= 0
+        s, k = self.smooth, pick[hit]
+        self.at[hit] = (1 - s) * seen[k] + s * self.at[hit]
+        self.speed[hit] = self.at[hit] - before[hit]
+        self.box[hit] = s * self.box[hit] + (1 - s) * boxes[k]
+        self.missed = np.where(hit, 0, self.missed + 1)
+        out = list(zip(k.tolist(), self.ids[hit].tolist(), self.at[hit].copy(), self.box[hit].copy()))
+        self._keep(self.missed <= self.max_missed)
+        fresh = np.setdiff1d(np.arange(len(cands)), k)
+        if self.max_tracks is not None:
+            fresh = fresh[:max(0, self.max_tracks - len(self.ids))]
+        ids = self.started + np.arange(len(fresh))
+        self.started += len(fresh)
+        out += zip(fresh.tolist(), ids.tolist(), seen[fresh], boxes[fresh])
+        self.ids, self.missed = np.concatenate([self.ids, ids]), np.concatenate([self.missed, np.zeros(len(fresh), int)])
+        self.at, self.speed = np.concatenate([self.at, seen[fresh]]), np.concatenate([self.speed, np.zeros((len(fresh), 2))])
+        self.box = np.concatenate([self.box, boxes[fresh]])
         return out
 
 
+def assign(distance: np.ndarray, gate: float) -> np.ndarray:
+    """For each row in order the nearest column that is free and nearer than ``gate``, or -1."""
+    d = np.where(distance < gate, distance, np.inf)
+    pick = np.full(len(d), -1)
+    for k in range(len(d)):
+        if d.shape[1] and np.isfinite(d[k].min()):
+            pick[k] = d[k].argmin()
+            d[:, pick[k]] = np.inf
+    return pick
+
+
 MULTI_SCHEMA = ("rec_id string, target_id long, step long, t long, cx double, cy double, x0 double, y0 double, "
                 "x1 double, y1 double, freq_hz double, snr double, harmonic double")
 
 
-def multi_tracker(cands: DataFrame, gate: float = 60.0, max_missed: int = 8, max_tracks: int = 6,
+def multi_tracker(cands: DataFrame, gate: float = 60.0, max_missed: int = 8, max_tracks: int | None = None,
                   smooth: float = 0.4, min_len: int = 2) -> DataFrame:
     """Track candidates (rec_id, step, blob, t, cx, cy, box, freq_hz, snr, harmonic) per recording."""
     def make():

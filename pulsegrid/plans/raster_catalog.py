@@ -121,7 +121,7 @@ def rate_tower(v):
       FROM px_lineitem GROUP BY rec_id)) s JOIN px_lineitem e ON e.rec_id = s.rec_id
       AND e.t < s.step*100000 + 50000 AND e.t >= s.step*100000 + 50000 - 300000 GROUP BY ALL)
   SELECT f.rec_id, step, gx, gy, rate_hz, zmax FROM f JOIN (SELECT rec_id, greatest(quantile_cont(m, 0.92), 1) AS zmax FROM
-    (SELECT rec_id, step, max(rate_hz) AS m FROM f WHERE step % greatest(n//60, 1) = 0 GROUP BY ALL) GROUP BY rec_id)
+    (SELECT rec_id, step, max(rate_hz) AS m FROM f GROUP BY ALL) GROUP BY rec_id)
   USING (rec_id)""")
 def rate_surface(v):
     return ra.rate_surface(v.px_lineitem, 64, 64, 8)

@@ -173,18 +173,18 @@ _SUB = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER
 
 
 @query("rec_id n_events:l peak_freq:d peak_power:d snr:d2", """SELECT rec_id, n_events, arg_max(f_hz, power) AS peak_freq, max(power) AS peak_power, max(power)/(median(power)+1e-12) AS snr FROM nus GROUP BY ALL""",
-       views={"sub": _SUB.format(n=3000), "nus": _NU.format(w="1.0", f0=100.0, df="(700.0/199)", nf=200, src="sub")})
+       views={"nus": _NU.format(w="1.0", f0=100.0, df="(700.0/199)", nf=200, src="px_tone")})
 def nufft_spectrum(v):
-    return sp.nufft_spectrum(v.px_tone, 100.0, 800.0, 200, 3000)
+    return sp.nufft_spectrum(v.px_tone, 100.0, 800.0, 200)
 
 
 @query("rec_id k:i f_hz:d power:d7", """SELECT rec_id, k, f_hz, (sum(cos(2*pi()*f_hz*(ts-tau)))**2/greatest(sum(cos(2*pi()*f_hz*(ts-tau))**2),1e-300)
    + sum(sin(2*pi()*f_hz*(ts-tau)))**2/greatest(sum(sin(2*pi()*f_hz*(ts-tau))**2),1e-300))/count(*) AS power FROM
   (SELECT *, atan2(sum(sin(4*pi()*f_hz*ts)) OVER w, sum(cos(4*pi()*f_hz*ts)) OVER w)/(4*pi()*f_hz) AS tau FROM
    (SELECT s.rec_id, k, 100.0+k*(500.0/60) AS f_hz, (t-t0)/1000000.0 AS ts FROM sub s JOIN (SELECT rec_id, min(t) AS t0 FROM sub GROUP BY rec_id) USING (rec_id), range(0,61) q(k))
-   WINDOW w AS (PARTITION BY rec_id, k)) GROUP BY ALL""", views={"sub": _SUB.format(n=2000)})
+   WINDOW w AS (PARTITION BY rec_id, k)) GROUP BY ALL""", views={"sub": "SELECT * FROM px_tone"})
 def lomb_scargle(v):
-    return sp.lomb_scargle(v.px_tone, 100.0, 600.0, 61, 2000)
+    return sp.lomb_scargle(v.px_tone, 100.0, 600.0, 61)
 
 
 @query("rec_id n_intervals:l freq_hz:d strength:d", """SELECT rec_id, sum(c) AS n_intervals, 5.0*exp((arg_max(b, c*1000-b)+0.5)/64*ln(2000/5.0)) AS freq_hz, max(c)/CAST(sum(c) AS DOUBLE) AS strength FROM

@@ -118,8 +118,18 @@ def test_first_gap(spark):
     assert src.first_gap(c, ["rec_id"], 12, 20).count() == 0
 
 
-def test_user_return_forms():
-    assert user.canonical((4, 6), 2)["det"] == 2
-    assert user.canonical({"bbox": (0, 0, 10, 4)}, 0)["cx"] == 5.0
-    assert user.canonical({"x": 1, "y": 2, "w": 4}, 0)["x1"] == 3.0
-    assert user.canonical({"label": "a"}, 0) is None
+def test_user_return_forms(spark):
+    items = [(4, 6), {"bbox": (0, 0, 10, 4)}, {"x": 1, "y": 2, "w": 4, "conf": 0.5}, {"label": "a"}, (5, 5, (1, 2, 3, 4)), (5, 5, 1, 2, 3, 4, 9), 7, {"cx": 3, "cy": 3, "h": 6, "id": 40}]
+    rows = [{"rec_id": "r", "window": 0, **d} for d in (user.said(it, i) for i, it in enumerate(items)) if d]
+    got = {r.det: r for r in user.one_form(spark.createDataFrame([tuple(d[c.split()[0]] for c in user.SAID_SCHEMA.split(", ")) for d in rows], user.SAID_SCHEMA)).collect()}
+    assert set(got) == {0, 1, 2, 4, 5, 40}
+    assert (got[0].x0, got[0].y1) == (-6.0, 16.0) and (got[1].cx, got[1].cy) == (5.0, 2.0)
+    assert (got[2].x1, got[2].y0, got[2].score) == (3.0, 0.0, 0.5)
+    assert got[4].x0 == got[5].x0 == 1.0 and (got[40].x0, got[40].y0) == (-7.0, 0.0)
+
+
+def test_tracks_beyond_six_are_kept():
+    tk = tr.MultiTrack()
+    cands = [(100.0 * k, 0.0, (0, 0, 1, 1)) for k in range(9)]
+    assert len(tk.update(0, cands)) == 9
+    assert [i for _, i, _, _ in tk.update(3, [(100.0 * k + 6, 0.0, (0, 0, 1, 1)) for k in range(9)])] == list(range(9))

@@ -121,3 +121,47 @@ def test_isi_and_nudft_agree(events):
     f = sp.isi_frequency(e, ["rec_id"]).first().freq_hz
     p = sp.nudft(e, ["rec_id"], [150.0, 200.0, 250.0]).toPandas().set_index("k").power
     assert 180 < f < 220 and p[1] > 0.99 and p[0] < 0.01
+
+
+def test_blocks_do_not_change_smoothing(spark, monkeypatch):
+    """Index gaps at block edges: the same values for small and large blocks, and those of plain Python."""
+    r = np.random.default_rng(2)
+    idx = np.cumsum(r.integers(1, 90, 300))
+    v = r.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"rec_id": "r", "i": idx, "v": v, "w": 1.0}))
+
+    def run(size):
+        monkeypatch.setattr(sg, "BLOCK", size)
+        a = sg.ema(df, ["rec_id"], "i", ["v"]).orderBy("i").toPandas().v_ema
+        b = sg.rolling_median(df, ["rec_id"], "i", "v", "w").orderBy("i").toPandas().ridge
+        c = sg.local_maxima(df, ["rec_id"], "i", "v").count()
+        return a.to_numpy(), b.to_numpy(), c
+
+    small, large = run(64), run(1 << 20)
+    assert np.allclose(small[0], large[0]) and np.allclose(small[1], large[1]) and small[2] == large[2]
+    want = [v[0]]
+    for x in v[1:]:
+        want.append(want[-1] * 0.5 + x * 0.5)
+    assert np.allclose(small[0], want)
+    assert np.allclose(small[1], [np.median(v[max(0, k - 2):k + 3]) for k in range(300)])
+
+
+def test_silent_stretches_count(events):
+    """Two bursts with a pause: a row for every segment, and no power in the silent ones."""
+    t = np.concatenate([bursts(100, 1.0), 3_000_000 + bursts(100, 1.0)])
+    sg_rows = sp.spectrogram(events(3, 3, t), ["rec_id"]).groupBy("seg").sum("power").toPandas()
+    n_bins = int((t.max() - t.min()) / 500) + 1
+    assert sorted(sg_rows.seg) == list(range((n_bins - 256) // 64 + 1)) and (sg_rows["sum(power)"] == 0).sum() > 20
+
+
+def test_coherence_is_low_when_one_side_is_mostly_silent(spark, events):
+    rate, n = 2000, 16_000
+    rng = np.random.default_rng(0)
+    tone = np.sin(2 * np.pi * 400 * np.arange(n) / rate) + 0.1 * rng.normal(size=n)
+    audio = spark.createDataFrame(pd.DataFrame({"rec_id": "a", "i": np.arange(n), "amp": tone}))
+    ev = events(5, 5, np.sort(bursts(400, 2.0, per=8)))
+    boxes = spark.createDataFrame([("r", int(t), 0.0, 0.0, 10.0, 10.0) for t in range(0, 8_000_001, 100_000)], "rec_id string, t long, x0 double, y0 double, x1 double, y1 double")
+    plan = spark.createDataFrame([("r", "a", 0.0)], "rec_id string, audio_id string, offset_s double")
+    got = fu.cross_coherence(ev, boxes, audio, rate, plan, nperseg=256).first()
+    assert got.n_segments == (n - 256) // 128 + 1 and got.peak_coh < 0.5
+    assert fu.cross_coherence(ev, boxes, audio, rate, plan, nperseg=32_768).count() == 0
