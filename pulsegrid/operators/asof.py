@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import US
+from ..session import cut_lineage
 
 #: most interval rows that are broadcast (some 200 bytes each)
 BROADCAST_ROWS = 500_000
@@ -35,6 +36,16 @@ def intervals(marks: DataFrame, keys: list[str], t: str = "t", bucket_us: int =
     return m.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A summary table (some rows for each recording), computed once, to be joined with events where they are.
+
+    Catalyst sizes an aggregate by its input and would shuffle the events for it; so its rows are counted and it is broadcast
+    up to the bound.  A longer table is joined by shuffle.
+    """
+    kept = cut_lineage(table)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def asof(events: DataFrame, marks: DataFrame, keys: list[str], te: Column, mark_t: str = "t",
          bucket_us: int = US, clip: bool = True) -> DataFrame:
     """Attach to each event the interval that holds ``te``: structs ``m`` (mark) and ``nx`` (next).

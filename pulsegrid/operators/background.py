@@ -6,6 +6,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import US
+from .asof import small
 from .denoise import PIXEL, hot_pixels, pixel_counts
 from .rotation import azimuth_interp, phase_asof, revolution_asof, rotation_period
 from .select import us
@@ -22,7 +23,7 @@ def staring_background(ev: DataFrame, bg_window_s: float = 1.0, baseline_pct: fl
         learn = ev.where(F.col("t") < us(bg_window_s))
     else:
         first = ev.groupBy("rec_id").agg(F.min("t").alias("_t0"))
-        learn = ev.join(first, "rec_id").where(F.col("t") < F.col("_t0") + us(bg_window_s))
+        learn = ev.join(small(first), "rec_id").where(F.col("t") < F.col("_t0") + us(bg_window_s))
     pc = pixel_counts(learn)
     thr = pc.groupBy("rec_id").agg(
         F.greatest(F.percentile("n", baseline_pct / 100.0), F.lit(1.0)).alias("_thr"))
@@ -99,7 +100,7 @@ def cumulative_voxel_mask(ev: DataFrame, pulses: DataFrame, n_phase: int = 360,
     seed = first.groupBy("rec_id").agg(F.min("_first").alias("_seed"))
     out = v.join(first, VOXEL).where(F.col("rev") <= F.col("_first"))
     if skip_first_rev:
-        out = out.join(seed, "rec_id").where(F.col("rev") > F.col("_seed"))
+        out = out.join(small(seed), "rec_id").where(F.col("rev") > F.col("_seed"))
     return out.join(hot_pixels(ev, hot_pct), PIXEL, "left_anti").select(*ev.columns, "rev")
 
 
@@ -178,7 +179,7 @@ def mc_noise_mask(ev: DataFrame, n_slices: int = 20, slice_s: float = 0.05, thre
     hits = F.array(*[F.when((F.col("t") >= F.col("_tmax") * s)
                             & (F.col("t") < F.col("_tmax") * s + us(slice_s)), F.lit(i))
                      for i, s in enumerate(starts)])
-    return (ev.join(end.where("_tmax > 0"), "rec_id")
+    return (ev.join(small(end.where("_tmax > 0")), "rec_id")
             .select(*PIXEL, F.explode(F.array_compact(hits)).alias("slice")).distinct()
             .groupBy(*PIXEL).agg(F.count("*").alias("n_slices"))
             .where(F.col("n_slices") >= thresh))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import US
+from .asof import small
 from .ordered import union_all
 from .raster import spans
 from .select import select_window, us
@@ -19,7 +20,7 @@ def cut_clip(ev: DataFrame, t0: float | None = None, t1: float | None = None, ro
     if origin_us is not None:
         out = part.withColumn("_o", F.lit(origin_us))
     else:
-        out = part.join(part.groupBy("rec_id").agg(F.min("t").alias("_o")), "rec_id")
+        out = part.join(small(part.groupBy("rec_id").agg(F.min("t").alias("_o"))), "rec_id")
     out = select_window(out, roi=roi)
     return out.withColumn("t", F.greatest(F.col("t") - F.col("_o"), F.lit(0))).select(*ev.columns)
 
@@ -76,7 +77,7 @@ def composite_canvas(ev: DataFrame, cells: list[Cell], width: int, height: int,
                      duration_s: float) -> DataFrame:
     """Map recordings into canvas rectangles on one clock, loop passes repeated, clipped to the canvas."""
     sw, sh = sensor
-    s = spans(ev)
+    s = small(spans(ev))
     outs = []
     for i, c in enumerate(cells):
         rx, ry, rw, rh = c.rect
@@ -113,7 +114,7 @@ def aligned_pair(ev: DataFrame, audio: DataFrame, rate: int, plan: DataFrame) ->
          .withColumn("_lo", F.greatest(F.lit(0.0), F.col("offset_s")))
          .withColumn("_hi", F.least((F.col("t_last") - F.col("t_first")) / US, F.col("offset_s") + F.col("_a")))
          .where("_hi > _lo"))
-    e = ev.join(w.select("rec_id", "_lo", "_hi"), "rec_id")
+    e = ev.join(small(w.select("rec_id", "_lo", "_hi")), "rec_id")
     lo, hi = F.rint(F.col("_lo") * US), F.rint(F.col("_hi") * US)
     first = e.where((F.col("t") >= lo) & (F.col("t") < hi))
     org = first.groupBy("rec_id").agg(F.min("t").alias("_o"))

@@ -14,7 +14,7 @@ from .ordered import islands, last, scan
 from .quantiles import counted_quantiles, exact_quantiles
 from .raster import cell, gaussian_blur, spans
 from .rotation import azimuth_interp, revolution_asof, unwrap, world_azimuth
-from .asof import asof, lerp
+from .asof import asof, lerp, small
 
 
 # ------------------------------------------------------------------ frozen masks at every depth
@@ -124,7 +124,7 @@ def masking_metrics(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int
 def mask_reduction_over_time(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int, height: int,
                              n_list: tuple[int, ...] = (0, 1, 2, 3, 4), bin_us: int = 50_000) -> DataFrame:
     """Kept rate per time bin (from the first event) for each coarse mask depth, lit bins only."""
-    e = coarse_depth(ev, tel, pulses, width, height).join(spans(ev), "rec_id")
+    e = coarse_depth(ev, tel, pulses, width, height).join(small(spans(ev)), "rec_id")
     ks = [F.count_if(F.col("depth") > n).alias(f"k{n}") for n in n_list]
     g = e.groupBy("rec_id", F.floor((F.col("t") - F.col("t_first")) / bin_us).alias("bin")).agg(*ks)
     return g.select("rec_id", "bin", F.explode(F.array(*[

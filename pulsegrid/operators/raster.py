@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import tone
 from ..functions.angles import elevation
 from ..schema import US
-from .asof import asof  # noqa: F401  (re-exported for callers that build their own joins)
+from .asof import small
 from .denoise import PIXEL, pixel_counts
 from .quantiles import counted_quantiles
 from .rotation import world_azimuth
@@ -46,7 +46,7 @@ def event_rate(ev: DataFrame, bin_us: int = 10_000) -> DataFrame:
     """Rate per bin since the first event, empty bins included, the last bin closed."""
     s = spans(ev).withColumn("_nb", F.greatest(
         F.ceil((F.col("t_last") - F.col("t_first")) / bin_us), F.lit(1)))
-    counts = (ev.join(s, "rec_id")
+    counts = (ev.join(small(s), "rec_id")
               .groupBy("rec_id", F.least(F.floor((F.col("t") - F.col("t_first")) / bin_us),
                                          F.col("_nb") - 1).alias("bin"))
               .agg(F.count("*").alias("n")))
@@ -159,7 +159,7 @@ def event_cube(ev: DataFrame, nt: int = 64, spatial_bin: int = 1, mode: str = "c
     w = F.when(F.col("p") == 1, 1).otherwise(-1) if mode == "polarity" else F.lit(1)
     span = F.greatest((F.col("t_last") - F.col("t_first")).cast("double"), F.lit(1e-3))
     sl = F.least(F.floor((F.col("t") - F.col("t_first")) / span * nt), F.lit(nt - 1))
-    return (ev.join(spans(ev), "rec_id")
+    return (ev.join(small(spans(ev)), "rec_id")
             .groupBy("rec_id", F.floor(F.col("y") / spatial_bin).alias("cy"),
                      F.floor(F.col("x") / spatial_bin).alias("cx"), sl.alias("slice"))
             .agg(F.sum(w).alias("value")))
@@ -200,7 +200,7 @@ def rate_surface(ev: DataFrame, width: int, height: int, grid: int = 8, dt_us: i
 def density_strip(ev: DataFrame, bins: int = 512) -> DataFrame:
     """Event histogram over the recording, divided by its peak (lit bins)."""
     s = spans(ev)
-    h = (ev.join(s, "rec_id").where(F.col("t_last") > 0)
+    h = (ev.join(small(s), "rec_id").where(F.col("t_last") > 0)
          .groupBy("rec_id", cell(F.col("t"), F.lit(0), F.col("t_last"), bins).alias("bin"))
          .agg(F.count("*").alias("n")))
     return h.join(h.groupBy("rec_id").agg(F.max("n").alias("_m")), "rec_id") \
@@ -239,7 +239,7 @@ def trailing(ev: DataFrame, window: Column | float) -> DataFrame:
     """Events of the last ``window`` seconds of each recording, with ``_tc`` its end (s)."""
     s = spans(ev).select("rec_id", (F.col("t_last") / US).alias("_tc"))
     w = window if isinstance(window, Column) else F.lit(float(window))
-    return ev.join(s, "rec_id").where(F.col("t") >= (F.col("_tc") - w) * US)
+    return ev.join(small(s), "rec_id").where(F.col("t") >= (F.col("_tc") - w) * US)
 
 
 def phase_locked_panorama(ev: DataFrame, tel: DataFrame, fov_deg: float, width: int,
@@ -287,7 +287,7 @@ def space_time_projection(ev: DataFrame, width: int, height: int, theta_deg: flo
     th, ph = math.radians(theta_deg), math.radians(phi_deg)
     tn = (F.col("t") - F.col("t_first")) / F.greatest(
         (F.col("t_last") - F.col("t_first")).cast("double"), F.lit(1e-3)) * (width * depth)
-    p = ev.join(spans(ev), "rec_id").select(
+    p = ev.join(small(spans(ev)), "rec_id").select(
         "rec_id", (F.col("x") * math.cos(th) - tn * math.sin(th)).alias("u"),
         (F.col("y") * math.cos(ph) + (F.col("x") * math.sin(th) + tn * math.cos(th)) * math.sin(ph)).alias("v"))
     b = p.groupBy("rec_id").agg(F.min("u").alias("u0"), F.min("v").alias("v0"),
@@ -371,7 +371,7 @@ def mti(ev_az: DataFrame, value: str, lo: Column, hi: Column, t_bins: int = 600,
     the median as one weighted zero per column instead of a dense grid.
     """
     s = spans(ev_az)
-    h = (ev_az.join(s, "rec_id").select(
+    h = (ev_az.join(small(s), "rec_id").select(
             "rec_id", cell(F.col("t"), F.lit(0), F.col("t_last"), t_bins).alias("t_bin"),
             cell(F.col(value), lo, hi, bins).alias("bin"))
          .where(F.col("bin").isNotNull()).groupBy("rec_id", "t_bin", "bin").agg(F.count("*").alias("n")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.spectral import array_median, band_slice, harmonic_comb, power_udf
 from ..schema import US
-from .asof import asof, lerp
+from .asof import asof, lerp, small
 from .ordered import chunk_of, last, scan
 from .raster import spans
 from .select import random_subsample
@@ -96,7 +96,7 @@ def flicker_map(ev: DataFrame, fmin: float = 80.0, fmax: float = 800.0, fs: floa
     s = s.withColumn("fs", F.lit(float(fs))).withColumn("n_bins", F.floor(F.col("_span") / (US / F.col("fs"))).cast("int"))
     key = ["rec_id", "cy", "cx"]
     pos = F.floor((F.col("t") - F.col("t_first")) / (US / F.col("fs")))
-    binned = (ev.join(s, "rec_id")
+    binned = (ev.join(small(s), "rec_id")
               .groupBy("rec_id", F.floor(F.col("y") / cell).cast("int").alias("cy"),
                        F.floor(F.col("x") / cell).cast("int").alias("cx"), "fs", "n_bins",
                        F.greatest(F.least(pos, F.col("n_bins") - 1), F.lit(0)).cast("int").alias("bin"))
@@ -125,7 +125,7 @@ def flicker_map_max(ev: DataFrame, fmin: float = 80.0, fmax: float = 800.0, fs:
     rel = F.col("t") - F.col("t_first")
     lo = F.greatest(F.floor((rel - win) / hop) + 1, F.lit(0))
     hi = F.least(F.floor(rel / hop), F.col("_k"))
-    w = (ev.join(s, "rec_id").where((F.col("t") < F.col("t_last")) & (hi >= lo))
+    w = (ev.join(small(s), "rec_id").where((F.col("t") < F.col("t_last")) & (hi >= lo))
          .withColumn("k", F.explode(F.sequence(lo, hi))))
     start = F.col("t_first") + F.col("k") * hop
     span = F.least(start + win, F.col("t_last")) - start
@@ -151,7 +151,7 @@ def freq_map(ev: DataFrame, width: int, height: int, grid: int, window_s: float,
     """Grid variant over the trailing window: magnitude peaks, weak cells marked not significant."""
     n = max(int(window_s * fs), 16)
     start = F.col("t_last") / US - window_s
-    e = ev.join(spans(ev), "rec_id").where(F.col("t") >= start * US)
+    e = ev.join(small(spans(ev)), "rec_id").where(F.col("t") >= start * US)
     b = F.greatest(F.least(F.floor((F.col("t") / US - start) * fs), F.lit(n - 1)), F.lit(0)).cast("int")
     key = ["rec_id", "gy", "gx"]
     binned = (e.groupBy("rec_id", F.least(F.floor(F.col("y") * grid / height), F.lit(grid - 1)).cast("int").alias("gy"),

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.asof import small
 from ..operators.ordered import count, highest, islands, last, scan, total
 from ..operators.raster import spans
 from ..operators.select import us
@@ -31,7 +32,7 @@ def number_events(raw: DataFrame, source_order: str) -> DataFrame:
     The running number is a chunked scan, so one long recording is numbered in parallel.
     """
     first = raw.groupBy("rec_id").agg(F.min("t").alias("_t0"))
-    z = raw.join(first, "rec_id").withColumn("t", F.col("t") - F.col("_t0"))
+    z = raw.join(small(first), "rec_id").withColumn("t", F.col("t") - F.col("_t0"))
     n = scan(z, ["rec_id"], ["t", source_order], _n=count())
     return n.select("rec_id", (F.col("_n") - 1).alias("seq"), "x", "y", "p", "t")
 
