@@ -11,7 +11,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, functions as F
 
 
@@ -40,11 +39,8 @@ class Words:
     """``codes`` of all words in order, indices into ``vocab``; document d has words ``start[d]:start[d+1]``."""
 
     def __init__(self, texts: pa.Array, table: bytes):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = (b"" if raw is None else raw[int(at[0]):int(at[-1])].to_pybytes()).translate(table)
-        clean = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(data))
+        at, data = cleaned(texts, table)
+        clean = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at.tobytes()), pa.py_buffer(data))
         lists = pc.ascii_split_whitespace(clean)
         words = lists.flatten()
         found = np.asarray(pc.greater(pc.binary_length(words), 0))
@@ -65,14 +61,48 @@ class Words:
         return np.repeat(np.arange(len(self.start) - 1), self.counts)
 
 
-@lru_cache(maxsize=400_000)
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def hashes(vocab: pa.Array) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter((word_hash(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
+#: One 64-bit number for each byte, and an odd base, for word hashes.
+_BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def cleaned(texts: pa.Array, table: bytes) -> tuple[np.ndarray, bytes]:
+    """Offsets of the texts in one buffer, and the buffer with lower-case words and blanks (null: empty)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    return at - at[0], b"" if raw is None else raw[int(at[0]):int(at[-1])].to_pybytes().translate(table)
+
+
+def word_hashes(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the first word of each text (one more entry at the end).
+
+    A hash is a polynomial in the word's bytes modulo 2**64, from one running sum over the whole buffer.
+    """
+    at, data = cleaned(texts, table)
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    up, down = _powers(1 << max(22, len(b).bit_length()))
+    word = b != 32
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = at[(at > 0) & (at < len(b))]                          # a text ends the word before it
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    run = np.cumsum(_BYTE[b] * up[:len(b)], dtype=np.uint64)
+    before = np.where(first > 0, run[first - 1], np.uint64(0))
+    return mix((run[last] - before) * down[first] + (last - first).astype(np.uint64)), np.searchsorted(first, at)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
