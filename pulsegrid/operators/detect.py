@@ -17,6 +17,7 @@ from ..functions.spectral import band_slice
 from ..schema import US
 from ..session import cut_lineage
 from . import background as bg
+from .asof import small
 from .denoise import PIXEL, hot_pixels
 from .geometry import build_trajectory
 from .kpi import target_rollup
@@ -140,7 +141,7 @@ def foreground(ev: DataFrame, pos_only: bool, suppress: bool) -> DataFrame:
     if suppress:
         s = spans(ev).select("rec_id", F.col("t_first").alias("_a"),
                              F.least(F.lit(US), F.floor((F.col("t_last") - F.col("t_first")) * 0.3)).alias("_w"))
-        learn = ev.join(s, "rec_id").where(F.col("t") < F.col("_a") + F.col("_w"))
+        learn = ev.join(small(s), "rec_id").where(F.col("t") < F.col("_a") + F.col("_w"))
         pc = learn.groupBy(*PIXEL).agg(F.count("*").alias("n"))
         thr = pc.groupBy("rec_id").agg(F.greatest(F.percentile("n", 0.995), F.lit(1.0)).alias("_thr"))
         out = out.join(pc.join(thr, "rec_id").where("n >= _thr"), PIXEL, "left_anti")
@@ -173,7 +174,11 @@ def flutter_candidates(ev: DataFrame, width: int, height: int, band: tuple[float
 def flutter_detect(ev: DataFrame, width: int, height: int, fov_deg: float, band: tuple[float, float] = (80.0, 800.0),
                    target_m: float = 0.22, tel: DataFrame | None = None, tracker: dict | None = None,
                    **kw) -> DataFrame:
-    """Cluster, verify by spectrum, track and localise: one row per track point."""
+    """Cluster, verify by spectrum, track and localise: one row per track point.
+
+    On a rotating sensor (with telemetry) no pixel is background for long, so nothing is suppressed unless asked for.
+    """
+    kw.setdefault("suppress", tel is None)
     c = flutter_candidates(ev, width, height, band, **kw)
     tr = multi_tracker(c.withColumn("blob", _rank_by_area()), **(tracker or {}))
     return localize_targets(tr, fov_deg, width, height, target_m, tel)

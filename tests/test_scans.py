@@ -65,3 +65,18 @@ def test_correlate_in_blocks(spark):
     full = np.correlate(b, a, "full")
     for lag in range(-40, 41):
         assert np.isclose(got[lag], full[lag + len(a) - 1]), lag
+
+
+def test_events_stay_in_place(spark, events):
+    """With a broadcast limit below any table, per-recording tables still come to the events, not the events to them."""
+    from pulsegrid.operators import raster, spectra
+    ev = events(np.arange(200) % 8, np.arange(200) % 8, np.arange(200) * 1000)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for df in (raster.event_cube(ev, 4, 4), raster.density_strip(ev, 16).select("rec_id"), spectra.freq_map(ev, 8, 8, 2, 0.1, 200.0, 10.0, 90.0)):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            below = plan[plan.index("BroadcastHashJoin"):]
+            assert "Exchange hashpartitioning" not in below.split("Aggregate")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
