@@ -32,6 +32,8 @@ from pulsegrid.session import cut_lineage
 #: Compressed bytes of a file, and payload bytes of a range, about.
 FILE_BYTES, RANGE_BYTES = 16 << 20, 64 << 20
 LEAST = 0
+#: Repeated payloads (some 100 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_REPEATS = 500_000
 _DATE = "1970-01-01T00:00:00Z"
 _FIELDS = "file string, bytes long, records long, sha256 string"
 
@@ -62,7 +64,8 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     # Only payloads that occur again are looked up; their table is summed before it is shuffled.
     again = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha1", "last")
-    both = rows.join(again, "sha1", "left")
+    again = cut_lineage(again)
+    both = rows.join(F.broadcast(again) if again.count() <= BROADCAST_REPEATS else again, "sha1", "left")
     later = F.col("last").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("last"))
     return both.select("page_id", "url", "html", F.when(later, F.col("last")).alias("refers_to"))
 
