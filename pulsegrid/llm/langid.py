@@ -14,8 +14,6 @@ to the language first in order.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +23,7 @@ from pulsegrid.session import cut_lineage
 
 from .text import ALNUM_WORDS, Words, held_out, slices
 
-LONGEST, LEAST, WORDS, GRAMS = 4, 2, 200_000, 100_000
+LONGEST, LEAST, WORDS, GRAMS = 4, 2, 100_000, 50_000
 #: Natural-log score of a word or n-gram that a language never has.
 PENALTY = -16.0
 UNKNOWN = "und"
@@ -86,36 +84,35 @@ def _count_grams(batches):
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams, in sorted languages' order."""
-
-    def __init__(self, langs: list[str], words: list[tuple], word_totals: dict[str, int], gram_rows: list[tuple], gram_totals: dict):
-        self.langs = langs
-        at = {lang: k for k, lang in enumerate(langs)}
-        self.words, self.grams = {}, [{} for _ in range(LONGEST + 1)]
-        scores: list = []
-        for rows, target, total in ((words, lambda w: self.words, lambda lang, w: word_totals[lang]),
-                                    (gram_rows, lambda g: self.grams[len(g)], lambda lang, g: gram_totals[lang, len(g)])):
-            for word, counts in rows:
-                target(word)[word] = len(scores)
-                row = [PENALTY] * len(langs)
-                for lang, n in counts:
-                    row[at[lang]] = math.log(n / total(lang, word))
-                scores.append(row)
-        self.scores = np.array(scores).reshape(-1, max(1, len(langs)))
+    """Log frequencies by language of known words and n-grams, languages in order."""
+
+    def __init__(self, langs: list[str], names: pa.Array, scores: np.ndarray, n_words: int):
+        """``names`` holds ``n_words`` words, then n-grams; ``scores`` has a row for each."""
+        self.langs, self.names, self.scores, self.n_words = langs, names, scores, n_words
+        self.words = None
+
+    def _index(self) -> None:
+        names = self.names.to_pylist()
+        self.words = {w: k for k, w in enumerate(names[:self.n_words])}
+        self.grams = {g: k for k, g in enumerate(names[self.n_words:], self.n_words)}
         self.known: dict[str, np.ndarray] = {}
 
     def score(self, word: str) -> np.ndarray:
+        if self.words is None:
+            self._index()
         k = self.words.get(word)
         if k is not None:
             return self.scores[k]
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+            found = [self.grams[g] for g in grams(word, n) if g in self.grams]
             if found:
                 return self.scores[found].mean(0)
         return np.full(self.scores.shape[1], PENALTY)
 
     def score_all(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words; what was scored before in this task is kept, up to a bound."""
+        if self.words is None:
+            self._index()
         if len(self.known) > 300_000:
             self.known = {}
         out = np.empty((len(words), self.scores.shape[1]))
@@ -127,6 +124,17 @@ class Model:
         return out
 
 
+def _kept(counts: DataFrame, langs: list[str], most: int) -> pa.Table:
+    """word and its counts in each language, of the most frequent words."""
+    wide = counts.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)], F.sum("n").alias("all"))
+    return wide.where(F.col("all") >= LEAST).orderBy(F.desc("all"), "word").limit(most).drop("all").toArrow()
+
+
+def _logs(table: pa.Table, totals: np.ndarray) -> np.ndarray:
+    n = np.stack([np.asarray(table.column(k + 1)) for k in range(table.num_columns - 1)], axis=1).astype(float)
+    return np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(totals, 1)), PENALTY).astype(np.float32)
+
+
 def train(docs: DataFrame) -> Model | None:
     """Learn from every row with a text and a lang."""
     counts = (docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text").mapInArrow(_count_words, "lang string, word string, n long")
@@ -135,11 +143,15 @@ def train(docs: DataFrame) -> Model | None:
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
-    kept = (lambda df, most: [(r.word, [(x.lang, x.n) for x in r.counts]) for r in df.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts"), F.sum("n").alias("all"))
-                              .where(F.col("all") >= LEAST).orderBy(F.desc("all"), "word").limit(most).collect()])
-    gram_counts = counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    gram_totals = {(r.lang, r.size): r.n for r in gram_counts.groupBy("lang", F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()}
-    return Model(sorted(totals), kept(counts, WORDS), totals, kept(gram_counts, GRAMS), gram_totals)
+    langs = sorted(totals)
+    words = _kept(counts, langs, WORDS)
+    gram_counts = cut_lineage(counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    found = _kept(gram_counts, langs, GRAMS)
+    size = {(r.lang, r.size): r.n for r in gram_counts.groupBy("lang", F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()}
+    lengths = np.asarray(pc.utf8_length(found.column("word").combine_chunks()))
+    gram_totals = np.array([[size.get((lang, n), 1) for lang in langs] for n in range(LONGEST + 1)], float)[lengths]
+    names = pa.concat_arrays([t.column("word").combine_chunks().cast(pa.large_string()) for t in (words, found)])
+    return Model(langs, names, np.concatenate([_logs(words, np.array([totals[lang] for lang in langs], float)), _logs(found, gram_totals)]), words.num_rows)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
