@@ -1,8 +1,9 @@
 """Language identification by words first, then by shorter and shorter character n-grams.
 
-Training counts every word of every labelled text by language.  The word model keeps the words that occur at least ``LEAST`` times, the most
-frequent ``WORDS`` of them (a model size, not a limit on what is counted); n-gram models of 1 to ``LONGEST`` characters are
-counted from all words and keep ``GRAMS`` entries.  A known word scores its relative log frequency in each language, with a
+Training counts every word of every labelled text by language, and n-grams of 1 to ``LONGEST`` characters from all words.  The model is two
+distributed tables of all words and all n-grams that occur at least ``LEAST`` times.  Their most frequent ``WORDS`` and ``GRAMS`` entries travel
+to the tasks; words that these cannot settle are gathered, scored once each by joins with the whole tables, and added to their texts'
+sums.  Scores are integers (``UNIT`` to 1), so sums don't depend on order or on what travels.  A known word scores its relative log frequency in each language, with a
 fixed penalty where a language never has it.  An unseen word, framed by blanks, is cut into n-grams of the
 longest order; if a model of that order knows any of them, their mean log frequency is the word's score, else the next shorter order is
 tried.  A text's score is the mean over its words.  The answer is the best language; its score is the
@@ -26,6 +27,9 @@ from .text import ALNUM_WORDS, Words, held_out, slices
 LONGEST, LEAST, WORDS, GRAMS = 4, 2, 100_000, 50_000
 #: Natural-log score of a word or n-gram that a language never has.
 PENALTY = -16.0
+#: Fixed point of scores.
+UNIT = 1 << 20
+LOWEST = int(PENALTY * UNIT)
 UNKNOWN = "und"
 #: Rows that a task's partial counts may hold before they are sent on.
 FLUSH = 1_000_000
@@ -84,55 +88,83 @@ def _count_grams(batches):
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams, languages in order."""
+    """Scores by language, languages in order: the whole tables, and of each the most frequent entries for the tasks."""
+
+    def __init__(self, langs: list[str], words: DataFrame, grams: DataFrame):
+        """``words`` and ``grams`` have columns word, all, s0, s1, ..."""
+        self.langs, self.words, self.grams = langs, words, grams
+        top, more = _frequent(words, WORDS)
+        found, still = _frequent(grams, GRAMS)
+        self.hot = Hot(len(langs), top, found, not more, not still)
 
-    def __init__(self, langs: list[str], names: pa.Array, scores: np.ndarray, n_words: int):
-        """``names`` holds ``n_words`` words, then n-grams; ``scores`` has a row for each."""
-        self.langs, self.names, self.scores, self.n_words = langs, names, scores, n_words
-        self.words = None
 
-    def _index(self) -> None:
-        names = self.names.to_pylist()
-        self.words = {w: k for k, w in enumerate(names[:self.n_words])}
-        self.grams = {g: k for k, g in enumerate(names[self.n_words:], self.n_words)}
-        self.known: dict[str, np.ndarray] = {}
+class Hot:
+    """The entries that travel; ``all_words`` and ``all_grams`` tell whether there are no others."""
 
-    def score(self, word: str) -> np.ndarray:
+    def __init__(self, size: int, words: pa.Table, grams: pa.Table, all_words: bool, all_grams: bool):
+        self.size, self.all_words, self.all_grams = size, all_words, all_grams
+        self.names = pa.concat_arrays([t.column("word").combine_chunks().cast(pa.large_string()) for t in (words, grams)])
+        self.n_words = words.num_rows
+        self.scores = np.concatenate([np.stack([np.asarray(t.column(f"s{k}")) for k in range(size)], axis=1).astype(np.int32) for t in (words, grams)])
+        self.words = None
+
+    def index(self) -> None:
         if self.words is None:
-            self._index()
-        k = self.words.get(word)
-        if k is not None:
-            return self.scores[k]
+            names = self.names.to_pylist()
+            self.words = {w: k for k, w in enumerate(names[:self.n_words])}
+            self.grams = {g: k for k, g in enumerate(names[self.n_words:], self.n_words)}
+            self.known: dict[str, np.ndarray] = {}
+
+    def parts(self, word: str):
+        """n-gram size, sum of scores and number of what is found here, and what only the whole table can tell."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            cut = grams(word, n)
+            found = [self.grams[g] for g in cut if g in self.grams]
+            yield n, self.scores[found].sum(0, dtype=np.int64), len(found), [] if self.all_grams else [g for g in cut if g not in self.grams]
             if found:
-                return self.scores[found].mean(0)
-        return np.full(self.scores.shape[1], PENALTY)
+                return
 
-    def score_all(self, words: list[str]) -> np.ndarray:
-        """Scores of distinct words; what was scored before in this task is kept, up to a bound."""
-        if self.words is None:
-            self._index()
+    def score(self, word: str) -> np.ndarray | None:
+        """None where the whole tables are needed."""
+        k = self.words.get(word)
+        if k is not None:
+            return self.scores[k]
+        if not (self.all_words and self.all_grams):
+            return None
+        for _, total, n, _ in self.parts(word):
+            if n:
+                return np.round(total / n)
+        return np.full(self.size, LOWEST)
+
+    def score_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of distinct words, and which are open; what was scored before in this task is kept, up to a bound."""
+        self.index()
         if len(self.known) > 300_000:
             self.known = {}
-        out = np.empty((len(words), self.scores.shape[1]))
+        out, is_open = np.zeros((len(words), self.size)), np.zeros(len(words), bool)
         for k, w in enumerate(words):
             s = self.known.get(w)
             if s is None:
-                s = self.known[w] = self.score(w)
+                s = self.score(w)
+                if s is None:
+                    is_open[k] = True
+                    continue
+                self.known[w] = s
             out[k] = s
-        return out
+        return out, is_open
 
 
-def _kept(counts: DataFrame, langs: list[str], most: int) -> pa.Table:
-    """word and its counts in each language, of the most frequent words."""
+def _scored(counts: DataFrame, langs: list[str], total) -> DataFrame:
+    """word, all, and its score in each language, of all words that occur at least LEAST times; ``total(k)`` is the count of all in language k."""
     wide = counts.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)], F.sum("n").alias("all"))
-    return wide.where(F.col("all") >= LEAST).orderBy(F.desc("all"), "word").limit(most).drop("all").toArrow()
+    score = (lambda k: F.when(F.col(f"n{k}") > 0, F.round(F.log(F.col(f"n{k}") / total(k)) * UNIT)).otherwise(LOWEST).cast("int").alias(f"s{k}"))
+    return wide.where(F.col("all") >= LEAST).select("word", "all", *[score(k) for k in range(len(langs))])
 
 
-def _logs(table: pa.Table, totals: np.ndarray) -> np.ndarray:
-    n = np.stack([np.asarray(table.column(k + 1)) for k in range(table.num_columns - 1)], axis=1).astype(float)
-    return np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(totals, 1)), PENALTY).astype(np.float32)
+def _frequent(table: DataFrame, most: int) -> tuple[pa.Table, bool]:
+    """The most frequent entries, and whether there are more."""
+    top = table.orderBy(F.desc("all"), "word").limit(most + 1).drop("all").toArrow()
+    return top.slice(0, most), top.num_rows > most
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -144,14 +176,38 @@ def train(docs: DataFrame) -> Model | None:
     if not totals:
         return None
     langs = sorted(totals)
-    words = _kept(counts, langs, WORDS)
     gram_counts = cut_lineage(counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    found = _kept(gram_counts, langs, GRAMS)
     size = {(r.lang, r.size): r.n for r in gram_counts.groupBy("lang", F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()}
-    lengths = np.asarray(pc.utf8_length(found.column("word").combine_chunks()))
-    gram_totals = np.array([[size.get((lang, n), 1) for lang in langs] for n in range(LONGEST + 1)], float)[lengths]
-    names = pa.concat_arrays([t.column("word").combine_chunks().cast(pa.large_string()) for t in (words, found)])
-    return Model(langs, names, np.concatenate([_logs(words, np.array([totals[lang] for lang in langs], float)), _logs(found, gram_totals)]), words.num_rows)
+    of_size = (lambda k: F.element_at(F.array(*[F.lit(float(size.get((langs[k], n), 1))) for n in range(1, LONGEST + 1)]), F.length("word")))
+    return Model(langs, _scored(counts, langs, lambda k: F.lit(float(totals[langs[k]]))), _scored(gram_counts, langs, of_size))
+
+
+def settled(words: DataFrame, model: Model, shared) -> DataFrame:
+    """word, s0, s1, ... of distinct words, by the whole tables."""
+    each = [f"s{k}" for k in range(len(model.langs))]
+    types = ", ".join(f"{c} long" for c in each)
+
+    def run(batches):
+        hot = shared.value
+        hot.index()
+        for b in batches:
+            scores = np.stack([np.asarray(b.column(c).fill_null(0)) for c in each], axis=1).astype(np.int64)
+            rows = []
+            for k, (word, known) in enumerate(zip(b.column("word").to_pylist(), b.column(each[0]).is_valid().to_pylist())):
+                rows += [(word, LONGEST + 1, scores[k], 1, [])] if known else [(word, *part) for part in hot.parts(word)]
+            total = np.array([r[2] for r in rows], np.int64).reshape(len(rows), len(each))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), *[pa.array(total[:, k]) for k in range(len(each))],
+                                              pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.string()))], ["word", "size", *each, "n", "missing"])
+
+    parts = words.join(model.words.drop("all"), "word", "left").mapInArrow(run, f"word string, size int, {types}, n long, missing array<string>")
+    if not shared.value.all_grams:
+        parts = cut_lineage(parts)
+        asked = parts.select(F.col("word").alias("of"), "size", F.explode("missing").alias("word"))
+        found = asked.join(model.grams, "word").select(F.col("of").alias("word"), "size", *[F.col(c).cast("long").alias(c) for c in each], F.lit(1).cast("long").alias("n"))
+        parts = parts.drop("missing").unionByName(found)
+    sums = parts.groupBy("word", "size").agg(*[F.sum(c).alias(c) for c in each], F.sum("n").alias("n"))
+    best = sums.groupBy("word").agg(F.max_by(F.struct(*each, "n"), F.when(F.col("n") > 0, F.col("size"))).alias("b"))
+    return best.select("word", *[F.coalesce(F.rint(F.col(f"b.{c}") / F.col("b.n")).cast("long"), F.lit(LOWEST)).alias(c) for c in each])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -159,28 +215,43 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     fields = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     if model is None or not model.langs:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    each = [f"_s{k}" for k in range(len(model.langs))]
+    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
 
-    def run(batches):
-        m = shared.value
+    def summed(batches):
+        hot = shared.value
         for batch in batches:
             for piece in slices(batch, "_text"):
                 texts = piece.column("_text")
                 w = lower_words(texts)
-                each = m.score_all(w.vocab.to_pylist())
-                total = np.zeros((len(texts), len(m.langs)))
-                for k in range(len(m.langs)):
-                    total[:, k] = np.bincount(w.doc, each[w.codes, k], len(texts)) if len(w.codes) else 0
-                mean = total / np.maximum(w.counts, 1)[:, None]
-                best = mean.argmax(1)
-                share = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
+                scores, is_open = hot.score_all(w.vocab.to_pylist())
+                total = [np.bincount(w.doc, scores[w.codes, k], len(texts)).astype(np.int64) if len(w.codes) else np.zeros(len(texts), np.int64) for k in range(len(each))]
+                at = np.flatnonzero(is_open[w.codes]) if len(w.codes) else np.zeros(0, np.int64)
+                start = np.concatenate([[0], np.bincount(w.doc[at], minlength=len(texts)).cumsum()])
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
-                ok = letters & (w.counts > 0)
-                pred = np.where(ok, np.array(m.langs, object)[best], UNKNOWN)
-                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0))],
-                                                 [*keep, "lang_pred", "score"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+                rest = pa.ListArray.from_arrays(pa.array(start, pa.int32()), w.vocab.take(pa.array(w.codes[at])).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], *[pa.array(t) for t in total], pa.array(np.where(letters, w.counts, 0)), rest], [*keep, *each, "_n", "_open"])
+
+    def chosen(batches):
+        for b in batches:
+            n = np.asarray(b.column("_n"))
+            total = np.stack([np.asarray(b.column(c)) for c in each], axis=1)
+            mean = total / np.maximum(n, 1)[:, None] / UNIT
+            share = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
+            pred = np.where(n > 0, np.array(model_langs, object)[mean.argmax(1)], UNKNOWN)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(np.where(n > 0, share, 0.0))], [*keep, "lang_pred", "score"])
+
+    model_langs, types = model.langs, ", ".join(f"{c} long" for c in each)
+    first = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(summed, f"{fields}, {types}, _n long, _open array<string>")
+    if not (model.hot.all_words and model.hot.all_grams):
+        first = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()))
+        opened = first.select("_id", F.explode("_open").alias("word"))
+        scored = settled(opened.select("word").distinct(), model, shared)
+        added = opened.join(scored, "word").groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"a{k}") for k in range(len(each))])
+        first = first.drop("_open").join(added, "_id", "left").select(*[F.col(f"`{c}`") for c in keep], *[(F.col(c) + F.coalesce(f"a{k}", F.lit(0))).alias(c) for k, c in enumerate(each)], "_n")
+    else:
+        first = first.drop("_open")
+    return first.mapInArrow(chosen, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -192,5 +263,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The documents whose language is found, unchanged."""
     model = train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return predict(row, model, ["row"]).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    key = [F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")]     # equal texts get equal answers, and rows stay where they are
+    answers = predict(docs.select(*key, "text"), model, ["_a", "_b"])
+    gone = cut_lineage(answers.where(F.col("lang_pred") == UNKNOWN).select("_a", "_b").distinct())
+    gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
+    return docs.withColumns({c: k for c, k in zip(("_a", "_b"), key)}).join(gone, ["_a", "_b"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -257,6 +257,20 @@ def test_language(spark, odd, empty):
     assert langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_model_is_whole_whatever_travels(spark, odd, monkeypatch):
+    en, de, small = "the cat and the dog were here in this house", "der hund und die katze waren hier im haus", "ko te ngeru me te kuri i konei"
+    rows = [(k, f"{(en, de, small)[0 if k % 20 > 2 else k % 3]} {k} rare{k % 50}x", ("en", "de", "mi")[0 if k % 20 > 2 else k % 3]) for k in range(300)]
+    rows += [(1000, "kuri ngeru", None), (1001, "katzenhaus waren", None), (1002, "rare7x konei", None), (1003, "\u4e2d\u6587", None), (1004, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = sorted(map(tuple, langid.identify(docs).collect()))
+    assert [r[2] for r in whole[-5:-2]] == ["mi", "de", "mi"] and whole[-1][2] == "und"
+    monkeypatch.setattr(langid, "WORDS", 3)
+    for most in (langid.GRAMS, 5, 0):
+        monkeypatch.setattr(langid, "GRAMS", most)
+        assert sorted(map(tuple, langid.identify(docs).collect())) == whole
+    assert {r.doc_id for r in langid.recognised(odd).collect()} == {4, 5, 6, 7, 9, 10, None}
+
+
 def test_toxicity_sees_through_spelling(spark, odd, empty):
     rows = [(k, f"you are an idiot number {k}" if k % 4 == 0 else f"you are an honest number {k}") for k in range(400)]
     odd_spelling = [(1000, "what an 1d10t"), (1001, "i d i o t they said"), (1002, "idiiiiot!"), (1003, "i.d.i.o.t"), (1004, "a plain 10 day word"), (1005, None), (1006, "")]
