@@ -4,7 +4,7 @@ Training counts every word of every labelled text by language, and n-grams of 1
 distributed tables of all words and all n-grams that occur at least ``LEAST`` times.  Their most frequent ``WORDS`` and ``GRAMS`` entries travel
 to the tasks; words that these cannot settle are gathered, scored once each by joins with the whole tables, and added to their texts'
 sums.  Scores are integers (``UNIT`` to 1), so sums don't depend on order or on what travels.  A known word scores its relative log frequency in each language, with a
-fixed penalty where a language never has it.  An unseen word, framed by blanks, is cut into n-grams of the
+penalty below any frequency where a language never has it.  An unseen word, framed by blanks, is cut into n-grams of the
 longest order; if a model of that order knows any of them, their mean log frequency is the word's score, else the next shorter order is
 tried.  A text's score is the mean over its words.  The answer is the best language; its score is the
 share of the best among all languages, by the mean log scores.
@@ -15,6 +15,8 @@ to the language first in order.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,11 +27,10 @@ from pulsegrid.session import cut_lineage
 from .text import ALNUM_WORDS, Words, held_out, slices
 
 LONGEST, LEAST, WORDS, GRAMS = 4, 2, 100_000, 50_000
-#: Natural-log score of a word or n-gram that a language never has.
+#: Natural-log score of a word or n-gram that a language never has; where the corpus is so large that one occurrence counts for less, half of one.
 PENALTY = -16.0
-#: Fixed point of scores.
+#: Fixed point of scores, which count from that lowest one (only their differences matter).
 UNIT = 1 << 20
-LOWEST = int(PENALTY * UNIT)
 UNKNOWN = "und"
 #: Rows that a task's partial counts may hold before they are sent on.
 FLUSH = 1_000_000
@@ -134,7 +135,7 @@ class Hot:
         for _, total, n, _ in self.parts(word):
             if n:
                 return np.round(total / n)
-        return np.full(self.size, LOWEST)
+        return np.zeros(self.size)
 
     def score_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of distinct words, and which are open; what was scored before in this task is kept, up to a bound."""
@@ -154,10 +155,10 @@ class Hot:
         return out, is_open
 
 
-def _scored(counts: DataFrame, langs: list[str], total) -> DataFrame:
+def _scored(counts: DataFrame, langs: list[str], total, lowest: float) -> DataFrame:
     """word, all, and its score in each language, of all words that occur at least LEAST times; ``total(k)`` is the count of all in language k."""
     wide = counts.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)], F.sum("n").alias("all"))
-    score = (lambda k: F.when(F.col(f"n{k}") > 0, F.round(F.log(F.col(f"n{k}") / total(k)) * UNIT)).otherwise(LOWEST).cast("int").alias(f"s{k}"))
+    score = (lambda k: F.when(F.col(f"n{k}") > 0, F.round((F.log(F.col(f"n{k}") / total(k)) - lowest) * UNIT)).otherwise(0).cast("int").alias(f"s{k}"))
     return wide.where(F.col("all") >= LEAST).select("word", "all", *[score(k) for k in range(len(langs))])
 
 
@@ -179,7 +180,8 @@ def train(docs: DataFrame) -> Model | None:
     gram_counts = cut_lineage(counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     size = {(r.lang, r.size): r.n for r in gram_counts.groupBy("lang", F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()}
     of_size = (lambda k: F.element_at(F.array(*[F.lit(float(size.get((langs[k], n), 1))) for n in range(1, LONGEST + 1)]), F.length("word")))
-    return Model(langs, _scored(counts, langs, lambda k: F.lit(float(totals[langs[k]]))), _scored(gram_counts, langs, of_size))
+    lowest = min(PENALTY, math.log(0.5 / max(*totals.values(), *size.values())))
+    return Model(langs, _scored(counts, langs, lambda k: F.lit(float(totals[langs[k]])), lowest), _scored(gram_counts, langs, of_size, lowest))
 
 
 def settled(words: DataFrame, model: Model, shared) -> DataFrame:
@@ -207,7 +209,7 @@ def settled(words: DataFrame, model: Model, shared) -> DataFrame:
         parts = parts.drop("missing").unionByName(found)
     sums = parts.groupBy("word", "size").agg(*[F.sum(c).alias(c) for c in each], F.sum("n").alias("n"))
     best = sums.groupBy("word").agg(F.max_by(F.struct(*each, "n"), F.when(F.col("n") > 0, F.col("size"))).alias("b"))
-    return best.select("word", *[F.coalesce(F.rint(F.col(f"b.{c}") / F.col("b.n")).cast("long"), F.lit(LOWEST)).alias(c) for c in each])
+    return best.select("word", *[F.coalesce(F.rint(F.col(f"b.{c}") / F.col("b.n")).cast("int"), F.lit(0)).alias(c) for c in each])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -229,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 at = np.flatnonzero(is_open[w.codes]) if len(w.codes) else np.zeros(0, np.int64)
                 start = np.concatenate([[0], np.bincount(w.doc[at], minlength=len(texts)).cumsum()])
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
-                rest = pa.ListArray.from_arrays(pa.array(start, pa.int32()), w.vocab.take(pa.array(w.codes[at])).cast(pa.string()))
+                rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(start, pa.int32()), w.vocab.take(pa.array(w.codes[at])).cast(pa.string())), " ")
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], *[pa.array(t) for t in total], pa.array(np.where(letters, w.counts, 0)), rest], [*keep, *each, "_n", "_open"])
 
     def chosen(batches):
@@ -242,12 +244,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(np.where(n > 0, share, 0.0))], [*keep, "lang_pred", "score"])
 
     model_langs, types = model.langs, ", ".join(f"{c} long" for c in each)
-    first = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(summed, f"{fields}, {types}, _n long, _open array<string>")
+    first = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(summed, f"{fields}, {types}, _n long, _open string")
     if not (model.hot.all_words and model.hot.all_grams):
         first = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()))
-        opened = first.select("_id", F.explode("_open").alias("word"))
+        opened = first.where("_open <> ''").select("_id", F.explode(F.split("_open", " ")).alias("word"))
         scored = settled(opened.select("word").distinct(), model, shared)
-        added = opened.join(scored, "word").groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"a{k}") for k in range(len(each))])
+        added = opened.join(scored, "word").drop("word").repartition("_id").groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"a{k}") for k in range(len(each))])
         first = first.drop("_open").join(added, "_id", "left").select(*[F.col(f"`{c}`") for c in keep], *[(F.col(c) + F.coalesce(f"a{k}", F.lit(0))).alias(c) for k, c in enumerate(each)], "_n")
     else:
         first = first.drop("_open")

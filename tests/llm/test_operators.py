@@ -269,6 +269,8 @@ def test_language_model_is_whole_whatever_travels(spark, odd, monkeypatch):
         monkeypatch.setattr(langid, "GRAMS", most)
         assert sorted(map(tuple, langid.identify(docs).collect())) == whole
     assert {r.doc_id for r in langid.recognised(odd).collect()} == {4, 5, 6, 7, 9, 10, None}
+    monkeypatch.setattr(langid, "PENALTY", -3.0)                      # as in a corpus where rare words count for less than that
+    assert all(r.lang_pred == lang for r, (_, _, lang) in zip(langid.identify(docs).where("doc_id < 300").orderBy("doc_id").collect(), rows))
 
 
 def test_toxicity_sees_through_spelling(spark, odd, empty):
