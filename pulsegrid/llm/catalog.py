@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, html_extract, jaccard, langid, licenses, mixing, sharding, toxicity, warc
+from . import decontam, dedup, html_extract, jaccard, langid, licenses, linededup, mixing, sharding, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -132,3 +132,17 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)""")
 def op10_decontamination(spark, sf_dir):
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+rep AS (SELECT key, max(doc_id) AS keep FROM (SELECT DISTINCT r, doc_id, key FROM k WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3),
+stay AS (SELECT k.r, k.i, k.line FROM k LEFT JOIN rep USING (key) WHERE rep.key IS NULL OR k.doc_id IS NOT DISTINCT FROM rep.keep),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM stay GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
+def op11_line_dedup(spark, sf_dir):
+    out = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
