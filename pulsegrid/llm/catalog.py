@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, html_extract, jaccard, langid, licenses, linededup, mixing, sharding, toxicity, warc
+from . import bagsearch, decontam, dedup, html_extract, jaccard, langid, licenses, linededup, mixing, prefixtrie, sharding, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words of the document and benchmark tables as the SQL of the queries sees them.
@@ -146,3 +146,46 @@ FROM d LEFT JOIN kept USING (r)""")
 def op11_line_dedup(spark, sf_dir):
     out = linededup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS words FROM documents),
+size AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{ALNUM}')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM item) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs),
+part AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // whole.terms)))) AS score
+         FROM tf JOIN weight USING (term) JOIN size USING (r), whole),
+total AS (SELECT item_id, r, CAST(sum(score) AS BIGINT) AS score FROM part JOIN item USING (term) GROUP BY item_id, r HAVING sum(score) > 0),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM total JOIN size USING (r))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op12_ranked_search(spark, sf_dir):
+    return bagsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) - 1 AS pos,
+        sha256(length(role) || ':' || role || text) AS sha, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name, 0 AS step, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id FROM t)
+        UNION ALL SELECT conv_id, name, step + 1, CASE WHEN step % 9 = 0 THEN xor(c, ascii(substr(name, step // 9 + 1, 1))::BIGINT)
+                                                  WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM crc WHERE step < 9 * length(name)),
+h AS (SELECT conv_id, xor(c, 4294967295::BIGINT) % 4 AS h FROM crc WHERE step = 9 * length(name)),
+b AS (SELECT h.conv_id, 0 AS part, pos, sha, words FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos < h
+      UNION ALL SELECT h.conv_id, 1, pos, sha, words FROM h JOIN o USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(sha, '') OVER w AS key, words, count(*) OVER (PARTITION BY conv_id) AS long
+      FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT conv_id, depth, key, words, depth = long AS final FROM p
+      UNION ALL SELECT conv_id, 0, '', 0, NOT EXISTS (SELECT 1 FROM b WHERE b.conv_id = h.conv_id) FROM h),
+n AS (SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE final), '') AS ends FROM m GROUP BY key),
+k AS (SELECT left(key, 64 * (depth - 1)) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+u AS (SELECT left(key, 64 * d) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM e) GROUP BY ALL)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(e.n_convs AS BIGINT) AS n_convs, CAST(e.n_children AS BIGINT) AS n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM e JOIN u USING (key) LEFT JOIN n up ON e.depth > 0 AND up.key = left(e.key, 64 * (e.depth - 1))""")
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
