@@ -8,58 +8,88 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import events as src, sinks
+from ..sources import events as src, raw, sinks
 from .raster_catalog import SPAN
 from .registry import query
 
 SPE = SPAN.format(src="px_events")
 
 
-@query("rec_id seq:l x:i y:i p:i t:l", f"""SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t, seq) - 1 AS seq, x, y, p, t - t0 AS t
-  FROM px_events JOIN {SPE} USING (rec_id)""")
-def read_events(v):
-    return src.number_events(v.px_events, "seq")
+#: Header of the files that queries write, before the closing line.
+HEADER = {"evt21": "% evt 2.1\n% format EVT21;height=32;width=32\n", "evt2": "% format EVT2\n% geometry 32x32\n", "evt3": "% evt 3.0\n% format EVT3;height=32;width=32\n"}
+
 
+def raw_files(v, words, fmt: str) -> str:
+    """Write words (name, seq, k, word) as raw files; returns the folder."""
+    folder = sinks.shared_folder(v.spark, "raw")
+    raw.write_raw(words.withColumn("fmt", F.lit(fmt)), folder, [c for c in ("t", "seq", "k") if c in words.columns], F.lit(HEADER[fmt]))
+    return folder
 
-def words21(v):
-    """A TIME_HIGH and a column-mask word per event (bit 3 of the mask is set for ON events)."""
-    e = v.px_events
+
+def words21(e, spare=1):
+    """A TIME_HIGH and a column-mask word per event (bits 0 and ``spare`` of the mask are set for ON events)."""
     low = F.shiftleft((F.col("t") % 64).cast("long"), 54)
     cd = (F.shiftleft(F.col("p").cast("long"), 60).bitwiseOR(low).bitwiseOR(F.shiftleft(F.col("x").cast("long"), 43))
-          .bitwiseOR(F.shiftleft(F.col("y").cast("long"), 32)).bitwiseOR(F.when(F.col("p") == 1, 9).otherwise(1).cast("long")))
+          .bitwiseOR(F.shiftleft(F.col("y").cast("long"), 32)).bitwiseOR(F.when(F.col("p") == 1, spare).otherwise(1).cast("long")))
     th = F.shiftleft(F.lit(8).cast("long"), 60).bitwiseOR(F.shiftleft(F.floor(F.col("t") / 64), 32))
-    return e.select("rec_id", F.posexplode(F.array(th, cd)).alias("k", "word"), "seq").select(
-        "rec_id", (F.col("seq") * 2 + F.col("k")).alias("word_idx"), "word")
+    return e.select("*", F.posexplode(F.array(th, cd)).alias("k", "word"))
+
+
+def by_thousands(e):
+    """Files of some thousand events of a recording."""
+    return e.withColumn("name", F.format_string("%s-%d.raw", "rec_id", F.floor(F.col("seq") / 4096)))
+
+
+#: Ranges of the queries' files, so small that each file is read by several tasks.
+SPLIT = 1 << 14
+NAME = "rec_id || '-' || CAST(seq // 4096 AS VARCHAR) || '.raw'"
+ROW = "(row_number() OVER (PARTITION BY rec_id, seq // 4096 ORDER BY seq) - 1)"
+
+
+@query("rec_id seq:l x:i y:i p:i t:l", f"""SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY t, seq) - 1 AS seq, x, y, p, t - t0 AS t
+  FROM px_events JOIN {SPE} USING (rec_id)""")
+def read_events(v):
+    """From raw files of ten seconds each to numbered events."""
+    e = v.px_events.withColumn("name", F.format_string("%s-%d.raw", "rec_id", F.floor(F.col("t") / 10_000_000)))
+    got = src.read_recordings(v.spark, raw_files(v, words21(e), "evt21"), split_bytes=SPLIT)
+    return src.number_events(got.withColumn("rec_id", F.regexp_extract("rec_id", "^(.*)-", 1)), "word_idx")
+
+
+@query("rec_id path bytes:l fmt width:i height:i evt", f"""SELECT rec_id || '-' || CAST(t // 10000000 AS VARCHAR) || '.raw' AS rec_id, rec_id || '-' || CAST(t // 10000000 AS VARCHAR) || '.raw' AS path,
+  {len(HEADER["evt21"]) + 6} + 16*count(*) AS bytes, 'evt21' AS fmt, 32 AS width, 32 AS height, '2.1' AS evt FROM px_events GROUP BY ALL""")
+def read_headers(v):
+    e = v.px_events.withColumn("name", F.format_string("%s-%d.raw", "rec_id", F.floor(F.col("t") / 10_000_000)))
+    heads = raw.read_headers(v.spark, raw_files(v, words21(e), "evt21"))
+    return heads.select("rec_id", F.element_at(F.split("path", "/"), -1).alias("path"), "bytes", "fmt", "width", "height", F.col("header")["evt"].alias("evt"))
 
 
-@query("rec_id word_idx:l bit:i x:i y:i p:i t:l", """SELECT rec_id, seq*2+1 AS word_idx, b AS bit, x+b AS x, y, p, (max(t//64) OVER (PARTITION BY rec_id ORDER BY seq))*64 + t%64 AS t
-  FROM (SELECT *, unnest(CASE WHEN p=1 THEN [0,3] ELSE [0] END) AS b FROM px_events)""")
+@query("rec_id word_idx:l bit:i x:i y:i p:i t:l", f"""SELECT {NAME} AS rec_id, r*2+1 AS word_idx, b AS bit, x+b AS x, y, p, hi*64 + t%64 AS t
+  FROM (SELECT *, unnest(CASE WHEN p=1 THEN [0,3] ELSE [0] END) AS b FROM (SELECT *, {ROW} AS r, max(t//64) OVER (PARTITION BY rec_id, seq//4096 ORDER BY seq) AS hi FROM px_events))""")
 def ingest_event_words(v):
-    return src.ingest_event_words(words21(v), "evt21")
+    folder = raw_files(v, words21(by_thousands(v.px_events), 9).drop("t"), "evt21")
+    return src.ingest_event_words(raw.read_words(v.spark, folder, split_bytes=SPLIT), "evt21")
 
 
-@query("rec_id word_idx:l x:i y:i p:i t:l", """SELECT rec_id, seq*2+1 AS word_idx, x, y, p, (max(t//64) OVER (PARTITION BY rec_id ORDER BY seq))*64 + t%64 AS t FROM px_events""")
+@query("rec_id word_idx:l x:i y:i p:i t:l", f"""SELECT {NAME} AS rec_id, {ROW}*2+1 AS word_idx, x, y, p, (max(t//64) OVER (PARTITION BY rec_id, seq//4096 ORDER BY seq))*64 + t%64 AS t FROM px_events""")
 def ingest_evt2_words(v):
-    e = v.px_events
     cd = (F.shiftleft(F.col("p").cast("long"), 28).bitwiseOR(F.shiftleft((F.col("t") % 64).cast("long"), 22))
           .bitwiseOR(F.shiftleft(F.col("x").cast("long"), 11)).bitwiseOR(F.col("y").cast("long")))
     th = F.shiftleft(F.lit(8).cast("long"), 28).bitwiseOR(F.floor(F.col("t") / 64))
-    w = e.select("rec_id", F.posexplode(F.array(th, cd)).alias("k", "word"), "seq").select(
-        "rec_id", (F.col("seq") * 2 + F.col("k")).alias("word_idx"), "word")
-    return src.ingest_event_words(w, "evt2")
+    w = by_thousands(v.px_events).select("name", "seq", F.posexplode(F.array(th, cd)).alias("k", "word"))
+    return src.ingest_event_words(raw.read_words(v.spark, raw_files(v, w, "evt2"), split_bytes=SPLIT), "evt2")
 
 
-@query("rec_id word_idx:l bit:i x:i y:i p:i t:l", """SELECT rec_id, seq*6+3 AS word_idx, 0 AS bit, x, y, p, t FROM px_events UNION ALL
-  SELECT rec_id, seq*6+5, b, x+b, y, p, t FROM (SELECT *, unnest([1, 4]) AS b FROM px_events)""")
+@query("rec_id word_idx:l bit:i x:i y:i p:i t:l", f"""WITH f AS (SELECT {NAME} AS name, {ROW}*6 AS r, *, t - (first_value(t) OVER (PARTITION BY rec_id, seq//4096 ORDER BY seq)) // 16777216 * 16777216 AS u FROM px_events)
+  SELECT name AS rec_id, r+3 AS word_idx, 0 AS bit, x, y, p, u AS t FROM f UNION ALL
+  SELECT name, r+5, b, x+b, y, p, u FROM (SELECT *, unnest([1, 4]) AS b FROM f)""")
 def ingest_evt3_words(v):
-    e = v.px_events
+    """The high time word wraps every 16.8 s, so a file counts from the wrap before its first event."""
     hi, lo = F.floor(F.col("t") / 4096) % 4096, F.col("t") % 4096
     pol = F.shiftleft(F.col("p").cast("long"), 11)
     ws = [0x8000 + hi, 0x6000 + lo, F.col("y").cast("long"), 0x2000 + pol + F.col("x"), 0x3000 + pol + F.col("x"),
           F.lit(0x4000 + 0b10010)]
-    w = e.select("rec_id", F.posexplode(F.array(*[c.cast("long") for c in ws])).alias("k", "word"), "seq").select(
-        "rec_id", (F.col("seq") * 6 + F.col("k")).alias("word_idx"), "word")
-    return src.ingest_evt3_words(w)
+    w = by_thousands(v.px_events).select("name", "seq", F.posexplode(F.array(*[c.cast("long") for c in ws])).alias("k", "word"))
+    return src.ingest_evt3_words(raw.read_words(v.spark, raw_files(v, w, "evt3"), split_bytes=SPLIT))
 
 
 @query("rec_id seq:l t:l", """WITH z AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY t, seq) AS r, t - lag(t) OVER (PARTITION BY rec_id ORDER BY t, seq) AS g, count(*) OVER (PARTITION BY rec_id) AS n,

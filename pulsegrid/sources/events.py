@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.asof import small
-from ..operators.ordered import count, highest, islands, last, scan, total
+from ..operators.ordered import count, highest, islands, last, scan, total, union_all
 from ..operators.raster import spans
 from ..operators.select import us
 from ..schema import EVENTS, US
+from .raw import WORDS, read_words
 
 WORDS_PER_CHUNK = 1_000_000
 
@@ -47,24 +48,18 @@ def geometry(ev: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sensor word streams
-def read_words(spark: SparkSession, path: str, bits: int) -> DataFrame:
-    """Cut raw files into (rec_id, word_idx, word); the header lines start with ``%``."""
-    kind = {64: "<i8", 32: "<u4", 16: "<u2"}[bits]
+def decode_words(words: DataFrame, fmt: str) -> DataFrame:
+    """Words of one encoding to events."""
+    return ingest_evt3_words(words) if fmt == "evt3" else ingest_event_words(words, fmt)
 
-    def cut(batches):
-        for b in batches:
-            for name, blob in zip(b["path"], b["content"]):
-                at = 0
-                while blob[at:at + 1] == b"%":
-                    at = blob.index(b"\n", at) + 1
-                w = np.frombuffer(blob, kind, count=(len(blob) - at) // (bits // 8), offset=at)
-                for s in range(0, len(w), WORDS_PER_CHUNK):
-                    part = w[s:s + WORDS_PER_CHUNK].astype(np.int64)
-                    yield pd.DataFrame({"rec_id": name.rsplit("/", 1)[-1],
-                                        "word_idx": np.arange(s, s + len(part)), "word": part})
-
-    return (spark.read.format("binaryFile").load(path).select("path", "content")
-            .mapInPandas(cut, "rec_id string, word_idx long, word long"))
+
+def read_recordings(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Events (rec_id, word_idx, bit, x, y, p, t) of all raw recordings below ``path``, whatever their encodings.
+
+    Files are cut into word-aligned ranges (see :mod:`.raw`), and the decoders carry their state over any cut.  A file is read
+    for its own encoding only.
+    """
+    return union_all(*[decode_words(read_words(spark, path, fmt=fmt, **options), fmt) for fmt in WORDS])
 
 
 def _chunk() -> Column:
