@@ -12,6 +12,7 @@ from .filters_catalog import BAF, REFR
 from .movers_catalog import MV, _MET, boxsolve
 from .raster_catalog import SPAN
 from .registry import query
+from .spectra_catalog import line_views
 from .tracks_catalog import DETS, dets
 
 SPE = SPAN.format(src="px_events")
@@ -29,33 +30,42 @@ def events_stream(v):
         F.when(F.col("value") >= 35, 1).otherwise(0).alias("p"), F.floor((us_ - base) / 86400).alias("t")))
 
 
-WM = "(SELECT (max(t) // 1000) * 1000 FROM px_events)"
+def disordered_stream(v):
+    """The same events as files that each reach over the whole time, one to a micro-batch."""
+    folder = shared_folder(v.spark, "feed")
+    v.px_events.repartition(3, "seq").write.parquet(folder)
+    return st.with_event_time(st.read_event_stream(v.spark, folder, v.px_events.schema, files_per_trigger=1))
 
 
-@query("rec_id bin:l n:l rate_hz:d", f"SELECT rec_id, t//500000 AS bin, count(*) AS n, count(*)/0.5 AS rate_hz FROM px_events WHERE (t//500000+1)*500000 <= {WM} GROUP BY ALL")
+@query("rec_id bin:l n:l rate_hz:d", "SELECT rec_id, t//500000 AS bin, count(*) AS n, count(*)/0.5 AS rate_hz FROM px_events GROUP BY ALL")
 def stream_event_rate(v):
-    return st.run_available(st.event_rate(events_stream(v), 500_000), "rate")
+    return st.run_to_end(disordered_stream(v), lambda s: st.event_rate(s, 500_000), "rate")
 
 
-@query("rec_id t0:l x:i y:i count:l on_count:l polarity:l", f"""SELECT rec_id, s*500000 AS t0, x, y, count(*) AS count, sum(p) AS on_count, 2*sum(p)-count(*) AS polarity FROM (SELECT *, unnest([t//500000, t//500000-1]) AS s FROM px_events) WHERE s*500000+1000000 <= {WM} GROUP BY ALL""")
+@query("rec_id t0:l x:i y:i count:l on_count:l polarity:l", """SELECT rec_id, s*500000 AS t0, x, y, count(*) AS count, sum(p) AS on_count, 2*sum(p)-count(*) AS polarity FROM (SELECT *, unnest([t//500000, t//500000-1]) AS s FROM px_events) GROUP BY ALL""")
 def stream_frames(v):
-    return st.run_available(st.frames(events_stream(v), 1_000_000, 500_000), "frames")
+    return st.run_to_end(disordered_stream(v), lambda s: st.frames(s, 1_000_000, 500_000), "frames")
 
 
-@query("rec_id t1:l cx:l cy:l n:l value:d", f"""SELECT rec_id, s*1000000+3000000 AS t1, x//8 AS cx, y//8 AS cy, count(*) AS n, ln(1+count(*)) AS value FROM (SELECT *, unnest([t//1000000, t//1000000-1, t//1000000-2]) AS s FROM px_events) WHERE s*1000000+3000000 <= {WM} GROUP BY ALL""")
+@query("rec_id t1:l cx:l cy:l n:l value:d", """SELECT rec_id, s*1000000+3000000 AS t1, x//8 AS cx, y//8 AS cy, count(*) AS n, ln(1+count(*)) AS value FROM (SELECT *, unnest([t//1000000, t//1000000-1, t//1000000-2]) AS s FROM px_events) GROUP BY ALL""")
 def stream_trailing_map(v):
-    return st.run_available(st.trailing_map(events_stream(v), 3_000_000, 1_000_000, 8), "trailing")
+    return st.run_to_end(disordered_stream(v), lambda s: st.trailing_map(s, 3_000_000, 1_000_000, 8), "trailing")
 
 
-@query("rec_id t0:l t1:l n:l cx:d cy:d", f"""SELECT rec_id, min(t) AS t0, max(t)+20000 AS t1, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM (SELECT *, sum(CASE WHEN pt IS NULL OR t-pt >= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY t, seq) AS s FROM
-   (SELECT *, lag(t) OVER (PARTITION BY rec_id ORDER BY t, seq) AS pt FROM px_events)) GROUP BY rec_id, s HAVING max(t)+20000 <= {WM}""")
+@query("rec_id t0:l t1:l n:l cx:d cy:d", """SELECT rec_id, min(t) AS t0, max(t)+20000 AS t1, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM (SELECT *, sum(CASE WHEN pt IS NULL OR t-pt >= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY t, seq) AS s FROM
+   (SELECT *, lag(t) OVER (PARTITION BY rec_id ORDER BY t, seq) AS pt FROM px_events)) GROUP BY rec_id, s""")
 def stream_sessions(v):
-    return st.run_available(st.sessions(events_stream(v), 20_000), "sessions")
+    return st.run_to_end(disordered_stream(v), lambda s: st.sessions(s, 20_000), "sessions")
 
 
-@query("rec_id t0:l cx:l cy:l n_events:l peak_freq:d snr:d3")
+_SW = line_views("sw", None, "rec_id, w0, cx, cy", 40, 2, 18, """SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY rec_id, w0, cx, cy) AS n_events FROM
+  (SELECT rec_id, w0, x//16 AS cx, y//16 AS cy, CAST(160 AS BIGINT) AS nb, (t - w0*2000000)//25000 AS b, count(*) AS c FROM
+   (SELECT *, unnest([t//2000000, t//2000000-1]) AS w0 FROM px_events) GROUP BY ALL)) WHERE n_events >= 60""")
+
+
+@query("rec_id t0:l cx:l cy:l n_events:l peak_freq:d snr:d3", """SELECT rec_id, w0*2000000 AS t0, cx, cy, n_events, peak_freq, snr FROM sw_line JOIN (SELECT DISTINCT rec_id, w0, cx, cy, n_events FROM sw_bins) USING (rec_id, w0, cx, cy)""", views=_SW)
 def stream_spectra(v):
-    return st.run_available(st.spectra(events_stream(v), 4_000_000, 2_000_000, 40.0, 2.0, 18.0, 16, 60), "spectra")
+    return st.run_to_end(disordered_stream(v), lambda s: st.spectra(s, 4_000_000, 2_000_000, 40.0, 2.0, 18.0, 16, 60), "spectra")
 
 
 _EV = "rec_id seq:l x:i y:i p:i t:l"

@@ -10,8 +10,12 @@ from ..schema import CHUNK_US
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-out-")
+    """A new folder under the cluster's checkpoint folder (a temporary one in local mode where none is set)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="spark-out-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

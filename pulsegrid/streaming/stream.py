@@ -2,6 +2,12 @@
 
 Streams carry (rec_id, seq, x, y, p, t) plus the event time ``ts``.  Windowed results are emitted
 once the watermark passes; stateful operators keep bounded state per pixel, tile or recording.
+
+A stream that ends leaves its last windows open.  :func:`run_to_end` therefore closes it: when the input is used up, a mark with a far
+event time follows on a second source of the same query, so the watermark passes every window that holds data and all are emitted.
+The mark's own windows never close.  Rows out of order are counted as long as they come within the
+``delay`` of the watermark, which is also how long a finished window is kept; rows that come later than that are
+reported by :func:`late_rows`.
 """
 from __future__ import annotations
 
@@ -14,12 +20,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.spectral import power_udf
+from ..operators.asof import BROADCAST_ROWS
 from ..operators.spectra import peak_columns
 from ..operators.trackers import MultiTrack
 from ..schema import EVENTS, US
 from ..sources.sinks import shared_folder
 
 
+#: How far behind the newest row a row may come and still count.
+DELAY = "60 seconds"
+#: Event time of the mark that closes a stream (the end of the year 9998).
+CLOSING_US = 253_370_764_800_000_000
+
+
 # ------------------------------------------------------------------ plumbing
 def with_event_time(stream: DataFrame, t: str = "t") -> DataFrame:
     return stream.withColumn("ts", F.timestamp_micros(F.col(t)))
@@ -36,18 +49,45 @@ def read_event_stream(spark: SparkSession, path: str, schema: str = EVENTS, file
     return r.parquet(path)
 
 
+def _written(stream: DataFrame, out: str, mode: str) -> None:
+    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data")
+         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there, write it to a Parquet sink and return the written table."""
     spark = stream.sparkSession
     out = shared_folder(spark, name)
-    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _written(stream, out, mode)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def _mark(spark: SparkSession, fields) -> DataFrame:
+    """One row of the far future: zeros, empty texts, and the closing time in ``ts`` and ``t``."""
+    values = {"ts": F.timestamp_micros(F.lit(CLOSING_US)), "t": F.lit(CLOSING_US)}
+    return spark.range(1).select(*[values.get(f.name, F.lit("" if f.dataType.typeName() == "string" else 0)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def run_to_end(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Process what is there, then close the stream: windows and sessions open at the end are written as well.
+
+    ``stream`` has an event time ``ts``; rows are selected before it is passed, as ``operator`` must let the mark through.  The second
+    run goes on from the first one's checkpoint.
+    """
+    spark = stream.sparkSession
+    out = shared_folder(spark, name)
+    marks, fields = f"{out}/marks", stream.schema
+    spark.createDataFrame([], fields).write.parquet(marks)
+    whole = operator(stream.unionByName(spark.readStream.schema(fields).parquet(marks)))
+    _written(whole, out, "append")
+    _mark(spark, fields).write.mode("append").parquet(marks)
+    _written(whole, out, "append")
+    return spark.read.schema(whole.schema).parquet(f"{out}/data")
+
+
 # ------------------------------------------------------------------ windowed views
-def event_rate(stream: DataFrame, bin_us: int, delay: str = "0 seconds") -> DataFrame:
+def event_rate(stream: DataFrame, bin_us: int, delay: str = DELAY) -> DataFrame:
     """Tumbling event rate per recording."""
     w = (stream.withWatermark("ts", delay).groupBy("rec_id", F.window("ts", f"{bin_us} microseconds").alias("w"))
          .agg(F.count("*").alias("n")))
@@ -55,7 +95,7 @@ def event_rate(stream: DataFrame, bin_us: int, delay: str = "0 seconds") -> Data
                     (F.col("n") / (bin_us / US)).alias("rate_hz"))
 
 
-def frames(stream: DataFrame, dt_us: int, slide_us: int | None = None, delay: str = "0 seconds") -> DataFrame:
+def frames(stream: DataFrame, dt_us: int, slide_us: int | None = None, delay: str = DELAY) -> DataFrame:
     """Accumulated frames: tumbling, or trailing frames every ``slide_us``."""
     win = F.window("ts", f"{dt_us} microseconds", f"{slide_us or dt_us} microseconds").alias("w")
     w = (stream.withWatermark("ts", delay).groupBy("rec_id", win, "x", "y")
@@ -64,7 +104,7 @@ def frames(stream: DataFrame, dt_us: int, slide_us: int | None = None, delay: st
                     (2 * F.col("on_count") - F.col("count")).alias("polarity"))
 
 
-def trailing_map(stream: DataFrame, window_us: int, slide_us: int, cell: int, delay: str = "0 seconds") -> DataFrame:
+def trailing_map(stream: DataFrame, window_us: int, slide_us: int, cell: int, delay: str = DELAY) -> DataFrame:
     """Density of the newest ``window_us`` per cell, refreshed every ``slide_us``."""
     win = F.window("ts", f"{window_us} microseconds", f"{slide_us} microseconds").alias("w")
     w = (stream.withWatermark("ts", delay)
@@ -74,7 +114,7 @@ def trailing_map(stream: DataFrame, window_us: int, slide_us: int, cell: int, de
 
 
 def spectra(stream: DataFrame, window_us: int, slide_us: int, fs: float, fmin: float, fmax: float, cell: int,
-            min_events: int = 40, delay: str = "0 seconds") -> DataFrame:
+            min_events: int = 40, delay: str = DELAY) -> DataFrame:
     """Dominant line per cell in sliding windows: two chained window aggregations, then the FFT."""
     n_bins = int(window_us * fs / US)
     win = F.window("ts", f"{window_us} microseconds", f"{slide_us} microseconds").alias("w")
@@ -90,7 +130,7 @@ def spectra(stream: DataFrame, window_us: int, slide_us: int, fs: float, fmin: f
     return g.select("rec_id", F.unix_micros("w.start").alias("t0"), "cx", "cy", "n_events", "peak_freq", "snr")
 
 
-def sessions(stream: DataFrame, gap_us: int, delay: str = "0 seconds") -> DataFrame:
+def sessions(stream: DataFrame, gap_us: int, delay: str = DELAY) -> DataFrame:
     """Passes as sessions: runs of events whose gaps stay under ``gap_us``."""
     w = (stream.withWatermark("ts", delay).groupBy("rec_id", F.session_window("ts", f"{gap_us} microseconds").alias("w"))
          .agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy")))
@@ -177,32 +217,23 @@ def user_state(stream: DataFrame, fn: Callable, schema: str, keys: list[str]) ->
 
 
 def late_rows(stream: DataFrame, folder: str, delay_us: int) -> None:
-    """Count rows older than (newest earlier event - delay), batch by batch, into ``folder``.
+    """Count rows older than (newest row of earlier batches - delay), batch by batch, into ``folder``/late.
 
-    A watermark drops such rows silently; this stateless side query makes them visible.  The newest
-    time per recording of every batch is kept as a small table next to the counts.
+    A watermark drops such rows silently; this stateless side query makes them visible.  A batch writes into folders of its
+    own number, which a repeated batch overwrites: its counts, and the newest time per recording up to and with it.  So a
+    batch reads one small table of the batch before it, never the history.
     """
     spark = stream.sparkSession
-    schema = "rec_id string, newest long"
 
     def each(batch: DataFrame, epoch: int):
-        seen = f"{folder}/seen"
-        known = _read_or_none(spark, seen, schema)
-        mark = known.groupBy("rec_id").agg(F.max("newest").alias("newest"))
-        j = batch.join(mark, "rec_id", "left")
-        late = j.where(F.col("t") < F.col("newest") - delay_us)
-        (late.groupBy("rec_id").agg(F.count("*").alias("n_late"), F.min("t").alias("oldest")).withColumn("epoch", F.lit(epoch))
-         .write.mode("append").parquet(f"{folder}/late"))
-        batch.groupBy("rec_id").agg(F.max("t").alias("newest")).write.mode("append").parquet(seen)
+        schema = "rec_id string, newest long"
+        known = spark.read.schema(schema).parquet(f"{folder}/seen/epoch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
+        late = batch.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "rec_id").where(F.col("t") < F.col("newest") - delay_us)
+        (late.groupBy("rec_id").agg(F.count("*").alias("n_late"), F.min("t").alias("oldest"))
+         .write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}"))
+        (batch.select("rec_id", F.col("t").alias("newest")).unionByName(known).groupBy("rec_id").agg(F.max("newest").alias("newest"))
+         .write.mode("overwrite").parquet(f"{folder}/seen/epoch={epoch}"))
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def _read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
