@@ -58,7 +58,30 @@ def transform_rows(sig: np.ndarray, kind: str, highpass_len: int = 0) -> np.ndar
     return spec ** 2
 
 
-def power_udf(kind: str = "power", highpass_len: int = 0, min_len: int = 8):
+def whiten(power: np.ndarray, method: str) -> np.ndarray:
+    """A spectrum over its sliding median, or in local sigmas; the window is about 5 % of it, and edges are repeated."""
+    n = len(power)
+    if method == "none" or n < 8:
+        return power
+    width = max(5, n // 20 | 1)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(power, width // 2, mode="edge"), width)
+    if method == "median":
+        floor = np.concatenate([np.median(near[k:k + 1024], axis=1) for k in range(0, n, 1024)])
+        return power / (floor + 1e-20)
+    mean, square = (np.concatenate([f(near[k:k + 1024]).mean(axis=1) for k in range(0, n, 1024)]) for f in (lambda x: x, np.square))
+    return np.maximum((power - mean) / np.sqrt(np.maximum(square - mean * mean, 1e-20)), 0.0)
+
+
+def whiten_udf(method: str):
+    """UDF power array -> whitened array."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(power: pd.Series) -> pd.Series:
+        return power.map(lambda p: None if p is None else whiten(np.asarray(p, float), method))
+
+    return run
+
+
+def power_udf(kind: str = "power", highpass_len: int = 0, min_len: int = 8, normalize: str = "none"):
     """UDF (bins array, counts array, n) -> spectrum array; null below ``min_len`` samples."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -75,7 +98,7 @@ def power_udf(kind: str = "power", highpass_len: int = 0, min_len: int = 8):
                 for j, i in enumerate(part):
                     np.add.at(sig[j], np.asarray(bins.iloc[i], np.int64), np.asarray(counts.iloc[i], float))
                 for j, row in zip(part, transform_rows(sig, kind, highpass_len)):
-                    out[j] = row
+                    out[j] = whiten(row, normalize)
         return pd.Series(out, index=n.index)
 
     return run

@@ -1,7 +1,8 @@
 """Flicker spectra: native binning, one Arrow FFT per series, JVM-side peak analysis.
 
-A series is as long as its time span times the sampling rate, however many events it counts, so
-the only thing gathered per group is a bounded array of non-empty bins.
+A series is as long as its time span times the sampling rate, however many events it counts.  Up to ``LONG`` bins its
+non-empty bins are gathered into one row and transformed there.  Longer ones stay rows and go through the transform in
+blocks of :mod:`.fourier`; the same peak rules apply to both, and the longest span decides before any series is built.
 """
 from __future__ import annotations
 
@@ -9,31 +10,47 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.spectral import array_median, band_slice, harmonic_comb, power_udf
+from ..functions.spectral import array_median, band_slice, harmonic_comb, power_udf, whiten_udf
 from ..schema import US
+from ..session import cut_lineage
 from .asof import asof, lerp, small
+from .fourier import long_lines, long_power, nufft, row_median
 from .ordered import chunk_of, last, scan
 from .raster import spans
 from .select import random_subsample
 
 
+#: Bins of a series that is transformed in one row (two minutes at 2 kHz).
+LONG = 1 << 18
+
+
 # ------------------------------------------------------------------ binning
 def bin_signal(ev: DataFrame, keys: list[str], fs: float) -> DataFrame:
     """Counts per 1/fs bin from first to last event (non-empty bins), with the bin total ``n_bins``.
 
     Events past the last whole bin are dropped; one exactly on the last edge counts in the last bin.
     """
-    dt = US / fs
-    s = ev.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"),
-                              F.count("*").alias("n_events"))
-    s = s.withColumn("n_bins", F.floor((F.col("_hi") - F.col("_lo")) / dt).cast("int"))
-    pos = (F.col("t") - F.col("_lo")) / dt
+    return _bins_of(ev, keys, fs, _bin_spans(ev, keys, fs))
+
+
+def _bin_spans(ev: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """First event, event count and bin total of every group, computed once."""
+    s = ev.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.count("*").alias("n_events"))
+    return small(s.select(*keys, "_lo", "n_events", F.floor((F.col("_hi") - F.col("_lo")) / (US / fs)).cast("int").alias("n_bins")).where("n_bins >= 2"))
+
+
+def _bins_of(ev: DataFrame, keys: list[str], fs: float, s: DataFrame) -> DataFrame:
+    pos = (F.col("t") - F.col("_lo")) / (US / fs)
     b = F.when(pos == F.col("n_bins"), F.col("n_bins") - 1).otherwise(F.floor(pos))
-    return (ev.select(*keys, "t").join(s.where("n_bins >= 2"), keys).withColumn("bin", b.cast("int"))
+    return (ev.select(*keys, "t").join(s, keys).withColumn("bin", b.cast("int"))
             .where(F.col("bin") < F.col("n_bins"))
             .groupBy(*keys, "n_events", "n_bins", "bin").agg(F.count("*").alias("c")))
 
 
+def _has_long(spans_: DataFrame) -> bool:
+    return not spans_.where(F.col("n_bins") > LONG).isEmpty()
+
+
 def dense_series(binned: DataFrame, keys: list[str]) -> DataFrame:
     """Fill the empty bins with zeros: one row per bin."""
     s = binned.groupBy(*keys).agg(F.first("n_bins").alias("n_bins"))
@@ -42,12 +59,12 @@ def dense_series(binned: DataFrame, keys: list[str]) -> DataFrame:
                .withColumn("c", F.coalesce("c", F.lit(0)))
 
 
-def spectra(binned: DataFrame, keys: list[str], kind: str = "power", highpass_len: int = 0) -> DataFrame:
+def spectra(binned: DataFrame, keys: list[str], kind: str = "power", highpass_len: int = 0, normalize: str = "none") -> DataFrame:
     """One spectrum array ``power`` per key from (keys, n_bins, bin, c [, n_events])."""
     extra = [F.first(c).alias(c) for c in ("n_events", "fs") if c in binned.columns]
     g = binned.groupBy(*keys).agg(F.first("n_bins").alias("n_bins"), F.collect_list("bin").alias("_b"),
                                   F.collect_list("c").alias("_c"), F.sum("c").alias("n_binned"), *extra)
-    return g.withColumn("power", power_udf(kind, highpass_len)("_b", "_c", "n_bins")).drop("_b", "_c")
+    return g.withColumn("power", power_udf(kind, highpass_len, normalize=normalize)("_b", "_c", "n_bins")).drop("_b", "_c")
 
 
 def peak_columns(df: DataFrame, fs, fmin: float, fmax: float, n_harmonics: int = 3) -> DataFrame:
@@ -67,11 +84,33 @@ def peak_columns(df: DataFrame, fs, fmin: float, fmax: float, n_harmonics: int =
                 F.col("power"), F.col("df_hz"), F.col("peak_freq"), fmax, n_harmonics)).otherwise(0.0)))
 
 
+def lines(binned: DataFrame, keys: list[str], fs, fmin: float, fmax: float, n_harmonics: int = 3, long: bool = False,
+          highpass_len: int = 0, normalize: str = "none") -> DataFrame:
+    """Spectrum and dominant line of (keys, n_bins, bin, c [, n_events, fs]); ``power`` is null for series of over ``LONG`` bins.
+
+    High-passed and whitened spectra need their neighbours, so those are always transformed in one row.
+    """
+    if not long or highpass_len or normalize != "none":
+        return peak_columns(spectra(binned, keys, "power", highpass_len, normalize), fs, fmin, fmax, n_harmonics)
+    short = peak_columns(spectra(binned.where(F.col("n_bins") <= LONG), keys), fs, fmin, fmax, n_harmonics)
+    far = binned.where(F.col("n_bins") > LONG)
+    own = small(far.groupBy(*keys).agg(F.sum("c").alias("n_binned"), *[F.first(c).alias(c) for c in ("n_events", "fs") if c in binned.columns]))
+    rows = cut_lineage(long_power(far, keys))
+    if "fs" in binned.columns:
+        rows = rows.join(own.select(*keys, "fs"), keys)
+    out = long_lines(rows, keys, fs if isinstance(fs, Column) else F.lit(float(fs)), fmin, fmax, n_harmonics).join(own, keys)
+    return short.unionByName(out.withColumn("power", F.lit(None).cast("array<double>")).select(*short.columns))
+
+
 def region_spectrum(ev: DataFrame, keys: list[str], fs: float = 2000.0, fmin: float = 10.0,
-                    fmax: float = 800.0, derotate_hz: float = 0.0, n_harmonics: int = 3) -> DataFrame:
-    """Temporal power spectrum of each group's event stream, with its dominant in-band line."""
+                    fmax: float = 800.0, derotate_hz: float = 0.0, n_harmonics: int = 3, normalize: str = "none") -> DataFrame:
+    """Temporal power spectrum of each group's event stream, with its dominant in-band line.
+
+    ``normalize`` (median or zscore) whitens the spectrum before the line is looked for.
+    """
     hp = max(3, int(round(fs / derotate_hz))) if derotate_hz > 0 else 0
-    return peak_columns(spectra(bin_signal(ev, keys, fs), keys, "power", hp), fs, fmin, fmax, n_harmonics)
+    s = _bin_spans(ev, keys, fs)
+    return lines(_bins_of(ev, keys, fs, s), keys, fs, fmin, fmax, n_harmonics, _has_long(s), hp, normalize)
 
 
 def band_snr(spec: DataFrame, fs: float, band: tuple[float, float] = (300.0, 1500.0),
@@ -85,6 +124,21 @@ def band_snr(spec: DataFrame, fs: float, band: tuple[float, float] = (300.0, 150
     return spec.withColumn("band_snr", F.when(ok, F.array_max(inb) / (array_median(rest) + 1e-30)))
 
 
+def region_band_snr(ev: DataFrame, keys: list[str], fs: float = 2000.0, band: tuple[float, float] = (300.0, 1500.0),
+                    lo_exclude: float = 50.0) -> DataFrame:
+    """:func:`band_snr` of each group's event stream, of any length: keys, n_bins, band_snr."""
+    s = _bin_spans(ev, keys, fs)
+    binned = _bins_of(ev, keys, fs, s)
+    long = _has_long(s)
+    out = band_snr(spectra(binned.where(F.col("n_bins") <= LONG) if long else binned, keys), fs, band, lo_exclude).select(*keys, "n_bins", "band_snr")
+    if not long:
+        return out
+    rows = cut_lineage(long_power(binned.where(F.col("n_bins") > LONG), keys)).withColumn("hz", F.col("k") * fs / F.col("n_bins"))
+    top = rows.where(F.col("hz").between(*band)).groupBy(*keys, "n_bins").agg(F.max("power").alias("_p"))
+    floor = row_median(rows.where((F.col("hz") > lo_exclude) & ~F.col("hz").between(*band)), keys, "power", "_m")
+    return out.unionByName(top.join(floor, keys).select(*keys, "n_bins", (F.col("_p") / (F.col("_m") + 1e-30)).alias("band_snr")))
+
+
 # ------------------------------------------------------------------ maps
 def flicker_map(ev: DataFrame, fmin: float = 80.0, fmax: float = 800.0, fs: float = 2000.0,
                 cell: int = 8, min_events: int = 40, snr_min: float = 0.0) -> DataFrame:
@@ -93,21 +147,21 @@ def flicker_map(ev: DataFrame, fmin: float = 80.0, fmax: float = 800.0, fs: floa
     Late events are clipped into the last time bin.
     """
     s = spans(ev).withColumn("_span", F.greatest((F.col("t_last") - F.col("t_first")).cast("double"), F.lit(1.0)))
-    s = s.withColumn("fs", F.lit(float(fs))).withColumn("n_bins", F.floor(F.col("_span") / (US / F.col("fs"))).cast("int"))
+    s = small(s.withColumn("fs", F.lit(float(fs))).withColumn("n_bins", F.floor(F.col("_span") / (US / F.col("fs"))).cast("int")))
     key = ["rec_id", "cy", "cx"]
     pos = F.floor((F.col("t") - F.col("t_first")) / (US / F.col("fs")))
-    binned = (ev.join(small(s), "rec_id")
+    binned = (ev.join(s, "rec_id")
               .groupBy("rec_id", F.floor(F.col("y") / cell).cast("int").alias("cy"),
                        F.floor(F.col("x") / cell).cast("int").alias("cx"), "fs", "n_bins",
                        F.greatest(F.least(pos, F.col("n_bins") - 1), F.lit(0)).cast("int").alias("bin"))
               .agg(F.count("*").alias("c")))
-    return _map_rows(binned, key, fmin, fmax, min_events, snr_min)
+    return _map_rows(binned, key, fmin, fmax, min_events, snr_min, _has_long(s))
 
 
-def _map_rows(binned: DataFrame, key: list[str], fmin, fmax, min_events, snr_min=0.0) -> DataFrame:
+def _map_rows(binned: DataFrame, key: list[str], fmin, fmax, min_events, snr_min=0.0, long: bool = False) -> DataFrame:
     counts = binned.groupBy(*key).agg(F.sum("c").alias("event_count"))
     active = binned.join(counts.where(F.col("event_count") >= min_events).select(*key), key, "left_semi")
-    sp = peak_columns(spectra(active, key), F.col("fs"), fmin, fmax)
+    sp = lines(active, key, F.col("fs"), fmin, fmax, long=long)
     sp = sp.where(F.col("snr") >= snr_min).select(
         *key, F.col("peak_freq").alias("dominant_freq"), "snr", F.col("peak_power").alias("band_power"))
     return counts.join(sp, key, "left").withColumns({
@@ -224,11 +278,20 @@ def blade_fft(ev: DataFrame, track: DataFrame, fmin: float = 20.0, fmax: float =
     b = F.least(F.floor((F.col("t") - F.col("track_t0")) / US / span * F.col("n_bins")), F.col("n_bins") - 1)
     binned = e.groupBy(*key, "n_bins", "fs", b.cast("int").alias("bin")).agg(F.count("*").alias("c"))
     n = binned.groupBy(*key).agg(F.sum("c").alias("n_events"))
-    sp = spectra(binned.join(n.where(F.col("n_events") >= min_events), key, "left_semi"), key, "raw")
+    busy = binned.join(n.where(F.col("n_events") >= min_events), key, "left_semi")
+    spans_ = small(track.groupBy(*key).agg(F.greatest(F.lit(64), F.floor((F.max("t") - F.min("t")) / US / bin_dt)).cast("int").alias("n_bins")))
+    long = _has_long(spans_)
+    sp = spectra(busy.where(F.col("n_bins") <= LONG) if long else busy, key, "raw")
     band, lo = band_slice(F.col("power"), F.col("fs") / F.col("n_bins"), fmin, fmax)
     peak = F.array_max(band)
     sp = sp.select(*key, ((lo + F.array_position(band, peak) - 1) * F.col("fs") / F.col("n_bins")).alias("peak_hz"),
                    (peak / (array_median(band) + 1e-12)).alias("snr"))
+    if long:
+        far = busy.where(F.col("n_bins") > LONG)
+        rows = cut_lineage(long_power(far, key, "raw").join(small(far.groupBy(*key).agg(F.first("fs").alias("fs"))), key))
+        rows = rows.withColumn("hz", F.col("k") * F.col("fs") / F.col("n_bins")).where(F.col("hz").between(fmin, fmax))
+        top = rows.groupBy(*key).agg(F.max_by("hz", F.struct("power", -F.col("k"))).alias("peak_hz"), F.max("power").alias("_p"))
+        sp = sp.unionByName(top.join(row_median(rows, key, "power", "_m"), key).select(*key, "peak_hz", (F.col("_p") / (F.col("_m") + 1e-12)).alias("snr")))
     return n.join(sp, key, "left").withColumn("snr", F.coalesce("snr", F.lit(0.0)))
 
 
@@ -254,11 +317,31 @@ def freq_grid(fmin: float, fmax: float, n: int) -> list[float]:
     return [lo + (fmax - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
 
 
+def _even(freqs: list[float]) -> bool:
+    """Whether the frequencies are evenly spaced."""
+    step = freqs[1] - freqs[0] if len(freqs) > 1 else 0.0
+    return step > 0 and all(abs(f - freqs[0] - k * step) <= 1e-9 * abs(freqs[-1]) for k, f in enumerate(freqs))
+
+
 def nudft(ev: DataFrame, keys: list[str], freqs: list[float], weight: str | None = None) -> DataFrame:
     """|sum w exp(-2 pi i f t)|^2 / N^2 on a frequency grid, straight from event times.
 
+    An evenly spaced grid takes the fast transform (a cost of events plus frequencies, right to about 1e-13); a list without
+    even spacing takes the sums themselves.  Weights are centred only when given.
+    """
+    if not _even(freqs):
+        return nudft_direct(ev, keys, freqs, weight)
+    z = nufft(ev, keys, freqs[0], freqs[1] - freqs[0], len(freqs), None if weight is None else F.col(weight), weight is not None).where("n_events >= 4")
+    f = F.element_at(F.array(*[F.lit(float(x)) for x in freqs]), F.col("k") + 1)
+    return (z.select(*keys, "n_events", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+            .select(*keys, "k", f.alias("f_hz"), "n_events", ((F.col("z.re") ** 2 + F.col("z.im") ** 2) / F.pow("n_events", F.lit(2))).alias("power")))
+
+
+def nudft_direct(ev: DataFrame, keys: list[str], freqs: list[float], weight: str | None = None) -> DataFrame:
+    """The sums of :func:`nudft` one frequency at a time, for few frequencies without even spacing.
+
     Equal times are merged first and the sums are combined map-side, so the shuffle carries one
-    row per (task, group, frequency).  Weights are centred only when given.
+    row per (task, group, frequency).
     """
     s = ev.groupBy(*keys).agg(F.min("t").alias("_t0"), F.count("*").alias("n_events"),
                               (F.avg(weight) if weight else F.lit(0.0)).alias("_w0")).where("n_events >= 4")
@@ -274,51 +357,51 @@ def nudft(ev: DataFrame, keys: list[str], freqs: list[float], weight: str | None
                     ((F.col("_c") ** 2 + F.col("_s") ** 2) / F.pow("n_events", F.lit(2))).alias("power")))
 
 
-def line_of(power_rows: DataFrame, keys: list[str], freqs: list[float], fmax: float) -> DataFrame:
-    """Peak, SNR against the grid median, and overtone score of a spectrum on a uniform grid."""
-    g = (power_rows.groupBy(*keys, "n_events")
-         .agg(F.sort_array(F.collect_list(F.struct("k", "power"))).alias("_a"))
-         .withColumn("power", F.transform("_a", lambda s: s["power"])).drop("_a"))
-    peak = F.array_max("power")
-    step, start = freqs[1] - freqs[0], freqs[0]
-    g = g.withColumn("peak_freq", start + (F.array_position("power", peak) - 1) * step)
-    return g.select(*keys, "n_events", "peak_freq", peak.alias("peak_power"),
-                    (peak / (array_median(F.col("power")) + 1e-12)).alias("snr"),
-                    harmonic_comb(F.col("power"), F.lit(step), F.col("peak_freq"), fmax, 3, start).alias("harmonic"))
-
-
 def nufft_spectrum(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq: int = 600,
-                   max_events: int | None = None) -> DataFrame:
-    """Dominant line per recording by direct non-uniform DFT of all events (or a sample of ``max_events``)."""
+                   max_events: int | None = None, normalize: str = "none") -> DataFrame:
+    """Dominant line per recording by a non-uniform FFT of all events (or a sample of ``max_events``)."""
     freqs = freq_grid(fmin, fmax, n_freq)
     sub = ev if max_events is None else random_subsample(ev, max_events)
-    return line_of(nudft(sub, ["rec_id"], freqs), ["rec_id"], freqs, fmax)
+    start, step = freqs[0], freqs[1] - freqs[0]
+    z = nufft(sub, ["rec_id"], start, step, n_freq).where("n_events >= 4")
+    g = z.select("rec_id", "n_events", F.zip_with("re", "im", lambda a, b: (a * a + b * b) / F.pow("n_events", F.lit(2))).alias("power"))
+    if normalize != "none":
+        g = g.withColumn("power", whiten_udf(normalize)("power"))
+    peak = F.array_max("power")
+    g = g.withColumn("peak_freq", start + (F.array_position("power", peak) - 1) * step)
+    return g.select("rec_id", "n_events", "peak_freq", peak.alias("peak_power"), (peak / (array_median(F.col("power")) + 1e-12)).alias("snr"),
+                    harmonic_comb(F.col("power"), F.lit(step), F.col("peak_freq"), fmax, 3, start).alias("harmonic"))
 
 
 def lomb_scargle(ev: DataFrame, fmin: float = 10.0, fmax: float = 800.0, n_freq: int = 512,
                  max_events: int | None = None, literal: bool = False) -> DataFrame:
     """Normalised periodogram of the event times, one row per (recording, frequency).
 
+    The delay and both squared norms follow from the sums at the doubled frequencies and the projections from those at the
+    frequencies themselves, so two fast transforms give every term.
+
     With unit impulses the centred signal vanishes, so the default is the point-process form (the
     share of events in phase at each frequency); ``literal`` analyses sin(2 pi t) at the event
     times, which is what centring the impulses amounts to in the original tool.
     """
     freqs = freq_grid(fmin, fmax, n_freq)
+    start, step = freqs[0], freqs[1] - freqs[0]
     sub = ev if max_events is None else random_subsample(ev, max_events)
-    t0 = sub.groupBy("rec_id").agg(F.min("t").alias("_t0"), F.count("*").alias("_n")).where("_n >= 8")
-    t = (F.col("t") - F.col("_t0")) / US
-    pts = sub.join(t0, "rec_id").select("rec_id", t.alias("ts"), F.posexplode(
-        F.array(*[F.lit(f) for f in freqs])).alias("k", "f_hz"))
-    w = 2 * math.pi * F.col("f_hz")
-    tau = pts.groupBy("rec_id", "k", "f_hz").agg(
-        (F.atan2(F.sum(F.sin(2 * w * F.col("ts"))), F.sum(F.cos(2 * w * F.col("ts")))) / (2 * w)).alias("tau"))
-    y = F.sin(2 * math.pi * F.col("ts")) if literal else F.lit(1.0)
-    a = w * (F.col("ts") - F.col("tau"))
-    g = pts.join(tau.drop("f_hz"), ["rec_id", "k"]).groupBy("rec_id", "k", "f_hz").agg(
-        F.sum(y * F.cos(a)).alias("yc"), F.sum(y * F.sin(a)).alias("ys"), F.sum(F.cos(a) ** 2).alias("cc"),
-        F.sum(F.sin(a) ** 2).alias("ss"), F.sum(y * y).alias("yy"))
-    p = 0.5 * (F.col("yc") ** 2 / F.greatest("cc", F.lit(1e-300)) + F.col("ys") ** 2 / F.greatest("ss", F.lit(1e-300)))
-    return g.select("rec_id", "k", "f_hz", (2 * p / F.col("yy")).alias("power"))
+    weight = None
+    if literal:
+        sub = sub.join(small(sub.groupBy("rec_id").agg(F.min("t").alias("_t0"))), "rec_id").withColumn("t", F.col("t") - F.col("_t0"))
+        weight = F.sin(2 * math.pi * F.col("t") / US)
+    twice = nufft(sub, ["rec_id"], 2 * start, 2 * step, n_freq).where("n_events >= 8")
+    once = nufft(sub, ["rec_id"], start, step, n_freq, weight)
+    norm = sub.groupBy("rec_id").agg(F.sum(weight * weight).alias("_yy")) if literal else twice.select("rec_id", F.col("n_events").cast("double").alias("_yy"))
+    j = (twice.select("rec_id", F.col("n_events").alias("_n"), F.col("re").alias("_c2"), F.col("im").alias("_s2"))
+         .join(once.select("rec_id", "re", "im"), "rec_id").join(norm, "rec_id"))
+    rows = j.select("rec_id", "_n", "_yy", F.posexplode(F.arrays_zip("_c2", "_s2", "re", "im")).alias("k", "z"))
+    c2, s2, a, b = F.col("z._c2"), -F.col("z._s2"), F.col("z.re"), -F.col("z.im")
+    turn, size = F.atan2(s2, c2) / 2, F.sqrt(c2 * c2 + s2 * s2)
+    yc, ys = a * F.cos(turn) + b * F.sin(turn), b * F.cos(turn) - a * F.sin(turn)
+    p = 0.5 * (yc ** 2 / F.greatest((F.col("_n") + size) / 2, F.lit(1e-300)) + ys ** 2 / F.greatest((F.col("_n") - size) / 2, F.lit(1e-300)))
+    return rows.select("rec_id", "k", (start + F.col("k") * step).alias("f_hz"), (2 * p / F.col("_yy")).alias("power"))
 
 
 def isi_frequency(ev: DataFrame, keys: list[str], fmin: float = 5.0, fmax: float = 2000.0,

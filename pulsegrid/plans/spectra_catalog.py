@@ -63,10 +63,21 @@ def region_spectrum(v):
     return sp.region_spectrum(v.px_tone, ["rec_id"], 2000.0, 80.0, 800.0)
 
 
+_WH = {**TONE, "wh": """SELECT a.rec_id, a.nb, a.f, a.hz, any_value(a.p)/(median(b.p) + 1e-20) AS p FROM
+  (SELECT *, nb//2 AS top, CAST((greatest(5, ((nb//2+1)//20)//2*2 + 1) - 1)//2 AS BIGINT) AS h FROM tn_pw) a, range(-200, 201) z(d), tn_pw b
+  WHERE abs(d) <= h AND b.rec_id = a.rec_id AND b.f = greatest(0, least(top, a.f + d)) GROUP BY ALL"""}
+
+
+@query("rec_id peak_freq:d peak_power:d3 snr:d3", """SELECT rec_id, max(p) FILTER (WHERE hz BETWEEN 80 AND 800) AS peak_power, arg_max(hz, p) FILTER (WHERE hz BETWEEN 80 AND 800) AS peak_freq,
+  max(p) FILTER (WHERE hz BETWEEN 80 AND 800)/(median(p) FILTER (WHERE f > 0) + 1e-12) AS snr FROM wh GROUP BY rec_id""", views=_WH)
+def region_spectrum_white(v):
+    return sp.region_spectrum(v.px_tone, ["rec_id"], 2000.0, 80.0, 800.0, normalize="median")
+
+
 @query("rec_id band_snr:d1", """SELECT rec_id, max(p) FILTER (WHERE hz BETWEEN 150 AND 450)/(median(p) FILTER (WHERE hz > 50 AND hz NOT BETWEEN 150 AND 450) + 1e-30) AS band_snr
   FROM tn_pw GROUP BY rec_id""", views=TONE)
 def band_snr(v):
-    return sp.band_snr(sp.region_spectrum(v.px_tone, ["rec_id"], 2000.0, 80.0, 800.0), 2000.0, (150.0, 450.0))
+    return sp.region_band_snr(v.px_tone, ["rec_id"], 2000.0, (150.0, 450.0))
 
 
 _CELLB = """SELECT rec_id, cy, cx, nb, least(CAST(floor((t-t0)/(1000000.0/{fs})) AS BIGINT), nb-1) AS b, count(*) AS c FROM
@@ -112,7 +123,14 @@ def freq_map(v):
     return sp.freq_map(v.px_lineitem, 64, 64, 6, 5.0, 20.0, 1.0, 8.0)
 
 
-@query("rec_id seg:l t_s:d f_hz:d power:d9")
+_TUKEY = "CASE WHEN n < 32 THEN 0.5*(1+cos(pi()*(n/32.0-1))) WHEN n > 224 THEN 0.5*(1+cos(pi()*((n-256)/32.0+1))) ELSE 1.0 END"
+_SG = {**TONE, "sg_ser": f"""SELECT rec_id, seg, n, (coalesce(c,0) - avg(coalesce(c,0)) OVER (PARTITION BY rec_id, seg))*{_TUKEY} AS s FROM
+  (SELECT rec_id, seg, unnest(range(0, 256)) AS n FROM (SELECT rec_id, unnest(range(0, (nb-256)//64 + 1)) AS seg FROM (SELECT DISTINCT rec_id, nb FROM tn_bins))) g
+  LEFT JOIN (SELECT rec_id, b, c FROM tn_bins) q ON q.rec_id = g.rec_id AND q.b = g.seg*64 + g.n""".replace("SELECT rec_id, seg, n, (coalesce", "SELECT g.rec_id, seg, n, (coalesce").replace("PARTITION BY rec_id, seg", "PARTITION BY g.rec_id, seg")}
+
+
+@query("rec_id seg:l t_s:d f_hz:d power:d9", f"""SELECT rec_id, seg, (seg*64+128)/2000.0 AS t_s, 2000.0*f/256 AS f_hz, (sum(s*cos(2*pi()*((n*f)%256)/256))**2 + sum(s*sin(2*pi()*((n*f)%256)/256))**2)
+   / (SELECT sum({_TUKEY}) FROM (SELECT unnest(range(0, 256)) AS n))**2 AS power FROM (SELECT *, unnest(range(0, 103)) AS f FROM sg_ser) GROUP BY ALL""", views=_SG)
 def spectrogram(v):
     return sp.spectrogram(v.px_tone, ["rec_id"], 2000.0, 256, 0.75, 800.0)
 
