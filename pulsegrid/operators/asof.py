@@ -19,21 +19,24 @@ from ..session import cut_lineage
 BROADCAST_ROWS = 500_000
 
 
-def intervals(marks: DataFrame, keys: list[str], t: str = "t", bucket_us: int = US) -> DataFrame:
-    """Turn marks into rows (keys, bucket, a, b, m, nx) with ``m``/``nx`` the mark and its follower.
+def legs(marks: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Turn marks into rows (keys, a, b, m, nx): from each mark to its follower, ``nx`` (null for the last).
 
     Marks of one group are few (pulses, telemetry samples, track points), so the window over them
     is a small one.
     """
     other = [c for c in marks.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(t)
-    m = (marks.select(*keys, F.struct(*other).alias("m"))
-         .withColumn("nx", F.lead("m").over(Window.partitionBy(*keys).orderBy(f"m.{t}")))
-         .withColumn("a", F.col(f"m.{t}"))
-         .withColumn("b", F.coalesce(F.col(f"nx.{t}"), F.col("a") + 1))
-         .where(F.col("b") > F.col("a")))
+    return (marks.select(*keys, F.struct(*other).alias("m"))
+            .withColumn("nx", F.lead("m").over(Window.partitionBy(*keys).orderBy(f"m.{t}")))
+            .withColumn("a", F.col(f"m.{t}"))
+            .withColumn("b", F.coalesce(F.col(f"nx.{t}"), F.col("a") + 1))
+            .where(F.col("b") > F.col("a")))
+
+
+def intervals(marks: DataFrame, keys: list[str], t: str = "t", bucket_us: int = US) -> DataFrame:
+    """:func:`legs`, each listed once for every time bucket it touches."""
     lo, hi = F.floor(F.col("a") / bucket_us), F.floor((F.col("b") - 1) / bucket_us)
-    return m.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    return legs(marks, keys, t).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
 
 
 def small(table: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.neighbours import latest_around
 from ..schema import US
 from ..session import cut_lineage
 from .select import polarity_filter
@@ -146,34 +148,36 @@ def refractory_filter(ev: DataFrame, period_us: int, chunk_us: int | None = None
 
 
 # ------------------------------------------------------------------ neighbour support
-NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
+def pieces(ev: DataFrame, dt_us: int, chunk_us: int, tile: int) -> DataFrame:
+    """The events under each tile and chunk that needs them: their own, and those in whose rim they lie."""
+    def around(c):
+        return F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile))
 
+    until = F.sequence(F.floor(F.col("t") / chunk_us), F.floor((F.col("t") + dt_us) / chunk_us))
+    return (ev.select("rec_id", "seq", "x", "y", "p", "t").withColumn("_tx", F.explode(around("x"))).withColumn("_ty", F.explode(around("y")))
+            .withColumn("_chunk", F.explode(until)))
 
-def baf_filter(ev: DataFrame, dt_us: int = 5000, chunk_us: int = US) -> DataFrame:
+
+def baf_filter(ev: DataFrame, dt_us: int = 5000, chunk_us: int = US, tile: int = 64) -> DataFrame:
     """Keep an event if one of its eight neighbours fired earlier in the stream within ``dt_us``.
 
-    Every event is offered to its neighbours' pixels and the latest offer before an event is
-    compared with its time.  Pixels are cut into time chunks; an offer still live at the end of its
-    chunk is repeated in the next one, so a chunk needs nothing from outside.
+    The stream is cut into tiles of pixels and chunks of time.  A tile also gets the events of the rim of one pixel around it and a
+    chunk those of the last ``dt_us`` before it, so that a piece needs nothing from outside and about 1.1 rows an event are
+    shuffled.  Each piece is judged in one vectorised pass.
     """
-    chunk_us = max(chunk_us, dt_us)
-    chunk = F.floor(F.col("t") / chunk_us)
-    until = F.floor((F.col("t") + dt_us) / chunk_us)
-    offers = (ev.select("rec_id", "x", "y", "t", "seq",
-                        F.explode(F.sequence(chunk, until)).alias("_chunk"))
-              .withColumn("_d", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"))
-                                                    for a, b in NEIGHBOURS])))
-              .select("rec_id", (F.col("x") + F.col("_d.dx")).alias("x"),
-                      (F.col("y") + F.col("_d.dy")).alias("y"), F.lit(None).cast("int").alias("p"),
-                      "t", "seq", "_chunk", F.col("t").alias("_offer")))
-    own = ev.select(*PIXEL, "p", "t", "seq", chunk.alias("_chunk"),
-                    F.lit(None).cast("long").alias("_offer"))
-    w = (Window.partitionBy(*PIXEL, "_chunk").orderBy("t", "seq")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return (own.unionByName(offers)
-            .withColumn("_seen", F.last("_offer", ignorenulls=True).over(w))
-            .where(F.col("_offer").isNull() & (F.col("t") - F.col("_seen") <= dt_us))
-            .select("rec_id", "seq", "x", "y", "p", "t"))
+    chunk_us = max(int(chunk_us), int(dt_us))
+
+    def judge(table: pa.Table) -> pa.Table:
+        tx, ty, chunk = (table.column(c)[0].as_py() for c in ("_tx", "_ty", "_chunk"))
+        table = table.sort_by([("t", "ascending"), ("seq", "ascending")])
+        x, y, t = (table.column(c).to_numpy() for c in ("x", "y", "t"))
+        gx, gy = x - tx * tile + 1, y - ty * tile + 1
+        own = (gx > 0) & (gx <= tile) & (gy > 0) & (gy <= tile) & (t // chunk_us == chunk)
+        seen = latest_around(gx, gy, t, tile + 2)
+        return table.filter(pa.array(own & (t - seen <= dt_us))).select(["rec_id", "seq", "x", "y", "p", "t"])
+
+    schema = T.StructType([f for f in ev.select("rec_id", "seq", "x", "y", "p", "t").schema])
+    return pieces(ev, dt_us, chunk_us, tile).groupBy("rec_id", "_tx", "_ty", "_chunk").applyInArrow(judge, schema)
 
 
 # ------------------------------------------------------------------ chains

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.spectral import array_median, band_slice, harmonic_comb, power_udf, whiten_udf
 from ..schema import US
 from ..session import cut_lineage
-from .asof import asof, lerp, small
+from .asof import legs, lerp, small
 from .fourier import long_lines, long_power, nufft, row_median
+from .grid import grid_join
 from .ordered import chunk_of, last, scan
 from .raster import spans
 from .select import random_subsample
@@ -255,16 +256,24 @@ def moving_box_gate(ev: DataFrame, track: DataFrame, pad: float = 6.0) -> DataFr
 
     Tracks are keyed by (rec_id, target_id); only events within a track's time range count.
     """
-    ids = track.groupBy("rec_id", "target_id").agg(F.min("t").alias("_a"), F.max("t").alias("_b"),
-                                                   F.count("*").alias("_n")).where("_n >= 3")
+    ids = track.groupBy("rec_id", "target_id").agg(F.min("t").alias("track_t0"), F.max("t").alias("track_t1"),
+                                                   F.count("*").alias("_n")).where("_n >= 3").drop("_n")
     marks = track.select("rec_id", "target_id", "t", "cx", "cy",
                          F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy"))
-    e = ev.join(ids, "rec_id").where((F.col("t") >= F.col("_a")) & (F.col("t") <= F.col("_b")))
-    j = asof(e, marks, ["rec_id", "target_id"], F.col("t"))
+    parts = legs(marks, ["rec_id", "target_id"]).join(ids, ["rec_id", "target_id"])
+
+    def reach(centre, size):
+        """The box of a whole leg along one axis, a pixel wider than the box at any time."""
+        at = [(F.col(f"m.{centre}"), F.col(f"m.{size}")), (F.coalesce(f"nx.{centre}", f"m.{centre}"), F.coalesce(f"nx.{size}", f"m.{size}"))]
+        half = F.greatest(at[0][1], at[1][1]) / 2 + pad
+        return F.least(at[0][0], at[1][0]) - half - 1, F.greatest(at[0][0], at[1][0]) + half + 1
+
+    (x0, x1), (y0, y1) = reach("cx", "dx"), reach("cy", "dy")
+    boxes = parts.select("rec_id", "target_id", "track_t0", "track_t1", "m", "nx", "a", "b", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
     te = F.col("t")
+    j = grid_join(ev, boxes)
     return j.where((F.abs(F.col("x") - lerp(te, "cx")) <= lerp(te, "dx") / 2 + pad)
-                   & (F.abs(F.col("y") - lerp(te, "cy")) <= lerp(te, "dy") / 2 + pad)) \
-            .select(*ev.columns, "target_id", F.col("_a").alias("track_t0"), F.col("_b").alias("track_t1"))
+                   & (F.abs(F.col("y") - lerp(te, "cy")) <= lerp(te, "dy") / 2 + pad)).select(*ev.columns, "target_id", "track_t0", "track_t1")
 
 
 def blade_fft(ev: DataFrame, track: DataFrame, fmin: float = 20.0, fmax: float = 600.0,

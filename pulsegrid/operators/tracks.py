@@ -5,25 +5,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.angles import wrap180, wrap360
 from ..schema import US
-from .asof import asof, lerp, nearest
+from .asof import asof, legs, lerp, nearest
+from .grid import grid_join
 from .rotation import unwrap
 
 
 # ------------------------------------------------------------------ interval joins
 def in_box_events(ev: DataFrame, dets: DataFrame, window_us: int, det_cols: list[str] = ["step"]) -> DataFrame:
-    """Events inside each detection's half-open box over its trailing window [t - window, t).
-
-    Both sides carry time buckets of the window's length; a detection touches at most two, so the
-    join is an equi join on (rec_id, bucket) with the box test as a residual filter.
-    """
-    b = F.sequence(F.floor((F.col("dt") - window_us) / window_us), F.floor((F.col("dt") - 1) / window_us))
-    d = dets.select("rec_id", *det_cols, F.col("t").alias("dt"), "x0", "y0", "x1", "y1") \
-            .withColumn("_b", F.explode(b))
-    e = ev.withColumn("_b", F.floor(F.col("t") / window_us))
-    return e.join(d, ["rec_id", "_b"]).where(
-        (F.col("t") >= F.col("dt") - window_us) & (F.col("t") < F.col("dt"))
-        & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-        & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))).select(*ev.columns, *det_cols, "dt")
+    """Events inside each detection's half-open box over its trailing window [t - window, t)."""
+    boxes = dets.select("rec_id", *det_cols, F.col("t").alias("dt"), (F.col("t") - window_us).alias("a"), F.col("t").alias("b"), "x0", "y0", "x1", "y1")
+    return grid_join(ev, boxes, window_us).select(*ev.columns, *det_cols, "dt")
 
 
 def nearest_in_time(track: DataFrame, traj: DataFrame, keys: list[str], cols: list[str],
@@ -34,16 +25,17 @@ def nearest_in_time(track: DataFrame, traj: DataFrame, keys: list[str], cols: li
 
 
 def box_asof(ev: DataFrame, boxes: DataFrame, strict: bool = True) -> DataFrame:
-    """Events inside the box active at their time: the last box before it, clipped to the ends.
+    """Events inside the box active at their time: the last box before it, from the first box to the last.
 
     ``strict`` takes the last box with a time before the event, as a left-sided search does.
     """
-    te = F.col("t") - 1 if strict else F.col("t")
-    j = asof(ev, boxes.select("rec_id", "t", "x0", "y0", "x1", "y1"), ["rec_id"], te)
-    return j.where((F.col("t") >= F.col("_first")) & (F.col("t") < F.col("_last"))
-                   & (F.col("x") >= F.col("m.x0")) & (F.col("x") < F.col("m.x1"))
-                   & (F.col("y") >= F.col("m.y0")) & (F.col("y") < F.col("m.y1"))) \
-            .select(*ev.columns, F.col("m.t").alias("box_t"))
+    iv = legs(boxes.select("rec_id", "t", "x0", "y0", "x1", "y1"), ["rec_id"]).where("nx IS NOT NULL")
+    ends = boxes.groupBy("rec_id").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    later = F.lit(1 if strict else 0)
+    a = F.when(F.col("a") == F.col("_first"), F.col("a")).otherwise(F.col("a") + later)
+    spans = iv.join(ends, "rec_id").select("rec_id", F.col("a").alias("box_t"), a.alias("a"), F.least(F.col("b") + later, F.col("_last")).alias("b"),
+                                           *[F.col(f"m.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return grid_join(ev, spans).select(*ev.columns, "box_t")
 
 
 def dual_sensor_gate(a: DataFrame, b: DataFrame, keys: list[str], gate_deg: float = 15.0,
@@ -67,9 +59,8 @@ def shared_revolution_join(a: DataFrame, b: DataFrame, pulses: DataFrame) -> Dat
 
     ``a``/``b`` have (rev, t_s, bearing_deg); ``pulses`` (k, t) of the common rotation.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("t")          # the pulses of one capture: one row per turn
-    spin = pulses.select(F.col("k").alias("rev"), (360.0 / ((F.lead("t").over(w) - F.col("t")) / US)).alias("omega")) \
-                 .where("omega IS NOT NULL")
+    after = pulses.select((F.col("k") - 1).alias("rev"), F.col("t").alias("_next"))         # a full turn ends with the next pulse
+    spin = pulses.select(F.col("k").alias("rev"), "t").join(after, "rev").select("rev", (360.0 / ((F.col("_next") - F.col("t")) / US)).alias("omega"))
     j = a.select("rev", F.col("t_s").alias("ta"), F.col("bearing_deg").alias("ba")).join(
         b.select("rev", F.col("t_s").alias("tb"), F.col("bearing_deg").alias("bb")), "rev")
     return j.join(spin, "rev").select("rev", (F.col("ta") - F.col("tb")).alias("dt"),

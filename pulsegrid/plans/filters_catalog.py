@@ -153,9 +153,9 @@ def refractory_filter(v):
     return dn.refractory_filter(v.px_lineitem, 900_000, chunk_us=2_000_000)
 
 
-@query(EV, BAF.format(src="px_events", dt=20000))
+@query(EV, BAF.format(src="px_lineitem", dt=200000))
 def baf_filter(v):
-    return dn.baf_filter(v.px_events, 20_000)
+    return dn.baf_filter(v.px_lineitem, 200_000)
 
 
 @query(EV, """SELECT e.* FROM px_events e ANTI JOIN hot99 USING (rec_id, x, y) SEMI JOIN refr USING (rec_id, seq)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.neighbours import NEVER, latest_around
 from ..functions.spectral import power_udf
 from ..operators.asof import BROADCAST_ROWS
 from ..operators.spectra import peak_columns
@@ -169,18 +170,13 @@ def baf(stream: DataFrame, dt_us: int, tile: int = 16) -> DataFrame:
     def keep(key, batches, state: GroupState):
         _, tx, ty = key
         pdf = pd.concat(list(batches)).sort_values(["t", "seq"])
-        last = np.array(state.get[0], np.int64).reshape(n, n) if state.exists else np.full((n, n), -(1 << 62), np.int64)
-        gx, gy = (pdf["x"] - tx * tile + 1).to_numpy(), (pdf["y"] - ty * tile + 1).to_numpy()
-        t, ok = pdf["t"].to_numpy(), np.zeros(len(pdf), bool)
-        for i in range(len(t)):
-            x, y = gx[i], gy[i]
-            if 0 < x <= tile and 0 < y <= tile:
-                own = last[y, x]
-                last[y, x] = -(1 << 62)
-                ok[i] = t[i] - last[y - 1:y + 2, x - 1:x + 2].max() <= dt_us
-                last[y, x] = own
-            last[y, x] = t[i]
-        state.update((last.ravel().tolist(),))
+        last = np.array(state.get[0], np.int64) if state.exists else np.full(n * n, NEVER, np.int64)
+        gx, gy = (pdf["x"] - tx * tile + 1).to_numpy(np.int64), (pdf["y"] - ty * tile + 1).to_numpy(np.int64)
+        t = pdf["t"].to_numpy()
+        own = (gx > 0) & (gx <= tile) & (gy > 0) & (gy <= tile)
+        ok = own & (t - latest_around(gx, gy, t, n, last) <= dt_us)
+        last[gy * n + gx] = t                      # in stream order, so the last event of a pixel stays
+        state.update((last.tolist(),))
         yield pdf[ok][["rec_id", "seq", "x", "y", "p", "t"]]
 
     return s.groupBy("rec_id", "tx", "ty").applyInPandasWithState(

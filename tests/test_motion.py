@@ -107,8 +107,8 @@ def test_stream_spectra_match_batch(spark, events):
     e = events(5, 5, t)
     e.write.parquet(folder)
     s = st.with_event_time(st.read_event_stream(spark, folder, e.schema))
-    got = st.run_available(st.spectra(s, 500_000, 500_000, 1000.0, 50.0, 400.0, 16), "out").toPandas()
-    assert len(got) >= 3 and (abs(got.peak_freq - 120) < 3).all()
+    got = st.run_to_end(s, lambda q: st.spectra(q, 500_000, 500_000, 1000.0, 50.0, 400.0, 16), "out").toPandas()
+    assert len(got) == 5 and (abs(got.peak_freq - 120) < 3).all()
     ref = sp.region_spectrum(events(5, 5, t[(t >= 500_000) & (t < 1_000_000)]), ["rec_id"], 1000.0, 50.0, 400.0).first()
     assert abs(ref.peak_freq - 120) < 3
 
