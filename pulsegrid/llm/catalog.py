@@ -100,11 +100,15 @@ shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k, any_value(a.n) AS na, a
 edge AS (SELECT a, b FROM shared WHERE 100 * k >= 75 * (na + nb - k)),
 both_ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT reach.node, b FROM reach JOIN both_ways ON reach.other = both_ways.a),
-comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
-SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, coalesce(comp.component_id, rep.rep, n.doc_id) AS component_id
-FROM n LEFT JOIN rep ON n.cls = rep.cls AND n.n_shingles > 0 LEFT JOIN comp ON comp.node = rep.rep""")
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+size AS (SELECT cls, count(*) AS size FROM n WHERE n_shingles > 0 GROUP BY cls),
+linked AS (SELECT a AS node, sum(size) AS linked FROM both_ways JOIN rep ON rep.rep = b JOIN size USING (cls) GROUP BY a)
+SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, coalesce(comp.component_id, rep.rep, n.doc_id) AS component_id,
+       CAST(coalesce(size.size - 1, 0) + coalesce(linked.linked, 0) AS BIGINT) AS n_links
+FROM n LEFT JOIN rep ON n.cls = rep.cls AND n.n_shingles > 0 LEFT JOIN comp ON comp.node = rep.rep
+LEFT JOIN size ON n.cls = size.cls AND n.n_shingles > 0 LEFT JOIN linked ON linked.node = rep.rep""")
 def op8_ngram_jaccard(spark, sf_dir):
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 @query("""

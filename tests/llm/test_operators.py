@@ -126,6 +126,45 @@ def test_jaccard_matches_all_pairs(spark, odd, empty, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == plain_components(rows)
 
 
+def plain_links(rows):
+    sets = plain_sets(rows)
+    def near(x, y):
+        return bool(x) and 100 * len(x & y) >= 75 * len(x | y)
+    return sorted(((i, sum(k != j and near(s, t) for j, (_, t) in enumerate(sets))) for k, (i, s) in enumerate(sets)), key=str)
+
+
+def test_link_counts_match_all_pairs(spark, odd, empty, monkeypatch):
+    """Every link between different texts is counted, in a hot group of near copies and in chains, whatever the block size."""
+    def got(df):
+        return sorted(((r.doc_id, r.n_links) for r in jaccard.jaccard_join(df).collect()), key=str)
+
+    assert got(odd) == plain_links([(r[0], r[1]) for r in ODD])
+    assert got(empty) == []
+    words = [f"h{j}" for j in range(120)]
+    hot = [" ".join(w if j not in {(5 * k) % 120, (11 * k) % 120} else f"x{k}" for j, w in enumerate(words[: 120 - k % 20])) for k in range(60)]
+    rows = [*near_copies(12), *[(100 + k, t) for k, t in enumerate(hot)], *[(300 + k, hot[0]) for k in range(5)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_links(rows)
+    assert max(n for _, n in want) > 25 and got(docs) == want
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard.found_links, "__defaults__", (0,))
+    assert got(docs) == want
+
+
+def test_blocks_return_forests(spark, monkeypatch):
+    """A tile of near copies without centres returns at most one link a member."""
+    import numpy as np
+    import pandas as pd
+    r = np.random.default_rng(3)
+    base = np.sort(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.sort(np.concatenate([np.delete(base, r.integers(0, 400, 20)), r.integers(0, 1 << 63, 5).astype(np.uint64)])) for _ in range(80)]
+    pdf = pd.DataFrame({"side": 0, "cls": np.arange(80), "n": [len(s) for s in sets], "label": np.arange(80), "items": [s.tobytes() for s in sets]})
+    assert len(jaccard._tile_forest(None, pdf)) == 79
+    pdf["size"] = 1
+    assert jaccard._block_counts(None, pdf).linked.tolist() == [79] * 80
+
+
 def test_signature_distance_bounds_the_difference():
     import numpy as np
     r = np.random.default_rng(5)
