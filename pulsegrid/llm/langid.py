@@ -265,8 +265,11 @@ def identify(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The documents whose language is found, unchanged."""
     model = train(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    key = [F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")]     # equal texts get equal answers, and rows stay where they are
-    answers = predict(docs.select(*key, "text"), model, ["_a", "_b"])
-    gone = cut_lineage(answers.where(F.col("lang_pred") == UNKNOWN).select("_a", "_b").distinct())
+    # Equal texts get equal answers, and rows stay where they are; the columns of the input stay apart in a struct.
+    names = ["hash_a", "hash_b"]
+    key = [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(1), "text").alias(names[1])]
+    answers = predict(docs.select(*key, "text"), model, names)
+    gone = cut_lineage(answers.where(F.col("lang_pred") == UNKNOWN).select(*names).distinct())
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
-    return docs.withColumns({c: k for c, k in zip(("_a", "_b"), key)}).join(gone, ["_a", "_b"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    return rows.join(gone, names, "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

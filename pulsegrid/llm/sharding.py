@@ -4,11 +4,12 @@ Records are ordered by a hash of their text, so equal texts stand together.  Gro
 part of a shard are set apart (their number is bounded by the threshold).  Of the other groups a size-weighted sample of keys
 gives quantile boundaries; ranges that come out overfull are subdivided and measured again.  The measured ranges are then dealt to
 the shards in key order, filling what the large groups have left free.  A group larger than a shard is cut into
-pieces by hash of doc_id.  Slots number the rows of a shard without gaps: rows are numbered inside a range, and the range's
+pieces by hash of a row number, so that rows without a doc_id, or with the same one, are spread like any others.  Slots number the rows of a shard without gaps: rows are numbered inside a range, and the range's
 start is the sum of those before it, so no task ever orders a whole shard.
 
 A null text has no bytes and so size 1, checksum 0; it forms one group with the empty text.  A null doc_id is kept.  Repeated rows
-all get slots of their own.  An empty table gives an empty table.
+all get slots of their own.  A very long text is one row like any other, only its size and checksums travel.  Other columns, whatever their
+names, are not read.  An empty table gives an empty table.
 """
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ SHARDS = 8
 LARGE = 0.002
 #: Ranges: so many for each shard at least, and none larger than about this many bytes; sampled keys for each range.
 RANGES, RANGE_BYTES, SAMPLES = 512, 256 << 20, 8
+#: Rows that a large group's piece may always have, and pieces of a shard's size that a group larger than a shard is cut into.
+PIECE_ROWS, FINE = 2_000, 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -110,22 +113,22 @@ def deal(pieces: list, target: float, shards: int) -> list[tuple]:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
-    rows = cut_lineage(sized(docs))
+    rows = cut_lineage(sized(docs).withColumn("number", F.monotonically_increasing_id()))
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     groups = cut_lineage(groups)
     whole = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
     total, count = whole.bytes or 0, whole.rows or 0
-    target, per_window = total / shards, max(50_000, count // (shards * RANGES))
+    target, per_window = total / shards, max(PIECE_ROWS, count // (shards * RANGES))
     is_large = (F.col("bytes") > target * LARGE) | (F.col("rows") > count / shards * LARGE)
     large = groups.where(is_large).orderBy(F.desc("bytes"), "key").collect()
-    pieces_of = [max(-(-r.rows // per_window), int(r.bytes * 10 // target) + 1 if r.bytes > target else 1) for r in large]
+    pieces_of = [max(-(-r.rows // per_window), int(r.bytes * FINE // target) + 1 if r.bytes > target else 1) for r in large]
     table = spark.createDataFrame([(r.key, -1 - k, n) for k, (r, n) in enumerate(zip(large, pieces_of))], "key long, large_unit long, subs int")
     others = groups.where(~is_large)
     ranges = max(shards * RANGES, total // RANGE_BYTES + 1)
     cuts = subdivided(others, splitters(others, ranges), 2 * max(1.0, total / ranges))
     # The large groups are bounded in number, so their table may be broadcast.
     placed = bucketed(rows, cuts).join(F.broadcast(table), "key", "left")
-    placed = placed.withColumns({"unit": F.coalesce("large_unit", "unit"), "sub": F.pmod(F.xxhash64("doc_id", "size"), F.coalesce("subs", F.lit(1))).cast("int")})
+    placed = placed.withColumns({"unit": F.coalesce("large_unit", "unit"), "sub": F.pmod(F.xxhash64("number"), F.coalesce("subs", F.lit(1))).cast("int")})
     placed = cut_lineage(placed.select("doc_id", "size", "text_crc32", "key", "unit", "sub"))
     pieces = placed.groupBy("unit", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     plan = spark.createDataFrame(deal(pieces, target, shards), "unit long, sub int, shard int, first long")

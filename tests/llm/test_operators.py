@@ -179,6 +179,31 @@ def test_one_of_each_keeps_single_documents(odd):
     assert [k for k, _ in kept] == [1, 2, 3, 4, 6, 8, 9, 10] and odd.columns == jaccard.one_of_each(odd).columns
 
 
+# ---- clashing names, repeated rows
+
+def test_recognised_keeps_clashing_columns(spark):
+    rows = [(k, f"the plain words of document {k} and the rest of them", "en", 111, "x", 7) for k in range(40)] + [(90, "123 456", "en", 112, "y", 8), (91, None, None, 113, "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _a long, hash_a string, row long")
+    kept = langid.recognised(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == rows[:40]
+
+
+def test_shards_stay_even_with_repeated_rows(spark):
+    """Thousands of equal rows, without a doc_id and with one: even bytes, gapless slots, and the sizes of the texts."""
+    text = "seven b"
+    rows = [(k, f"plain row {k:05d} " + "x" * (k % 17)) for k in range(4000)] + [(None, text)] * 6000 + [(77_777, text + "!")] * 3000
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    load, slots = [0] * 8, [[] for _ in range(8)]
+    for r in out:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    even = sum(len(t) + 1 for _, t in rows) / 8
+    assert max(load) <= 1.02 * even and min(load) >= 0.98 * even
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in out) == sorted((str(i), len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+
+
 # ---- decontamination
 
 def plain_contamination(rows, items):
