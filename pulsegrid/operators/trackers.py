@@ -157,66 +157,113 @@ def single_tracker(traj: DataFrame, mad_k: float = 6.0) -> DataFrame:
     return drop_rule_outliers(traj, ["rec_id"], "elev_deg", mad_k, eps=1e-6).withColumn("target_id", F.lit(0).cast("long"))
 
 
+class Drift:
+    """Constant-velocity filters of many points at once.
+
+    Both coordinates of a point move and are measured independently of each other, so a filter is two of two states: place and
+    speed with the three numbers of their covariance, kept as (points, 2) arrays.
+    """
+
+    FIELDS = ("at", "speed", "pp", "pv", "vv")
+
+    def __init__(self):
+        for name in self.FIELDS:
+            setattr(self, name, np.zeros((0, 2)))
+
+    def __len__(self):
+        return len(self.at)
+
+    def keep(self, which: np.ndarray):
+        for name in self.FIELDS:
+            setattr(self, name, getattr(self, name)[which])
+
+    def add(self, at: np.ndarray, pp: float, vv: float):
+        still = np.zeros_like(at)
+        for name, rows in zip(self.FIELDS, (at, still, still + pp, still, still + vv)):
+            setattr(self, name, np.concatenate([getattr(self, name), rows]))
+
+    def advance(self, dt: float, pp: float, pv: float, vv: float):
+        """Move by ``dt`` and widen the covariance by the noise of that time."""
+        self.at = self.at + dt * self.speed
+        self.pp = self.pp + dt * (2 * self.pv + dt * self.vv) + pp
+        self.pv, self.vv = self.pv + dt * self.vv + pv, self.vv + vv
+
+    def correct(self, rows: np.ndarray, off: np.ndarray, noise: np.ndarray):
+        """Take in measurements that lie ``off`` from where points ``rows`` were expected."""
+        near, far = self.pp[rows] / (self.pp[rows] + noise), self.pv[rows] / (self.pp[rows] + noise)
+        self.at[rows] += near * off
+        self.speed[rows] += far * off
+        self.vv[rows] -= far * self.pv[rows]
+        self.pv[rows] *= 1 - near
+        self.pp[rows] *= 1 - near
+
+
+def cheapest(cost: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) from the cheapest on, each row and column once, up to ``most``."""
+    left, pairs = np.where(cost <= most, cost, np.inf), []
+    while left.size and np.isfinite(left.min()):
+        i, k = np.unravel_index(left.argmin(), left.shape)
+        pairs.append((i, k))
+        left[i], left[:, k] = np.inf, np.inf
+    rows = np.array(pairs, int).reshape(-1, 2)
+    return rows[:, 0], rows[:, 1]
+
+
+class BearingFilters:
+    """The live tracks of a recording in bearing and elevation, a step at a time."""
+
+    def __init__(self, wrap: bool, q: float, noise: tuple[float, float], gate: float, max_gap_s: float, spread: float, alpha: float, retire: bool):
+        self.wrap, self.q, self.noise, self.gate = wrap, q, np.square(noise), gate
+        self.max_gap_s, self.spread, self.alpha, self.retire = max_gap_s, spread, alpha, retire
+        self.move, self.now, self.started = Drift(), None, 0
+        self.ids, self.seen, self.reach = np.zeros(0, int), np.zeros(0), np.zeros(0)
+
+    def step(self, t: float, az: np.ndarray, el: np.ndarray, reach: np.ndarray) -> list[tuple]:
+        """(measurement, track, azimuth, elevation, range) for every measurement of a time; ranges may be NaN."""
+        dt = 0.0 if self.now is None else t - self.now
+        self.now = t
+        self.move.advance(dt, self.q * dt ** 3 / 3, self.q * dt ** 2 / 2, self.q * dt)
+        off = np.stack(np.broadcast_arrays(az - self.move.at[:, :1], el - self.move.at[:, 1:]), axis=-1)
+        if self.wrap:
+            off[..., 0] = (off[..., 0] + 180.0) % 360.0 - 180.0
+        cost = (off ** 2 / (self.move.pp + self.noise)[:, None]).sum(-1)
+        i, k = cheapest(cost, self.gate)
+        self.move.correct(i, off[i, k], self.noise)
+        self.seen[i] = t
+        old, new = self.reach[i], reach[k]
+        self.reach[i] = np.where(np.isnan(new), old, np.where(np.isnan(old), new, (1 - self.alpha) * old + self.alpha * new))
+        out = list(zip(k, self.ids[i], *self.move.at[i].T, self.reach[i]))
+        fresh = np.setdiff1d(np.arange(len(az)), k)
+        ids = self.started + np.arange(len(fresh))
+        self.started += len(fresh)
+        at = np.stack([az[fresh], el[fresh]], axis=1)
+        self.move.add(at, 1.0, self.spread)
+        self.ids, self.seen, self.reach = np.append(self.ids, ids), np.append(self.seen, np.full(len(fresh), t)), np.append(self.reach, reach[fresh])
+        out += zip(fresh, ids, *at.T, reach[fresh])
+        if self.retire:
+            stay = t - self.seen <= self.max_gap_s
+            self.move.keep(stay)
+            self.ids, self.seen, self.reach = self.ids[stay], self.seen[stay], self.reach[stay]
+        return out
+
+
 def kalman_tracker(traj: DataFrame, wrap: bool, q: float = 400.0, r_az: float = 0.6, r_el: float = 0.6,
                    gate_chi2: float = 13.8, max_gap_s: float = 0.8, confirm_hits: int = 3,
                    init_vel_var: float = 1e5, range_alpha: float = 0.3, min_len: int = 3,
-                   retire_by_update: bool = False) -> DataFrame:
+                   retire_by_update: bool = True) -> DataFrame:
     """Constant-velocity Kalman tracks in bearing and elevation.
 
-    As in the original, a track's clock is advanced by every prediction, so the gap never retires
-    it; ``retire_by_update`` measures the gap from the last update instead.
+    A track that has had no measurement for ``max_gap_s`` leaves the state.  In the original the gap is measured from the
+    last prediction and so never ends a track; ``retire_by_update=False`` does the same.
     """
-    H = np.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0]])
-    R = np.diag([r_az ** 2, r_el ** 2])
-
     def make():
-        live: list[dict] = []
-        ids = [0]
-
-        def predict(tr, t):
-            dt = t - tr["t"]
-            if dt > 0:
-                A = np.eye(4)
-                A[0, 2] = A[1, 3] = dt
-                Q = np.kron(np.array([[dt ** 3 / 3, dt ** 2 / 2], [dt ** 2 / 2, dt]]), np.eye(2)) * q
-                tr["x"], tr["P"], tr["t"] = A @ tr["x"], A @ tr["P"] @ A.T + Q, t
+        live = BearingFilters(wrap, q, (r_az, r_el), gate_chi2, max_gap_s, init_vel_var, range_alpha, retire_by_update)
 
         def handle(rows):
-            t = rows[0].t / US
-            for tr in live:
-                predict(tr, t)
-            pairs = []
-            for i, tr in enumerate(live):
-                S = H @ tr["P"] @ H.T + R
-                for k, m in enumerate(rows):
-                    az = tr["x"][0] + _ang(m.azimuth_deg, tr["x"][0]) if wrap else m.azimuth_deg
-                    nu = np.array([az, m.elev_deg]) - H @ tr["x"]
-                    d2 = float(nu @ np.linalg.solve(S, nu))
-                    if d2 <= gate_chi2:
-                        pairs.append((d2, i, k, nu, S))
-            used_t, used_m, out = set(), set(), []
-            for _, i, k, nu, S in sorted(pairs, key=lambda p: p[0]):
-                if i in used_t or k in used_m:
-                    continue
-                used_t.add(i)
-                used_m.add(k)
-                tr, m = live[i], rows[k]
-                K = tr["P"] @ H.T @ np.linalg.inv(S)
-                tr["x"], tr["P"] = tr["x"] + K @ nu, (np.eye(4) - K @ H) @ tr["P"]
-                tr["seen"] = t
-                if m.range_m is not None and np.isfinite(m.range_m):
-                    tr["r"] = m.range_m if tr["r"] is None else (1 - range_alpha) * tr["r"] + range_alpha * m.range_m
-                out.append((m.rec_id, tr["id"], int(m.step), int(m.t), float(tr["x"][0]), float(tr["x"][1]), tr["r"]))
-            for k, m in enumerate(rows):
-                if k not in used_m:
-                    r0 = m.range_m if m.range_m is not None and np.isfinite(m.range_m) else None
-                    live.append({"id": ids[0], "x": np.array([m.azimuth_deg, m.elev_deg, 0.0, 0.0]),
-                                 "P": np.diag([1.0, 1.0, init_vel_var, init_vel_var]), "t": t, "seen": t, "r": r0})
-                    out.append((m.rec_id, ids[0], int(m.step), int(m.t), m.azimuth_deg, m.elev_deg, r0))
-                    ids[0] += 1
-            clock = "seen" if retire_by_update else "t"
-            live[:] = [tr for tr in live if t - tr[clock] <= max_gap_s]
-            return out
+            az, el, reach = (np.array([getattr(r, c) for r in rows], float) for c in ("azimuth_deg", "elev_deg", "range_m"))
+            reach[~np.isfinite(reach)] = np.nan
+            return [(rows[k].rec_id, int(i), int(rows[k].step), int(rows[k].t), float(a), float(e), None if np.isnan(d) else float(d))
+                    for k, i, a, e, d in live.step(rows[0].t / US, az, el, reach)]
         return _frames(handle)
 
     cols = ["rec_id", "step", "t", "azimuth_deg", "elev_deg", "range_m", "obj"]
@@ -230,41 +277,51 @@ def kalman_tracker(traj: DataFrame, wrap: bool, q: float = 400.0, r_az: float =
 KVF_SCHEMA = "rec_id string, track_id long, step long, t long, cx double, cy double, vitality double"
 
 
+class Vital:
+    """Image-plane filters with a vitality that hits raise and time lowers; a point without any is dropped."""
+
+    #: Vitality and variance of a new track.
+    BIRTH, SPREAD = 0.35, 50.0
+
+    def __init__(self, gate: float, hit: float, fade: float, death: float, process: float, noise: float):
+        self.gate, self.hit, self.fade, self.death, self.process, self.noise = gate, hit, fade, death, process, np.full(2, noise)
+        self.move, self.now, self.started = Drift(), None, 0
+        self.ids, self.vital = np.zeros(0, int), np.zeros(0)
+
+    def take(self, t: float, place: np.ndarray) -> tuple[int, float]:
+        """The track that a detection goes to, and its vitality after it."""
+        dt = 0.0 if self.now is None else max(t - self.now, 0.0)
+        self.now = t
+        self.move.advance(dt, *(self.process * (dt + 1e-3) * np.array([1.0, 0.0, 1.0])))
+        self.vital = np.maximum(0.0, self.vital - self.fade * dt)
+        off = place - self.move.at
+        far = np.hypot(off[:, 0], off[:, 1])
+        if len(far) and far.min() < self.gate:
+            k = int(far.argmin())
+            self.move.correct(np.array([k]), off[[k]], self.noise)
+            self.vital[k] = min(1.0, self.vital[k] + self.hit)
+        else:
+            k = len(far)
+            self.move.add(place[None], self.SPREAD, self.SPREAD)
+            self.ids, self.vital = np.append(self.ids, self.started), np.append(self.vital, self.BIRTH)
+            self.started += 1
+        out = int(self.ids[k]), float(self.vital[k])
+        stay = self.vital >= self.death
+        self.move.keep(stay)
+        self.ids, self.vital = self.ids[stay], self.vital[stay]
+        return out
+
+
 def kvf_tracker(traj: DataFrame, gate_px: float = 45.0, vit_hit: float = 0.18, vit_miss_rate: float = 0.6,
                 confirm: float = 0.7, death: float = 0.08, min_points: int = 4, process_noise: float = 8.0,
                 meas_noise: float = 16.0) -> DataFrame:
     """Image-plane Kalman tracks with an evidential vitality score."""
-    H = np.array([[1.0, 0, 0, 0], [0, 1.0, 0, 0]])
-
     def make():
-        live: list[dict] = []
-        ids = [0]
+        live = Vital(gate_px, vit_hit, vit_miss_rate, death, process_noise, meas_noise)
 
         def step(r):
-            t = r.t / US
-            best = None
-            for tr in live:
-                dt = max(t - tr["t"], 0.0)
-                A = np.eye(4)
-                A[0, 2] = A[1, 3] = dt
-                tr["x"], tr["t"] = A @ tr["x"], t
-                tr["P"] = A @ tr["P"] @ A.T + np.eye(4) * (process_noise * (dt + 1e-3))
-                tr["v"] = max(0.0, tr["v"] - vit_miss_rate * dt)
-                d = math.hypot(r.cx - tr["x"][0], r.cy - tr["x"][1])
-                if d < gate_px and (best is None or d < best[0]):
-                    best = (d, tr)
-            if best is not None:
-                tr = best[1]
-                K = tr["P"] @ H.T @ np.linalg.inv(H @ tr["P"] @ H.T + np.eye(2) * meas_noise)
-                tr["x"] = tr["x"] + K @ (np.array([r.cx, r.cy]) - H @ tr["x"])
-                tr["P"] = (np.eye(4) - K @ H) @ tr["P"]
-                tr["v"] = min(1.0, tr["v"] + vit_hit)
-            else:
-                tr = {"id": ids[0], "x": np.array([r.cx, r.cy, 0.0, 0.0]), "P": np.eye(4) * 50.0, "t": t, "v": 0.35}
-                ids[0] += 1
-                live.append(tr)
-            live[:] = [a for a in live if a["v"] >= death]
-            return [(r.rec_id, tr["id"], r.step, r.t, r.cx, r.cy, tr["v"])]
+            track, vital = live.take(r.t / US, np.array([r.cx, r.cy], float))
+            return [(r.rec_id, track, r.step, r.t, r.cx, r.cy, vital)]
         return step
 
     cols = ["rec_id", "step", "t", "cx", "cy", "obj"]
@@ -278,48 +335,57 @@ ROTOR_SCHEMA = ("rec_id string, track_id long, rev long, bearing_deg double, bla
                 "offset_deg double")
 
 
+class BearingLines:
+    """Tracks whose bearing follows a line over revolutions; a line is the sums of its least-squares fit, a row of ``sums``."""
+
+    def __init__(self, gate: float, first_gate: float, max_silent: int):
+        self.gate, self.first_gate, self.max_silent, self.started = gate, first_gate, max_silent, 0
+        #: id, revolution and bearing of the last pass, the same unwrapped, slope, first revolution
+        self.line = np.zeros((0, 6))
+        #: passes, sums of revolution, bearing, revolution squared, their product
+        self.sums = np.zeros((0, 5))
+
+    def pass_by(self, rev: int, bearing: np.ndarray) -> list[tuple[int, float]]:
+        """Track and slope for each detection of a revolution, the strongest first."""
+        stay = rev - self.line[:, 1] <= self.max_silent
+        self.line, self.sums = self.line[stay], self.sums[stay]
+        expected = self.line[:, 2] + self.line[:, 4] * (rev - self.line[:, 1])
+        far = np.abs(_ang(bearing[:, None], expected[None]))
+        gates = np.where(self.sums[:, 0] >= 2, self.gate, self.first_gate)
+        pick = assign(np.where(far <= gates, far, np.inf), np.inf)
+        fresh = np.flatnonzero(pick < 0)
+        new = np.zeros((len(fresh), 6))
+        new[:, 0] = self.started + np.arange(len(fresh))
+        new[:, 1], new[:, 5], new[:, 2], new[:, 3] = rev, rev, bearing[fresh], bearing[fresh]
+        self.started += len(fresh)
+        pick[fresh] = len(self.line) + np.arange(len(fresh))
+        self.line, self.sums = np.concatenate([self.line, new]), np.concatenate([self.sums, np.zeros((len(fresh), 5))])
+        hit = self.line[pick]
+        hit[:, 3] += _ang(bearing, hit[:, 3])
+        x, y = rev - hit[:, 5], hit[:, 3]
+        total = self.sums[pick] + np.stack([np.ones_like(x), x, y, x * x, x * y], axis=1)
+        n, sx, sy, sxx, sxy = total.T
+        spread = n * sxx - sx * sx
+        hit[:, 4] = np.where((n >= 2) & (spread > 0), (n * sxy - sx * sy) / np.where(spread > 0, spread, 1.0), 0.0)
+        hit[:, 1], hit[:, 2] = rev, bearing
+        self.line[pick], self.sums[pick] = hit, total
+        return list(zip(hit[:, 0].astype(int).tolist(), hit[:, 4].tolist()))
+
+
 def link_tracks(dets: DataFrame, period: DataFrame, gate_deg: float = 6.0, init_gate_deg: float | None = None,
-                min_passes: int = 2, strength: str = "comb_strength") -> DataFrame:
+                min_passes: int = 2, strength: str = "comb_strength", max_silent: int = 1000) -> DataFrame:
     """Link detections across revolutions with a predicted bearing; slope per revolution = motion.
 
     ``dets`` has rec_id, rev, bearing_deg, blade_hz, range_m and the strength column; ``period`` has
-    rec_id, period_s.  A track predicts from a line through its passes, kept as running sums.
+    rec_id, period_s.  A track without a pass for ``max_silent`` revolutions leaves the state.
     """
-    first_gate = 3.0 * gate_deg if init_gate_deg is None else init_gate_deg
-
     def make():
-        tracks: list[dict] = []
+        live = BearingLines(gate_deg, 3.0 * gate_deg if init_gate_deg is None else init_gate_deg, max_silent)
 
         def handle(rows):
-            rev, used, out = int(rows[0].step), set(), []
-            for d in rows:
-                best = None
-                for i, tr in enumerate(tracks):
-                    if i in used:
-                        continue
-                    pred = tr["b"] + tr["off"] * (rev - tr["rev"])
-                    gate = gate_deg if tr["n"] >= 2 else first_gate
-                    cost = abs(_ang(d.bearing_deg, pred))
-                    if cost <= gate and (best is None or cost < best[0]):
-                        best = (cost, i)
-                if best is None:
-                    tracks.append({"b": d.bearing_deg, "u": d.bearing_deg, "rev": rev, "off": 0.0, "n": 0,
-                                   "s": np.zeros(4), "r0": rev})
-                    i = len(tracks) - 1
-                else:
-                    i = best[1]
-                used.add(i)
-                tr = tracks[i]
-                tr["u"] += _ang(d.bearing_deg, tr["u"])
-                k = rev - tr["r0"]
-                tr["s"] += [k, tr["u"], k * k, k * tr["u"]]
-                tr["n"] += 1
-                sx, sy, sxx, sxy = tr["s"]
-                den = tr["n"] * sxx - sx * sx
-                tr["off"] = (tr["n"] * sxy - sx * sy) / den if tr["n"] >= 2 and den > 0 else 0.0
-                tr["b"], tr["rev"] = d.bearing_deg, rev
-                out.append((d.rec_id, i, rev, d.bearing_deg, d.blade_hz, d.range_m, tr["off"]))
-            return out
+            rev = int(rows[0].step)
+            linked = live.pass_by(rev, np.array([r.bearing_deg for r in rows], float))
+            return [(r.rec_id, i, rev, r.bearing_deg, r.blade_hz, r.range_m, slope) for r, (i, slope) in zip(rows, linked)]
         return _frames(handle)
 
     d = dets.select("rec_id", F.col("rev").alias("step"), "bearing_deg", "blade_hz", "range_m",
