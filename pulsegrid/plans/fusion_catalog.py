@@ -157,10 +157,11 @@ def ebs_rotor_track(v):
     return ebs(v)
 
 
-# Stand-in tracks with known values: centroids of the quarter-second and half-second detections
+# Stand-in tracks with known values: centroids of the quarter-second detections of a recording, against the half-second ones of each of its targets
 FUV = {
-    "ac": "SELECT rec_id, t, 100+cx*10 AS f0, least(cy/20.0,1.0) AS conf, n_events/10.0 AS snr FROM steps",
-    "eb": "SELECT rec_id, t + 60000 AS t, step, 200+cx*20 AS f0, least(cy/20.0,1.0) AS conf, n_events/10.0 AS snr FROM quads WHERE target_id = 0",
+    "ac": """SELECT s.rec_id || '/' || CAST(target_id AS VARCHAR) AS rec_id, t, 100+cx*10 AS f0, least(cy/20.0,1.0) AS conf, n_events/10.0 AS snr
+       FROM steps s JOIN (SELECT DISTINCT rec_id AS r, target_id FROM quads) ON s.rec_id = r""",
+    "eb": "SELECT rec_id || '/' || CAST(target_id AS VARCHAR) AS rec_id, t + 60000 AS t, step, 200+cx*20 AS f0, least(cy/20.0,1.0) AS conf, n_events/10.0 AS snr FROM quads",
     "ji": """SELECT e.*, CASE WHEN a.t IS NOT NULL AND b.t IS NOT NULL THEN a.f0+(b.f0-a.f0)*w END AS af, CASE WHEN a.t IS NOT NULL AND b.t IS NOT NULL THEN a.conf+(b.conf-a.conf)*w ELSE 0 END AS ac, CASE WHEN a.t IS NOT NULL AND b.t IS NOT NULL THEN a.snr+(b.snr-a.snr)*w ELSE 0 END AS asn
        FROM (SELECT e.*, a, b, coalesce((e.t-a.t)/CAST(nullif(b.t-a.t,0) AS DOUBLE),0) AS w FROM eb e ASOF LEFT JOIN ac a ON a.rec_id=e.rec_id AND a.t <= e.t ASOF LEFT JOIN ac b ON b.rec_id=e.rec_id AND b.t >= e.t) e""",
     "jr": """SELECT *, ratio, exp(-((ln(ratio)/0.2)**2)) AS kap, ac >= 0.3 AS aon, conf >= 0.3 AS eon FROM (SELECT *, (SELECT f0/tg FROM (VALUES (1.0::DOUBLE),(2.0::DOUBLE),(3.0::DOUBLE),(0.5::DOUBLE),(1.0::DOUBLE/3)) m(k), LATERAL (SELECT af*k AS tg) ORDER BY abs(ln(f0/tg)), k LIMIT 1) AS ratio FROM ji)""",
@@ -171,9 +172,11 @@ FUV = {
 
 
 def _two(v):
-    a = v.steps.select("rec_id", "t", (100 + F.col("cx") * 10).alias("f0"), F.least(F.col("cy") / 20.0, F.lit(1.0)).alias("conf"), (F.col("n_events") / 10.0).alias("snr"))
-    e = v.quads.where("target_id = 0").select("rec_id", (F.col("t") + 60_000).alias("t"), "step", (200 + F.col("cx") * 20).alias("f0"),
-                                              F.least(F.col("cy") / 20.0, F.lit(1.0)).alias("conf"), (F.col("n_events") / 10.0).alias("snr"))
+    name = F.concat_ws("/", "rec_id", F.col("target_id").cast("string")).alias("rec_id")
+    targets = v.quads.select("rec_id", "target_id").distinct()
+    a = v.steps.join(targets, "rec_id").select(name, "t", (100 + F.col("cx") * 10).alias("f0"), F.least(F.col("cy") / 20.0, F.lit(1.0)).alias("conf"), (F.col("n_events") / 10.0).alias("snr"))
+    e = v.quads.select(name, (F.col("t") + 60_000).alias("t"), "step", (200 + F.col("cx") * 20).alias("f0"),
+                       F.least(F.col("cy") / 20.0, F.lit(1.0)).alias("conf"), (F.col("n_events") / 10.0).alias("snr"))
     return a, e, fu.with_acoustic(e, a, ["rec_id"], thresh=0.3)
 
 

@@ -146,17 +146,16 @@ def audio_normalize(v):
     return sg.audio_normalize(v.audio)
 
 
-@query("rec_id x:i n:l path_px:d span_s:d dx_px:d dy_px:d freq_hz:d3 speed_px_s:d3 interval_mean_s:d8 jitter_s:d8", """SELECT rec_id, p.x, count(*) AS n, sum(sqrt(dx*dx+dy*dy)) AS path_px, (max(t)-min(t))/1000000.0 AS span_s,
+@query("rec_id x:i p:i n:l path_px:d span_s:d dx_px:d dy_px:d freq_hz:d3 speed_px_s:d3 interval_mean_s:d7 jitter_s:d7", """SELECT rec_id, q.x, q.p, count(*) AS n, sum(sqrt(dx*dx+dy*dy)) AS path_px, (max(t)-min(t))/1000000.0 AS span_s,
    CASE WHEN count(*)=2 THEN sum(dx) END AS dx_px, CASE WHEN count(*)=2 THEN sum(dy) END AS dy_px,
    CASE WHEN count(*)=2 THEN 1/greatest((max(t)-min(t))/1000000.0, 1e-12) WHEN max(t)>min(t) THEN (count(*)-1)/((max(t)-min(t))/1000000.0) END AS freq_hz,
    CASE WHEN count(*)=2 THEN sum(sqrt(dx*dx+dy*dy))/greatest((max(t)-min(t))/1000000.0, 1e-12) END AS speed_px_s,
    CASE WHEN count(*)>2 THEN avg(dt)/1000000.0 END AS interval_mean_s, CASE WHEN count(*)>2 THEN stddev_pop(dt/1000000.0) END AS jitter_s FROM
-  (SELECT rec_id, x, t, 0*x AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS dt FROM (SELECT * FROM px_events WHERE p = 1 AND t % 5 = 0) WINDOW w AS (PARTITION BY rec_id, x ORDER BY t, seq)) p
-  GROUP BY rec_id, p.x HAVING count(*) >= 2""")
+  (SELECT rec_id, x, p, t, 0*x AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS dt FROM px_events WINDOW w AS (PARTITION BY rec_id, x, p ORDER BY t, seq)) q
+  GROUP BY rec_id, q.x, q.p HAVING count(*) >= 2""")
 def measure_points(v):
-    e = v.px_events.where("p = 1 AND t % 5 = 0").withColumn("t_s", F.col("t") / 1e6)
-    e = e.withColumn("g", F.col("x"))
-    return sg.measure_points(e, ["rec_id", "g"]).withColumnRenamed("g", "x")
+    e = v.px_events.withColumns({"t_s": F.col("t") / 1e6, "g": F.col("x")})
+    return sg.measure_points(e, ["rec_id", "g", "p"]).withColumnRenamed("g", "x")
 
 
 @query("vec_id:l n:l white:d5 z:d5", """SELECT vec_id, n, p/(median(q) + 1e-20) AS white, any_value(zz) AS z FROM (SELECT a.vec_id, a.n, a.p, b.p AS q,
