@@ -167,7 +167,31 @@ def write_result_table(v):
     return v.spark.read.parquet(f"{path}/parquet")
 
 
-@query("rec_id events:l n_on:l width:i height:i duration_s:d config", """SELECT rec_id, count(*) AS events, sum(p) AS n_on, max(x)+1 AS width, max(y)+1 AS height, (max(t)-min(t))/1000000.0 AS duration_s,
-  '{"mode":"rotation","fov_deg":50.0,"az_sign":-1}' AS config FROM px_events GROUP BY rec_id""")
+FILE = "rec_id || '-' || CAST(t // 10000000 AS VARCHAR) || '.raw'"
+
+
+def ingested(v):
+    """Raw files of ten seconds, ingested; then the first file of each recording is replaced by its ON events and ingested again."""
+    e = v.px_events.withColumn("name", F.format_string("%s-%d.raw", "rec_id", F.floor(F.col("t") / 10_000_000)))
+    source, path = raw_files(v, words21(e), "evt21"), sinks.shared_folder(v.spark, "table")
+    sinks.ingest_folder(v.spark, source, path, split_bytes=SPLIT)
+    again = words21(e.where("t < 10000000 AND p = 1")).withColumn("fmt", F.lit("evt21"))
+    raw.write_raw(again, source, ["t", "seq", "k"], F.lit(HEADER["evt21"] + "% note replaced\n"))
+    sinks.ingest_folder(v.spark, source, path, split_bytes=SPLIT)
+    return path
+
+
+@query("rec_id n:l n_on:l first:l last:l buckets:l generation:i", f"""SELECT {FILE} AS rec_id, count(*) AS n, sum(p) AS n_on, 0 AS first, max(t) - min(t) AS last, max((t - t0)//1000000) + 1 AS buckets, any_value(g) AS generation FROM
+  (SELECT *, CASE WHEN t < 10000000 THEN 2 ELSE 1 END AS g, min(t) OVER (PARTITION BY rec_id, t//10000000) AS t0 FROM px_events WHERE t >= 10000000 OR p = 1) GROUP BY ALL""")
+def ingest_folder(v):
+    ev = sinks.read_ingested(v.spark, ingested(v))
+    return ev.groupBy("rec_id", "generation").agg(F.count("*").alias("n"), F.sum("p").alias("n_on"), F.min("t").alias("first"), F.max("t").alias("last"),
+                                                  (F.max("t_bucket") + 1).alias("buckets"))
+
+
+@query("rec_id events:l n_on:l width:i height:i duration_s:d config bytes:l fmt n_words:l", f"""SELECT {FILE} AS rec_id, count(*) AS events, sum(p) AS n_on, max(x)+1 AS width, max(y)+1 AS height, (max(t)-min(t))/1000000.0 AS duration_s,
+  '{{"mode":"rotation","fov_deg":50.0,"az_sign":-1}}' AS config, any_value({len(HEADER["evt21"]) + 6} + CASE WHEN t < 10000000 THEN 16 ELSE 0 END) + 16*count(*) AS bytes, 'evt21' AS fmt, 2*count(*) AS n_words
+  FROM px_events WHERE t >= 10000000 OR p = 1 GROUP BY ALL""")
 def source_facts(v):
-    return src.source_facts(v.px_events, {"mode": "rotation", "fov_deg": 50.0, "az_sign": -1})
+    path = ingested(v)
+    return src.source_facts(sinks.read_ingested(v.spark, path), {"mode": "rotation", "fov_deg": 50.0, "az_sign": -1}, sinks.read_manifest(v.spark, path))

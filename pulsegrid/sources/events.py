@@ -271,10 +271,16 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime")
 
 
-def source_facts(ev: DataFrame, config: dict[str, object]) -> DataFrame:
-    """Geometry, counts, duration and the run configuration (as JSON) per recording."""
+def source_facts(ev: DataFrame, config: dict[str, object], manifest: DataFrame | None = None) -> DataFrame:
+    """Geometry, counts, duration and the run configuration (as JSON) per recording.
+
+    With the manifest of an ingested table also what was read: size, time of change, encoding and digest of the source.
+    """
     conf = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in config.items()]))
-    return ev.groupBy("rec_id").agg(
+    facts = ev.groupBy("rec_id").agg(
         F.count("*").alias("events"), F.sum("p").alias("n_on"), (F.max("x") + 1).alias("width"),
         (F.max("y") + 1).alias("height"), ((F.max("t") - F.min("t")) / US).alias("duration_s")) \
         .withColumn("config", conf)
+    if manifest is None:
+        return facts
+    return facts.join(manifest.select("rec_id", "bytes", "modified_us", "fmt", "n_words", "digest"), "rec_id", "left")

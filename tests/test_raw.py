@@ -68,3 +68,26 @@ def test_headers_and_encodings(spark, tmp_path):
 def test_a_file_without_header_is_refused():
     with pytest.raises(ValueError):
         raw.parse_header(b"\x00" * 100, "x")
+
+
+def test_only_changed_recordings_are_read_again(spark, tmp_path):
+    from pulsegrid.sources import sinks
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    head = "% format EVT21\n"
+    for name, n in (("a.raw", 5), ("b.raw", 7), ("c.raw", 3)):
+        put(source, name, head, evt21(range(0, n * 100, 100), range(n), range(n), [1] * n).tobytes())
+
+    def rows():
+        return {r.rec_id: (r.n, r.g) for r in sinks.read_ingested(spark, table).groupBy("rec_id").agg({"seq": "count", "generation": "max"}).toDF("rec_id", "n", "g").collect()}
+
+    assert sorted(sinks.ingest_folder(spark, str(source), table)) == ["a.raw", "b.raw", "c.raw"]
+    first = {r.rec_id: r.digest for r in sinks.read_manifest(spark, table).collect()}
+    assert sinks.ingest_folder(spark, str(source), table, split_bytes=16) == [] and rows() == {"a.raw": (5, 1), "b.raw": (7, 1), "c.raw": (3, 1)}
+    put(source, "b.raw", head, evt21([5, 70], [1, 2], [3, 4], [0, 1]).tobytes())
+    os.remove(source / "c.raw")
+    put(source, "d.raw", head, evt21([1], [1], [1], [1]).tobytes())
+    os.makedirs(f"{table}/manifest/v=9")                                  # an ingest that never finished
+    assert sorted(sinks.ingest_folder(spark, str(source), table, split_bytes=16)) == ["b.raw", "d.raw"]
+    assert rows() == {"a.raw": (5, 1), "b.raw": (2, 3), "d.raw": (1, 3)}
+    now = {r.rec_id: r.digest for r in sinks.read_manifest(spark, table).collect()}
+    assert now["a.raw"] == first["a.raw"] and now["b.raw"] != first["b.raw"]
