@@ -109,17 +109,40 @@ def build_iwe(v):
     return cm.focus(cm.build_iwe(e, ["rec_id"], 32, 32, 0.0), ["rec_id"], 32, 32)
 
 
-@query("rec_id vx:d vy:d focus:d4")
+def velocity_views(prefix, src, k, n, vmax, levels, grid):
+    """CTEs of a velocity search: {p}0 starts at rest, {p}1.. hold the sharpest candidate of each level."""
+    p, span, views = prefix, 2.0 * vmax, {f"{prefix}0": f"SELECT DISTINCT {k}, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, 0.0::DOUBLE AS focus FROM {src}"}
+    for level in range(levels):
+        step = span / (grid - 1)
+        views[f"{p}{level + 1}"] = f"""SELECT {k}, vx AS cx, vy AS cy, focus FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY round(focus, 9) DESC, cand) AS rn FROM
+  (SELECT {k}, cand, vx, vy, sum(c*c)/({n}*{n}.0) - (sum(c)/({n}*{n}.0))**2 AS focus FROM
+   (SELECT {k}, cand, vx, vy, least(floor(ax), {n - 1}) AS gx, least(floor(ay), {n - 1}) AS gy, count(*) AS c FROM
+    (SELECT *, x + vx*(t_ref-t)/1000000.0 - bx0 AS ax, y + vy*(t_ref-t)/1000000.0 - by0 AS ay FROM
+     (SELECT s.*, cand, cx - {span / 2} + (cand // {grid})*{step}::DOUBLE AS vx, cy - {span / 2} + (cand % {grid})*{step}::DOUBLE AS vy
+      FROM {src} s JOIN {p}{level} USING ({k}), range(0, {grid * grid}) q(cand)))
+    WHERE ax BETWEEN 0 AND {n} AND ay BETWEEN 0 AND {n} GROUP BY ALL) GROUP BY {k}, cand, vx, vy)) WHERE rn = 1"""
+        span = span / (grid / 2.0)
+    return views
+
+
+_VE = {"vsrc": "SELECT rec_id, x, y, t, 0 AS bx0, 0 AS by0, avg(t) OVER (PARTITION BY rec_id) AS t_ref FROM px_tone", **velocity_views("ve", "vsrc", "rec_id", 32, 40.0, 2, 5)}
+
+
+@query("rec_id vx:d vy:d focus:d4", "SELECT rec_id, cx AS vx, cy AS vy, focus FROM ve2", views=_VE)
 def estimate_velocity(v):
     e = v.px_tone.join(v.px_tone.groupBy("rec_id").agg(F.avg("t").alias("t_ref")), "rec_id").withColumns({"bx0": F.lit(0), "by0": F.lit(0)})
-    return cm.estimate_velocity(e, ["rec_id"], 32, 32, 40.0, 2, 5, 0.5)
+    return cm.estimate_velocity(e, ["rec_id"], 32, 32, 40.0, 2, 5, 0.0)
 
 
 def flow(v):
     return cm.dense_flow(v.px_tone, 32, 32, 16, 40.0, levels=2, grid=3, blur=0.0)
 
 
-@query("rec_id py:l px:l vx:d vy:d focus:d4")
+_DF = {"dsrc": """SELECT * FROM (SELECT rec_id, y//16 AS py, x//16 AS px, x, y, t, (x//16)*16 AS bx0, (y//16)*16 AS by0, avg(t) OVER (PARTITION BY rec_id) AS t_ref,
+   count(*) OVER (PARTITION BY rec_id, y//16, x//16) AS n FROM px_tone) WHERE n >= 60 AND px < 2 AND py < 2""", **velocity_views("df", "dsrc", "rec_id, py, px", 16, 40.0, 2, 3)}
+
+
+@query("rec_id py:l px:l vx:d vy:d focus:d4", "SELECT rec_id, py, px, cx AS vx, cy AS vy, focus FROM df2", views=_DF)
 def dense_flow(v):
     return flow(v)
 

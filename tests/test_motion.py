@@ -26,6 +26,25 @@ def test_velocity_search_finds_the_motion(events):
     assert abs(v.vx - 100) < 35 and abs(v.vy + 50) < 35
 
 
+@pytest.mark.parametrize("blur", [0.0, 1.0])
+def test_parts_of_a_group_give_the_same_velocity(events, monkeypatch, blur):
+    e = moving(events).withColumns({"t_ref": F.lit(100_000.0), "bx0": F.lit(0), "by0": F.lit(0)})
+    whole = cm.estimate_velocity(e, ["rec_id"], 64, 64, 200.0, 3, 5, blur).first()
+    monkeypatch.setattr(cm, "BLOCK", 100)
+    parts = cm.estimate_velocity(e, ["rec_id"], 64, 64, 200.0, 3, 5, blur).first()
+    assert np.allclose([whole.vx, whole.vy, whole.focus], [parts.vx, parts.vy, parts.focus])
+
+
+def test_one_search_equals_exploded_candidates(events):
+    """Focus of every candidate of a level against images counted in the JVM."""
+    e = moving(events, n=300).withColumns({"t_ref": F.lit(100_000.0), "bx0": F.lit(0), "by0": F.lit(0)})
+    vx, vy = cm.Zoom(120.0, 1, 4, 1.0).candidates(0, 0.0, 0.0)
+    c = e.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(vx, vy))], "cand int, vx double, vy double")
+    want = cm.focus(cm.build_iwe(e.crossJoin(c), ["rec_id"], 64, 64, 1.5), ["rec_id"], 64, 64).toPandas().set_index("cand").focus
+    got = cm.sharpness(cm.images(e.toPandas(), vx, vy, 64, 64), 1.5, "variance")
+    assert np.allclose([got[k] for k in want.index], want)
+
+
 def test_blurred_focus_matches_dense_numpy(events):
     e = moving(events, 0.0, 0.0, 300).withColumns({"t_ref": F.lit(0.0), "bx0": F.lit(0), "by0": F.lit(0), "cand": F.lit(0),
                                                    "vx": F.lit(0.0), "vy": F.lit(0.0)})
