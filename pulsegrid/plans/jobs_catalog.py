@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import user as us
+from ..operators.ordered import union_all
 from ..sources.sinks import shared_folder
 from ..streaming import stream as st
 from . import jobs
@@ -137,23 +138,45 @@ def user_metrics(v):
 
 
 # ------------------------------------------------------------------ jobs
-@query("rec_id x:i y:i count:l n:l mean_rate:d4", f"""SELECT e.rec_id, x, y, count(*) AS count, any_value(n) AS n, any_value(n/((t1-t0)/1000000.0)) AS mean_rate FROM px_events e JOIN {SPE} USING (rec_id) JOIN
-  (SELECT rec_id, arg_max(b, c*100000-b) AS b FROM (SELECT rec_id, (t-t0)//100000 AS b, count(*) AS c FROM px_events JOIN {SPE} USING (rec_id) GROUP BY ALL) GROUP BY rec_id) USING (rec_id) JOIN (SELECT rec_id, count(*) AS n FROM px_events GROUP BY rec_id) USING (rec_id)
-  WHERE (t-t0)//100000 = b GROUP BY e.rec_id, x, y""")
+def stacked(tables: dict, ids: dict[str, list[str]]):
+    """All tables of a job under each other: part, rec_id, id (the other keys), name and value of every figure."""
+    out = []
+    for part, df in tables.items():
+        keys = ids[part]
+        figures = [c for c, kind in df.dtypes if c not in keys and c != "rec_id" and kind in ("int", "bigint", "double", "float", "boolean")]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in figures]))
+        name = F.concat_ws("/", *[F.col(c).cast("string") for c in keys]) if keys else F.lit("")
+        out.append(df.select(F.lit(part).alias("part"), "rec_id", name.alias("id"), cells.alias("c")).select("part", "rec_id", "id", "c.*"))
+    return union_all(*out)
+
+
+STACK = "part rec_id id name value:d4"
+
+
+@query(STACK, f"""WITH s AS (SELECT rec_id, n, n/((t1-t0)/1000000.0) AS mean_rate FROM {SPE} JOIN (SELECT rec_id, count(*) AS n FROM px_events GROUP BY rec_id) USING (rec_id)),
+  b AS (SELECT rec_id, (t-t0)//100000 AS bin, count(*) AS c FROM px_events JOIN {SPE} USING (rec_id) GROUP BY ALL),
+  r AS (SELECT g.rec_id, g.bin, coalesce(c, 0) AS n FROM (SELECT rec_id, unnest(range(0, CAST(ceil((t1-t0)/100000.0) AS BIGINT))) AS bin FROM {SPE}) g LEFT JOIN
+        (SELECT rec_id, least(bin, CAST(ceil((t1-t0)/100000.0) AS BIGINT) - 1) AS bin, sum(c) AS c FROM b JOIN {SPE} USING (rec_id) GROUP BY ALL) b USING (rec_id, bin)),
+  d AS (SELECT rec_id, arg_max(bin, n*100000-bin) AS bin FROM r GROUP BY rec_id),
+  f AS (SELECT e.rec_id, x, y, count(*) AS c FROM px_events e JOIN {SPE} USING (rec_id) JOIN d USING (rec_id) WHERE (t-t0)//100000 = bin GROUP BY ALL)
+  SELECT 'summary' AS part, rec_id, '' AS id, unnest(['n', 'mean_rate']) AS name, unnest([n::DOUBLE, mean_rate::DOUBLE]) AS value FROM s
+  UNION ALL SELECT 'rate', rec_id, CAST(bin AS VARCHAR), 'n', n FROM r UNION ALL SELECT 'densest_frame', rec_id, CAST(x AS VARCHAR) || '/' || CAST(y AS VARCHAR), 'count', c FROM f""")
 def job_overview(v):
     o = jobs.overview(v.px_events, v.pulses, 100_000)
-    return o["densest_frame"].join(o["summary"].select("rec_id", "n", "mean_rate"), "rec_id")
+    return stacked({"summary": o["summary"].select("rec_id", "n", "mean_rate"), "rate": o["rate"].select("rec_id", "bin", "n"), "densest_frame": o["densest_frame"]},
+                   {"summary": [], "rate": ["bin"], "densest_frame": ["x", "y"]})
 
 
-@query("rec_id target_id:l step:l apparent_px:d freq_hz:d4 confidence:d4")
+@query(STACK)
 def job_detect(v):
-    return jobs.detect(v.px_tone, 32, 32, 50.0, min_pixels=4, erode=0, suppress=False, fft_min_events=40)["detections"]
+    o = jobs.detect(v.px_tone, 32, 32, 50.0, min_pixels=4, erode=0, suppress=False, fft_min_events=40)
+    return stacked(o, {"detections": ["target_id", "step"], "targets": ["target_id"]})
 
 
-@query("rec_id step:l range_m:d after_dropout:b lock:d4")
+@query(STACK)
 def job_track_study(v):
     o = jobs.track_study(v.px_tone, 32, 32, 50.0, 0.04, min_pixels=4, erode=0)
-    return o["range"].join(o["lock"].select("rec_id", "step", "lock"), ["rec_id", "step"])
+    return stacked(o, {"range": ["step"], "lock": ["step"], "lost": []})
 
 
 @query("tracker rec_id target_id:l step:l azimuth_deg:d3 rel_distance:d")
@@ -169,11 +192,11 @@ def job_dual_fusion(v):
     return jobs.dual_fusion(d.where("rec_id = 'cam0'"), d.where("rec_id = 'cam1'"), ["target_id"], 2.0, 0.5)
 
 
-@query("rec_id c_acoustic:d4 c_ebs:d4 p_dual:d4 p_fused:d4 peak_coh:d4")
+@query(STACK)
 def job_av_fusion(v):
     pairs = v.px_events.select("rec_id").distinct().withColumn("audio_id", F.concat(F.lit("mic"), F.substring("rec_id", 4, 1)))
     o = jobs.av_fusion(v.px_events, v.steps, v.audio, 8000, pairs)
-    return o["fused"].join(o["coherence"], "rec_id", "left")
+    return stacked(o, {"alignment": [], "timeline": ["step"], "convergence": [], "fused": [], "coherence": []})
 
 
 @query("part rec_id key:l value:d3", f"""SELECT 'masking' AS part, rec_id, level AS key, reduction_pct AS value FROM ({_MET}) UNION ALL SELECT 'columns', rec_id, n_passes, bearing_deg FROM ({boxsolve('rec_id', 30)})""",
@@ -183,3 +206,10 @@ def job_box_experiment(v):
     m = o["masking"].select(F.lit("masking").alias("part"), "rec_id", F.col("level").cast("long").alias("key"), F.col("reduction_pct").alias("value"))
     c = o["columns"].where("columns = 'all'").select(F.lit("columns").alias("part"), "rec_id", F.col("n_passes").alias("key"), F.col("bearing_deg").alias("value"))
     return m.unionByName(c)
+
+
+@query(STACK)
+def job_box_tables(v):
+    """All tables of the box experiment: masking, track, spectra and the three column choices."""
+    o = jobs.box_experiment(v.px_events, v.telemetry, v.pulses, 50.0, 32, 32, (120.0, 240.0), (4.0, 28.0), n_list=(0, 2, 4, 8, 16), min_pass=30, min_spectrum=20, fs=200.0, fft=(20.0, 80.0))
+    return stacked(o, {"masking": ["level"], "track": ["rev"], "spectra": ["rev"], "columns": ["columns"]})
