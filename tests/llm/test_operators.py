@@ -148,7 +148,7 @@ def test_link_counts_match_all_pairs(spark, odd, empty, monkeypatch):
     assert max(n for _, n in want) > 25 and got(docs) == want
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard.found_links, "__defaults__", (0,))
+    monkeypatch.setattr(jaccard.links, "__defaults__", (0,))
     assert got(docs) == want
 
 
