@@ -56,21 +56,21 @@ def reference_end(pulses: DataFrame, n_rotations: int, offset_us: int = 0) -> Da
             .groupBy("rec_id").agg((F.max("t") + offset_us).alias("ref_end")))
 
 
-def with_phase_bin(ev: DataFrame, pulses: DataFrame, n_phase: int = 360) -> DataFrame:
+def with_phase_bin(ev: DataFrame, pulses: DataFrame, n_phase: int = 360, offset_us: int = 0) -> DataFrame:
     ph = F.floor(F.col("phase") * n_phase) % n_phase
-    return phase_asof(ev, pulses).withColumn("ph", ph.cast("int")).drop("phase")
+    return phase_asof(ev, pulses, offset_us).withColumn("ph", ph.cast("int")).drop("phase")
 
 
 def rotation_reference(ev: DataFrame, pulses: DataFrame, width: int, height: int,
                        n_rotations: int = 1, n_phase: int = 360, dil_phase: int = 1,
-                       dil_xy: int = 1) -> DataFrame:
+                       dil_xy: int = 1, offset_us: int = 0) -> DataFrame:
     """Frozen (phase, y, x) occupancy of the first N revolutions, dilated by a full box.
 
-    Dilation is clipped at every border and does not wrap in phase.
+    Dilation is clipped at every border and does not wrap in phase.  Event time is telemetry time plus ``offset_us``.
     """
-    end = reference_end(pulses, n_rotations)
+    end = small(reference_end(pulses, n_rotations, offset_us))
     early = ev.join(end, "rec_id").where(F.col("t") < F.col("ref_end")).select(*ev.columns)
-    vox = with_phase_bin(early, pulses, n_phase).select(*VOXEL).distinct()
+    vox = with_phase_bin(early, pulses, n_phase, offset_us).select(*VOXEL).distinct()
     grown = vox
     for c, r, hi in (("ph", dil_phase, n_phase), ("y", dil_xy, height), ("x", dil_xy, width)):
         grown = grown.withColumn(c, F.explode(F.sequence(
@@ -80,21 +80,21 @@ def rotation_reference(ev: DataFrame, pulses: DataFrame, width: int, height: int
 
 def rotation_foreground(ev: DataFrame, pulses: DataFrame, width: int, height: int,
                         n_rotations: int = 1, n_phase: int = 360,
-                        hot: DataFrame | None = None) -> DataFrame:
+                        hot: DataFrame | None = None, offset_us: int = 0) -> DataFrame:
     """Events outside the frozen reference (and off hot pixels); N <= 0 only drops hot pixels."""
     out = ev
     if n_rotations > 0:
-        ref = rotation_reference(ev, pulses, width, height, n_rotations, n_phase)
-        out = with_phase_bin(ev, pulses, n_phase).join(ref, VOXEL, "left_anti")
+        ref = rotation_reference(ev, pulses, width, height, n_rotations, n_phase, offset_us=offset_us)
+        out = with_phase_bin(ev, pulses, n_phase, offset_us).join(ref, VOXEL, "left_anti")
     if hot is not None:
         out = out.join(hot, PIXEL, "left_anti")
     return out.select(*ev.columns)
 
 
 def cumulative_voxel_mask(ev: DataFrame, pulses: DataFrame, n_phase: int = 360,
-                          hot_pct: float = 99.95, skip_first_rev: bool = True) -> DataFrame:
+                          hot_pct: float = 99.95, skip_first_rev: bool = True, offset_us: int = 0) -> DataFrame:
     """Events of the revolution in which their (phase, x, y) voxel first lit."""
-    v = phase_asof(revolution_asof(ev, pulses), pulses).withColumn(
+    v = phase_asof(revolution_asof(ev, pulses, offset_us), pulses, offset_us).withColumn(
         "ph", F.least(F.floor(F.col("phase") * n_phase), F.lit(n_phase - 1)).cast("int"))
     first = v.groupBy(*VOXEL).agg(F.min("rev").alias("_first"))
     seed = first.groupBy("rec_id").agg(F.min("_first").alias("_seed"))
@@ -104,9 +104,9 @@ def cumulative_voxel_mask(ev: DataFrame, pulses: DataFrame, n_phase: int = 360,
     return out.join(hot_pixels(ev, hot_pct), PIXEL, "left_anti").select(*ev.columns, "rev")
 
 
-def with_coarse_voxel(ev: DataFrame, tel: DataFrame, width: int, height: int) -> DataFrame:
+def with_coarse_voxel(ev: DataFrame, tel: DataFrame, width: int, height: int, offset_us: int = 0) -> DataFrame:
     """Add ``voxel``: a 180 x 160 x 160 (azimuth, x, y) cell number."""
-    pan = azimuth_interp(ev, tel)
+    pan = azimuth_interp(ev, tel, offset_us)
     def part(v, scale, n):
         return F.greatest(F.least(F.floor(v * scale), F.lit(n - 1)), F.lit(0))
     key = (part(F.col("pan"), 180 / 360.0, 180) * 160 + part(F.col("x"), 160 / width, 160)) * 160 \
@@ -115,13 +115,13 @@ def with_coarse_voxel(ev: DataFrame, tel: DataFrame, width: int, height: int) ->
 
 
 def coarse_depth(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int,
-                 height: int) -> DataFrame:
+                 height: int, offset_us: int = 0) -> DataFrame:
     """Add ``depth``: the smallest N for which the event's coarse voxel is static.
 
     A voxel first seen at t is static for every N with t < t_min + N T, so one minimum per voxel
     answers all mask depths at once.
     """
-    v = with_coarse_voxel(ev, tel, width, height)
+    v = with_coarse_voxel(ev, tel, width, height, offset_us)
     first = v.groupBy("rec_id", "voxel").agg(F.min("t").alias("_seen"))
     start = first.groupBy("rec_id").agg(F.min("_seen").alias("_t0"))
     dims = start.join(rotation_period(pulses), "rec_id")
@@ -131,22 +131,22 @@ def coarse_depth(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int,
 
 
 def coarse_voxel_mask(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int, height: int,
-                      n_rev: int) -> DataFrame:
+                      n_rev: int, offset_us: int = 0) -> DataFrame:
     if n_rev <= 0:
         return ev
-    d = coarse_depth(ev, tel, pulses, width, height)
+    d = coarse_depth(ev, tel, pulses, width, height, offset_us)
     return d.where(F.col("depth") > n_rev).select(*ev.columns)
 
 
 def rotation_phase_filter(ev: DataFrame, pulses: DataFrame, r_min: float = 0.5,
                           recur_frac: float = 0.34, min_events: int = 4,
-                          phase_tol: float = 0.12) -> DataFrame:
+                          phase_tol: float = 0.12, offset_us: int = 0) -> DataFrame:
     """Drop events locked to their pixel's rotation phase.
 
     A first aggregation per (pixel, revolution) makes the distinct-revolution count a plain count
     and keeps a hot pixel's events from meeting in one task.
     """
-    v = phase_asof(revolution_asof(ev, pulses), pulses).withColumn(
+    v = phase_asof(revolution_asof(ev, pulses, offset_us), pulses, offset_us).withColumn(
         "_th", F.col("phase") * (2 * math.pi))
     per_rev = v.groupBy(*PIXEL, "rev").agg(F.sum(F.cos("_th")).alias("c"),
                                            F.sum(F.sin("_th")).alias("s"), F.count("*").alias("n"))

@@ -19,13 +19,13 @@ from .asof import asof, lerp, small
 
 # ------------------------------------------------------------------ frozen masks at every depth
 def frozen_seen(ev: DataFrame, pulses: DataFrame, width: int, height: int, n_phase: int = 360,
-                dil: int = 1) -> DataFrame:
+                dil: int = 1, offset_us: int = 0) -> DataFrame:
     """Add ``seen``: the earliest event in the 3x3x3 voxel neighbourhood of the event's voxel.
 
     The frozen N-revolution reference holds an event's voxel exactly when ``seen`` is before the
     end of revolution N, so one pass answers every mask depth.
     """
-    v = with_phase_bin(ev, pulses, n_phase)
+    v = with_phase_bin(ev, pulses, n_phase, offset_us)
     first = v.groupBy(*VOXEL).agg(F.min("t").alias("seen"))
     for c, hi in (("ph", n_phase), ("y", height), ("x", width)):
         first = (first.withColumn(c, F.explode(F.sequence(
@@ -34,22 +34,22 @@ def frozen_seen(ev: DataFrame, pulses: DataFrame, width: int, height: int, n_pha
     return v.join(first, VOXEL).select(*ev.columns, "seen")
 
 
-def reference_ends(pulses: DataFrame, levels: int) -> DataFrame:
-    """Columns end_1..end_k: the end of each reference depth per recording."""
+def reference_ends(pulses: DataFrame, levels: int, offset_us: int = 0) -> DataFrame:
+    """Columns end_1..end_k: the end of each reference depth per recording, in event time."""
     w = Window.partitionBy("rec_id").orderBy("t")
     return pulses.withColumn("_n", F.row_number().over(w)).groupBy("rec_id").agg(
-        *[F.max(F.when(F.col("_n") <= n, F.col("t"))).alias(f"end_{n}") for n in range(1, levels + 1)])
+        *[(F.max(F.when(F.col("_n") <= n, F.col("t"))) + offset_us).alias(f"end_{n}") for n in range(1, levels + 1)])
 
 
 def mask_sweep(ev: DataFrame, pulses: DataFrame, tel: DataFrame, fov_deg: float, width: int,
                height: int, levels: int = 4, hot_pct: float = 99.95, n_phase: int = 360,
-               hot_at_zero: bool = False) -> DataFrame:
+               hot_at_zero: bool = False, offset_us: int = 0) -> DataFrame:
     """Per mask depth N: surviving events, percentages and concentration of the survivors on a
     180 x 60 azimuth-elevation grid.  Depth 0 keeps hot pixels unless ``hot_at_zero`` drops them.
     """
-    e = world_azimuth(frozen_seen(ev, pulses, width, height, n_phase), tel, fov_deg, width)
-    e = (e.join(hot_pixels(ev, hot_pct).withColumn("_hot", F.lit(True)), PIXEL, "left")
-         .join(reference_ends(pulses, levels), "rec_id"))
+    e = world_azimuth(frozen_seen(ev, pulses, width, height, n_phase, offset_us=offset_us), tel, fov_deg, width, offset_us=offset_us)
+    e = (e.join(small(hot_pixels(ev, hot_pct).withColumn("_hot", F.lit(True))), PIXEL, "left")
+         .join(small(reference_ends(pulses, levels, offset_us)), "rec_id"))
     ok = F.col("_hot").isNull()
     keeps = [ok if hot_at_zero else F.lit(True)]
     keeps += [ok & (F.col("seen") >= F.col(f"end_{n}")) for n in range(1, levels + 1)]
@@ -77,11 +77,11 @@ def mask_sweep(ev: DataFrame, pulses: DataFrame, tel: DataFrame, fov_deg: float,
 
 
 def mask_sweep_rate(ev: DataFrame, pulses: DataFrame, width: int, height: int, levels: int = 4,
-                    hot_pct: float = 99.95, bin_us: int = 50_000) -> DataFrame:
+                    hot_pct: float = 99.95, bin_us: int = 50_000, offset_us: int = 0) -> DataFrame:
     """Surviving event rate per time bin and frozen mask depth."""
-    e = (frozen_seen(ev, pulses, width, height)
-         .join(hot_pixels(ev, hot_pct).withColumn("_hot", F.lit(True)), PIXEL, "left")
-         .join(reference_ends(pulses, levels), "rec_id"))
+    e = (frozen_seen(ev, pulses, width, height, offset_us=offset_us)
+         .join(small(hot_pixels(ev, hot_pct).withColumn("_hot", F.lit(True))), PIXEL, "left")
+         .join(small(reference_ends(pulses, levels, offset_us)), "rec_id"))
     ks = [F.count("*").alias("k0")] + [
         F.count_if(F.col("_hot").isNull() & (F.col("seen") >= F.col(f"end_{n}"))).alias(f"k{n}")
         for n in range(1, levels + 1)]
@@ -99,9 +99,9 @@ def in_box(az: tuple[float, float], ywin: tuple[float, float], az_col: str = "az
 
 def masking_metrics(ev: DataFrame, tel: DataFrame, pulses: DataFrame, width: int, height: int,
                     box: tuple[float, float, float, float], fov_deg: float, az_sign: float = 1.0,
-                    n_list: tuple[int, ...] = (0, 1, 2, 3, 4, 5)) -> DataFrame:
+                    n_list: tuple[int, ...] = (0, 1, 2, 3, 4, 5), offset_us: int = 0) -> DataFrame:
     """Reduction, rate and target/background retention per coarse mask depth."""
-    e = world_azimuth(coarse_depth(ev, tel, pulses, width, height), tel, fov_deg, width, az_sign)
+    e = world_azimuth(coarse_depth(ev, tel, pulses, width, height, offset_us), tel, fov_deg, width, az_sign, offset_us=offset_us)
     e = e.withColumn("_in", in_box(box[:2], box[2:]))
     g = (e.groupBy("rec_id", "depth").agg(F.count("*").alias("n"), F.count_if("_in").alias("d"),
                                           F.min("t").alias("a"), F.max("t").alias("b")))
@@ -185,14 +185,20 @@ def movers_table(movers: DataFrame) -> DataFrame:
 
 
 def with_pass_bearing(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float, width: int,
-                      az_sign: float = -1.0) -> DataFrame:
+                      az_sign: float = -1.0, offset_us: int = 0) -> DataFrame:
     """Add ``rev`` and ``b``: bearing on the continuous (unwrapped) pan, so a pass that crosses
     north has a meaningful mean without an ordered unwrap of its events."""
     marks = unwrap(tel.select("rec_id", "t", "azimuth"), ["rec_id"], "t", "azimuth", "az_u") \
         .select("rec_id", "t", "az_u")
-    j = asof(ev, marks, ["rec_id"], F.col("t"))
-    b = lerp(F.col("t"), "az_u") + bearing("x", fov_deg, width, az_sign)
-    return revolution_asof(j.select(*ev.columns, b.alias("b")), pulses)
+    te = F.col("t") - offset_us
+    j = asof(ev, marks, ["rec_id"], te)
+    b = lerp(te, "az_u") + bearing("x", fov_deg, width, az_sign)
+    return revolution_asof(j.select(*ev.columns, b.alias("b")), pulses, offset_us)
+
+
+def with_gap_bearing(ev: DataFrame, fov_deg: float, width: int, gap_us: int = 200_000, az_sign: float = -1.0) -> DataFrame:
+    """The same for a staring sensor: passes are runs of events whose gaps stay within ``gap_us``, bearings relative to its axis."""
+    return gap_segments(ev, ["rec_id"], gap_us, "rev").withColumn("b", bearing("x", fov_deg, width, az_sign))
 
 
 def robust_centre(df: DataFrame, keys: list[str], values: dict[str, float]) -> DataFrame:
@@ -215,11 +221,17 @@ def robust_centre(df: DataFrame, keys: list[str], values: dict[str, float]) -> D
     return d.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
-def per_pass_centroids(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float, width: int,
-                       height: int, target_m: float = 0.0, min_events: int = 50) -> DataFrame:
-    """Accumulation-independent bearing per revolution with its standard error and range."""
+def per_pass_centroids(ev: DataFrame, tel: DataFrame | None, pulses: DataFrame | None, fov_deg: float, width: int,
+                       height: int, target_m: float = 0.0, min_events: int = 50, offset_us: int = 0, gap_us: int = 200_000) -> DataFrame:
+    """Accumulation-independent bearing per revolution with its standard error and range.
+
+    Without telemetry the sensor stares, and a pass is a run of events between gaps.
+    """
     key = ["rec_id", "rev"]
-    e = with_pass_bearing(ev, tel, pulses, fov_deg, width)
+    if tel is None:
+        e = with_gap_bearing(ev, fov_deg, width, gap_us)
+    else:
+        e = with_pass_bearing(ev, tel, pulses, fov_deg, width, offset_us=offset_us)
     n = e.groupBy(*key).agg(F.count("*").alias("n_events")).where(F.col("n_events") >= min_events)
     e = cut_lineage(e.join(n.select(*key), key, "left_semi").select(
         *key, "t", "b", elevation("y", fov_deg, width, height).alias("e")))

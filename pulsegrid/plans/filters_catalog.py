@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import background as bg, denoise as dn, rotation as rot, select as sel
 from .registry import query
+from .views import SQL_VIEWS
 
 EV = "rec_id seq:l x:i y:i p:i t:l"
 
@@ -198,41 +199,83 @@ def staring_drop(v):
     return bg.staring_drop(v.px_events, 8.0, 90.0, 99.9)
 
 
+#: The same views with telemetry that runs 137 ms behind the events.
+OFFSET = -137_000
+LATE = {**BASE, "pulses": f"SELECT rec_id, k, t - 137000 AS t FROM ({SQL_VIEWS['pulses']})",
+        "telemetry": f"SELECT * EXCLUDE (t), t - 137000 AS t FROM ({SQL_VIEWS['telemetry']})"}
+
+
+@query("rec_id ph:i y:i x:i", "SELECT * FROM rotref", views=LATE)
+def rotation_reference_offset(v):
+    return bg.rotation_reference(v.px_events, v.pulses, 32, 32, n_rotations=4, offset_us=OFFSET)
+
+
 @query("rec_id ph:i y:i x:i", "SELECT * FROM rotref", views=BASE)
 def rotation_reference(v):
     return bg.rotation_reference(v.px_events, v.pulses, 32, 32, n_rotations=4)
 
 
-@query(EV, """SELECT w.* FROM (SELECT *, CAST(floor(phase*360) AS BIGINT) % 360 AS ph FROM with_phase) w
-  ANTI JOIN rotref USING (rec_id, ph, y, x) ANTI JOIN hot999 USING (rec_id, x, y)""", views=BASE)
+ROTATION_FOREGROUND_SQL = """SELECT w.* FROM (SELECT *, CAST(floor(phase*360) AS BIGINT) % 360 AS ph FROM with_phase) w
+  ANTI JOIN rotref USING (rec_id, ph, y, x) ANTI JOIN hot999 USING (rec_id, x, y)"""
+
+
+@query(EV, ROTATION_FOREGROUND_SQL, views=LATE)
+def rotation_foreground_offset(v):
+    return bg.rotation_foreground(v.px_events, v.pulses, 32, 32, 4, hot=dn.hot_pixels(v.px_events, 99.9), offset_us=OFFSET)
+
+
+@query(EV, ROTATION_FOREGROUND_SQL, views=BASE)
 def rotation_foreground(v):
     return bg.rotation_foreground(v.px_events, v.pulses, 32, 32, 4, hot=dn.hot_pixels(v.px_events, 99.9))
 
 
-@query(EV, """SELECT w.* FROM (SELECT *, min(rev) OVER (PARTITION BY rec_id, ph, x, y) AS first_rev,
+CUMULATIVE_VOXEL_MASK_SQL = """SELECT w.* FROM (SELECT *, min(rev) OVER (PARTITION BY rec_id, ph, x, y) AS first_rev,
     min(rev) OVER (PARTITION BY rec_id) AS seed FROM
     (SELECT *, least(CAST(floor(phase*12) AS BIGINT), 11) AS ph FROM with_phase)) w
-  ANTI JOIN hot999 USING (rec_id, x, y) WHERE rev <= first_rev AND rev > seed""", views=BASE)
+  ANTI JOIN hot999 USING (rec_id, x, y) WHERE rev <= first_rev AND rev > seed"""
+
+
+@query(EV, CUMULATIVE_VOXEL_MASK_SQL, views=LATE)
+def cumulative_voxel_mask_offset(v):
+    return bg.cumulative_voxel_mask(v.px_events, v.pulses, 12, 99.9, offset_us=OFFSET)
+
+
+@query(EV, CUMULATIVE_VOXEL_MASK_SQL, views=BASE)
 def cumulative_voxel_mask(v):
     return bg.cumulative_voxel_mask(v.px_events, v.pulses, 12, 99.9)
 
 
-@query(EV, """SELECT c.* FROM coarse c ANTI JOIN (SELECT DISTINCT rec_id, voxel FROM coarse
+COARSE_VOXEL_MASK_SQL = """SELECT c.* FROM coarse c ANTI JOIN (SELECT DISTINCT rec_id, voxel FROM coarse
     JOIN (SELECT rec_id, min(t) AS t0 FROM px_events GROUP BY rec_id) USING (rec_id)
     JOIN (SELECT rec_id, median(d) AS per FROM (SELECT rec_id, t - lag(t) OVER (PARTITION BY rec_id ORDER BY t) AS d
-      FROM pulses) GROUP BY rec_id) USING (rec_id) WHERE t < t0 + 10*per) USING (rec_id, voxel)""", views=BASE)
+      FROM pulses) GROUP BY rec_id) USING (rec_id) WHERE t < t0 + 10*per) USING (rec_id, voxel)"""
+
+
+@query(EV, COARSE_VOXEL_MASK_SQL, views=LATE)
+def coarse_voxel_mask_offset(v):
+    return bg.coarse_voxel_mask(v.px_events, v.telemetry, v.pulses, 32, 32, 10, offset_us=OFFSET)
+
+
+@query(EV, COARSE_VOXEL_MASK_SQL, views=BASE)
 def coarse_voxel_mask(v):
     return bg.coarse_voxel_mask(v.px_events, v.telemetry, v.pulses, 32, 32, 10)
 
 
-@query(EV, """SELECT w.* FROM with_phase w LEFT JOIN (SELECT rec_id, x, y, atan2(s, c) AS mu FROM
+ROTATION_PHASE_FILTER_SQL = """SELECT w.* FROM with_phase w LEFT JOIN (SELECT rec_id, x, y, atan2(s, c) AS mu FROM
     (SELECT rec_id, x, y, sum(cos(2*pi()*phase)) AS c, sum(sin(2*pi()*phase)) AS s, count(*) AS n,
        count(DISTINCT rev) AS revs FROM with_phase GROUP BY ALL)
     JOIN (SELECT rec_id, greatest(max(rev)+1, (SELECT max(k) FROM pulses q WHERE q.rec_id = z.rec_id)) AS n_rev
       FROM with_phase z GROUP BY rec_id) USING (rec_id)
     WHERE n >= 4 AND revs >= greatest(2, floor(0.1*n_rev)) AND sqrt(c*c+s*s)/n >= 0.5) p USING (rec_id, x, y)
-  WHERE mu IS NULL OR abs(2*pi()*phase - mu - round((2*pi()*phase - mu)/(2*pi()))*2*pi()) > 2*pi()*0.12""",
-       views=BASE)
+  WHERE mu IS NULL OR abs(2*pi()*phase - mu - round((2*pi()*phase - mu)/(2*pi()))*2*pi()) > 2*pi()*0.12"""
+
+
+@query(EV, ROTATION_PHASE_FILTER_SQL, views=LATE)
+def rotation_phase_filter_offset(v):
+    return bg.rotation_phase_filter(v.px_events, v.pulses, recur_frac=0.1, offset_us=OFFSET)
+
+
+@query(EV, ROTATION_PHASE_FILTER_SQL, views=BASE)
 def rotation_phase_filter(v):
     return bg.rotation_phase_filter(v.px_events, v.pulses, recur_frac=0.1)
 

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from ..operators import movers as mv, rotation as rot
-from .filters_catalog import BASE, HOT
+from .filters_catalog import BASE, HOT, LATE, OFFSET
 from .registry import query
 
 FOC = "(16.0/tan(radians(50.0)/2.0))"
@@ -22,7 +22,7 @@ MV = {
 }
 
 
-@query("rec_id level:i kept:l reduction_pct:d mover_cells:l concentration:d", """WITH g AS (
+SWEEP = """WITH g AS (
    SELECT rec_id, level, CASE WHEN az BETWEEN 0 AND 360 THEN least(floor(az/2),179) END AS a,
      CASE WHEN (16.0-y)*(50.0/32) BETWEEN -30 AND 30 THEN least(floor((16.0-y)*(50.0/32)+30),59) END AS b,
      count(*) FILTER (WHERE keep) AS k, count(*) AS n FROM lev_keep GROUP BY ALL),
@@ -31,7 +31,15 @@ MV = {
      FROM g GROUP BY ALL)
   SELECT s.rec_id, s.level, kept, 100.0*(1-kept/CAST(total AS DOUBLE)) AS reduction_pct, coalesce(peak/mean,0) AS concentration,
    (SELECT count(*) FROM g WHERE g.rec_id=s.rec_id AND g.level=s.level AND a IS NOT NULL AND b IS NOT NULL AND k>0
-      AND k >= greatest(0.02*s.kept/greatest(s.occ,1), 5)) AS mover_cells FROM s""", views=MV)
+      AND k >= greatest(0.02*s.kept/greatest(s.occ,1), 5)) AS mover_cells FROM s"""
+
+
+@query("rec_id level:i kept:l reduction_pct:d mover_cells:l concentration:d", SWEEP, views={**MV, **{k: LATE[k] for k in ("pulses", "telemetry")}})
+def mask_sweep_offset(v):
+    return mv.mask_sweep(v.px_events, v.pulses, v.telemetry, 50.0, 32, 32, 4, 99.9, 36, offset_us=OFFSET)
+
+
+@query("rec_id level:i kept:l reduction_pct:d mover_cells:l concentration:d", SWEEP, views=MV)
 def mask_sweep(v):
     return mv.mask_sweep(v.px_events, v.pulses, v.telemetry, 50.0, 32, 32, 4, 99.9, 36)
 
@@ -120,6 +128,13 @@ def per_pass_centroids(v):
     return mv.per_pass_centroids(v.px_events, v.telemetry, v.pulses, 50.0, 32, 32, 0.2)
 
 
+@query("rec_id rev:l t_s:d7 bearing_deg:d4 bearing_se_deg:d elev_deg:d ang_size_deg:d5 range_m:d5 n_events:l", PASSES, views={
+    "wrev": """SELECT *, seg AS rev, (16.0-y)*(50.0/32) AS elev, -(x-16.0)*(50.0/32) AS b FROM (SELECT *, sum(CASE WHEN t - prev > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY t, seq) AS seg
+      FROM (SELECT *, lag(t) OVER (PARTITION BY rec_id ORDER BY t, seq) AS prev FROM px_events))"""})
+def per_pass_centroids_staring(v):
+    return mv.per_pass_centroids(v.px_events, None, None, 50.0, 32, 32, 0.2, gap_us=30_000)
+
+
 @query("rec_id rev:l t_s:d7 bearing_deg:d4", """SELECT rec_id, rev, tc/1000000.0 AS t_s, a - floor(a/360.0)*360.0 AS bearing_deg FROM (
   SELECT c.*, (m.u + coalesce((m.u2-m.u)*((tc-m.t)/CAST(m.t2-m.t AS DOUBLE)),0)) - (cx-16.0)*(50.0/32) AS a FROM
   (SELECT rec_id, rev, f, cx, t0 + (f+0.5)*50000 AS tc FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, rev ORDER BY c DESC, f) AS rn FROM
