@@ -42,16 +42,16 @@ def digest(payload: bytes) -> str:
     return b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record with regenerated headers."""
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, length: int, sha1: bytes) -> bytes:
+    """One record with regenerated headers; a revisit has the length and digest of a payload that it does not carry."""
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = head if refers_to is not None else head + payload
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"),
               ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
               ("WARC-Date", _DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    fields += [("WARC-Payload-Digest", "sha1:" + digest(payload)), ("WARC-Block-Digest", "sha1:" + digest(block))]
+    fields += [("WARC-Payload-Digest", "sha1:" + b32encode(sha1).decode()), ("WARC-Block-Digest", "sha1:" + digest(block))]
     if refers_to is not None:
         fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -59,7 +59,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, refers_to (null for responses)."""
+    """page_id, url, html (empty for revisits), refers_to (null for responses), length, sha1."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     # Only payloads that occur again are looked up; their table is summed before it is shuffled.
@@ -67,7 +67,9 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     again = cut_lineage(again)
     both = rows.join(F.broadcast(again) if again.count() <= BROADCAST_REPEATS else again, "sha1", "left")
     later = F.col("last").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("last"))
-    return both.select("page_id", "url", "html", F.when(later, F.col("last")).alias("refers_to"))
+    # A revisit needs its payload's digest and length only.
+    return both.select("page_id", "url", F.when(later, "").otherwise(F.col("html")).alias("html"), F.when(later, F.col("last")).alias("refers_to"),
+                       F.octet_length("html").cast("long").alias("length"), F.unhex("sha1").alias("sha1"))
 
 
 def _open(folder: str):
@@ -107,8 +109,8 @@ def _write(folder: str, limit: int):
     def run(batches):
         files = _Rolling(folder, TaskContext.get().partitionId(), limit)
         for b in batches:
-            for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                files.add(gzip.compress(record(page, url, html.encode(), refers), 6, mtime=0))
+            for page, url, html, refers, length, sha1 in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "length", "sha1"))):
+                files.add(gzip.compress(record(page, url, html.encode(), refers, length, sha1), 6, mtime=0))
         files.close()
         name, size, n, sha = zip(*files.done) if files.done else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
@@ -124,7 +126,6 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
     ranges = max(1, -(-total // range_bytes))
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
-    # The payload of a revisit is needed for its digest and length; it is dropped from the record itself.
     sorted_ = rows.repartitionByRange(ranges, F.col("url").asc_nulls_last(), "page_id").sortWithinPartitions(F.col("url").asc_nulls_last(), "page_id")
     files = cut_lineage(sorted_.mapInArrow(_write(folder, file_bytes), _FIELDS))
     lines = "".join(json.dumps(r.asDict(), sort_keys=True) + "\n" for r in files.orderBy("file").toLocalIterator())
@@ -135,13 +136,25 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
     return files
 
 
+#: Compressed bytes that are handed to the decompressor at once.
+_STEP = 1 << 15
+
+
 def parse(data: bytes):
-    """Records of one file: (headers, block), member by member."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
+    """Records of one file: (headers, block), member by member.
+
+    A member's end is found by the decompressor; only what it left of its last step is looked at again.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            step = view[at:at + _STEP]
+            parts.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
+        if not member.eof:
+            raise EOFError("the last member of a file is cut short")
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[:int(fields["Content-Length"])]
 

@@ -432,3 +432,15 @@ def test_pipeline(spark, odd, bench, tmp_path):
     ids = {r.doc_id for r in out}
     assert ids <= {6, 9, 10, None} and 6 in ids
     assert isinstance(out[0], Row)
+
+
+def test_warc_members_are_found_across_steps():
+    import gzip
+    import random
+    r = random.Random(0)
+    pages = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 10, 90_000, 5, 200_000, 40_000)]
+    data = b"".join(gzip.compress(warc.record(k, f"u{k}", p, None, len(p), hashlib.sha1(p).digest()), 6, mtime=0) for k, p in enumerate(pages))
+    got = [(f["WARC-Record-ID"], block.partition(b"\r\n\r\n")[2]) for f, block in warc.parse(data)]
+    assert got == [(f"<urn:page:{k}>", p) for k, p in enumerate(pages)]
+    with pytest.raises(EOFError):
+        list(warc.parse(data[:-9]))
