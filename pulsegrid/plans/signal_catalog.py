@@ -83,7 +83,27 @@ def autocorrelation(v):
     return sg.autocorrelation(r, ["rec_id"], "bin", "n", 60)
 
 
-@query("rec_id seed_s:d confidence:d5 period_s:d5 n_peaks:l")
+_SPIN = {
+    **SG,
+    "sp_r": "SELECT rec_id, bin, n, sum(n) OVER (PARTITION BY rec_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)/2.0::DOUBLE AS rate FROM rate5",
+    "sp_d": "SELECT rec_id, count(*) AS nb, quantile_cont(rate, 0.9) AS thr FROM sp_r GROUP BY rec_id HAVING sum(n) >= 100",
+    "sp_c": "SELECT rec_id, bin, rate - avg(rate) OVER (PARTITION BY rec_id) AS v FROM sp_r",
+    "sp_a": """SELECT a.rec_id, b.bin - a.bin AS lag, sum(a.v*b.v)/any_value(z) AS acf FROM sp_c a JOIN sp_c b ON a.rec_id = b.rec_id AND b.bin BETWEEN a.bin + 40 AND a.bin + 1000
+        JOIN (SELECT rec_id, sum(v*v) AS z FROM sp_c GROUP BY rec_id) q ON q.rec_id = a.rec_id GROUP BY ALL""",
+    "sp_s": """SELECT rec_id, lag AS lag0, acf AS confidence, thr FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY acf DESC, lag) AS rn FROM sp_a JOIN sp_d USING (rec_id)
+        WHERE lag*0.005 >= 0.2 - 1e-9 AND lag*0.005 <= least(5.0, nb*0.005/2) + 1e-9) WHERE rn = 1""",
+    "sp_l0": """SELECT rec_id, 0 AS n_peaks, bin::DOUBLE AS a0, lag0::DOUBLE AS step FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY rate DESC, bin) AS rn FROM sp_r) JOIN sp_s USING (rec_id) WHERE rn = 1""",
+}
+for _k, _reach in enumerate((8, 64, 512, 1 << 40)):
+    _SPIN[f"sp_p{_k}"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, cycle ORDER BY rate DESC, bin) AS rn FROM
+        (SELECT r.rec_id, bin, rate, a0, step, round((bin - a0)/step) AS cycle FROM sp_r r JOIN sp_s USING (rec_id) JOIN sp_l{_k} USING (rec_id) WHERE rate >= thr)
+        WHERE abs(cycle) <= {_reach} AND abs(bin - a0 - cycle*step) <= 0.4*step) WHERE rn = 1"""
+    _SPIN[f"sp_l{_k + 1}"] = f"""SELECT rec_id, n_peaks, CASE WHEN n_peaks >= 3 AND slope IS NOT NULL THEN start ELSE a0 END AS a0, CASE WHEN n_peaks >= 3 AND slope IS NOT NULL THEN slope ELSE step END AS step FROM
+        (SELECT rec_id, count(*) AS n_peaks, regr_slope(bin, cycle) AS slope, regr_intercept(bin, cycle) AS start, any_value(a0) AS a0, any_value(step) AS step FROM sp_p{_k} GROUP BY rec_id)"""
+
+
+@query("rec_id seed_s:d confidence:d5 period_s:d5 n_peaks:l", """SELECT rec_id, lag0*0.005 AS seed_s, confidence, n_peaks,
+  round(CASE WHEN n_peaks >= 3 AND step*0.005 BETWEEN 0.2 AND 5 THEN step*0.005 ELSE lag0*0.005 END, 5) AS period_s FROM sp_s JOIN sp_l4 USING (rec_id)""", views=_SPIN)
 def estimate_spin_period(v):
     return sg.estimate_spin_period(v.px_events)
 
