@@ -14,6 +14,7 @@ along.  Documents never move.
 Null and empty texts have no words, no hits and no items.  Items without words have no phrases; items of fewer words
 than a window are one phrase; repeated items, and items that share a phrase, all count.  Rows with a null item_id
 are no items.  Repeated documents are judged row by row.
+Texts of any length are read whole.  Other columns, whatever their names, are not read.  Without documents there are no rows, without items no hits.
 """
 from __future__ import annotations
 

@@ -13,6 +13,7 @@ fingerprint in its block, with a flag, so a hot text costs one code in each send
 Null texts count as empty ones.  Rows with a null doc_id are documents too; when all copies of a text have a
 null doc_id, keep_id is null and kept is true.  A repeated row (equal doc_id and text) is a copy like any other; all rows
 that carry the largest doc_id are marked kept.  An empty table gives an empty table.
+Texts of any length are compared whole.  Other columns, whatever their names, are not read.
 """
 from __future__ import annotations
 

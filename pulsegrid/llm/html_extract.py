@@ -8,6 +8,7 @@ probabilities are largest under one rule: nothing inside a node that is out is i
 
 A null or empty page has an empty text.  If the sample has no page with named parts, nodes are judged by their names alone.
 Repeated rows give repeated results; nulls in page_id and url pass through.
+Pages of any length are parsed whole.  Other columns, whatever their names, are not read.  An empty table gives an empty table.
 """
 from __future__ import annotations
 

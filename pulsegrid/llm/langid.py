@@ -12,6 +12,8 @@ share of the best among all languages, by the mean log scores.
 ``und``: null texts, texts without a letter, and everything when no language was learned.  Rows with a null lang teach nothing;
 lang, source and doc_id are never inputs of a prediction.  Repeated rows count as often as they occur.  Equal scores go
 to the language first in order.
+Texts of any length are scored whole.  Columns of the input, whatever their names, are not mixed up with the
+operator's own.  An empty table gives an empty table.
 """
 from __future__ import annotations
 

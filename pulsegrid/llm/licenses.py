@@ -8,6 +8,8 @@ enough words left (positional filter).  Survivors are compared exactly.  Only te
 
 Null and empty texts have no words and no labels.  Repeated documents (equal doc_id and text) get equal rows; a null doc_id
 is kept.  A block matches every template whose threshold it meets.
+Texts of any length are read whole, line by line.  Other columns, whatever their names, are not read.  An empty table gives an
+empty table.
 """
 from __future__ import annotations
 

@@ -11,6 +11,7 @@ is never ordered in one task.
 
 Null texts have no words: size 0, taken 0.  A null source is a source, last in order.  Null doc_ids and repeated rows are documents like
 others.  A source without words has target 0.  An empty table gives an empty table.
+Texts of any length count whole.  Columns of the input, whatever their names, are not mixed up with the operator's own.
 """
 from __future__ import annotations
 

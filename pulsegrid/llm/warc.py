@@ -10,6 +10,7 @@ Of records with equal payloads of ``least`` bytes or more, the one with the larg
 which carry the payload's digest and length but not the payload.  A null html is an empty payload; a null url leaves out the target; rows
 with a null page_id are responses without an id.  A repeated row (equal page_id and payload) writes its record once for each row: all
 rows with the largest page_id are responses.  An empty table gives an archive of no files.
+Pages of any length are one record each.  Other columns, whatever their names, are not read.
 """
 from __future__ import annotations
 
