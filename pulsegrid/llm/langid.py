@@ -28,6 +28,9 @@ from pulsegrid.session import cut_lineage
 
 from .text import ALNUM_WORDS, Words, held_out, slices
 
+#: Bytes of text that a worker scores at once.
+PIECE = 1_000_000
+
 LONGEST, LEAST, WORDS, GRAMS = 4, 2, 100_000, 50_000
 #: Natural-log score of a word or n-gram that a language never has; where the corpus is so large that one occurrence counts for less, half of one.
 PENALTY = -16.0
@@ -55,7 +58,7 @@ def _count_words(batches):
     """lang, word, n of a task's texts, merged as far as memory allows."""
     total: dict = {}
     for batch in batches:
-        for piece in slices(batch, "text"):
+        for piece in slices(batch, "text", PIECE):
             w = lower_words(piece.column("text"))
             langs = piece.column("lang").dictionary_encode()
             row_lang = np.asarray(langs.indices).astype(np.int64)
@@ -225,7 +228,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     def summed(batches):
         hot = shared.value
         for batch in batches:
-            for piece in slices(batch, "_text"):
+            for piece in slices(batch, "_text", PIECE):
                 texts = piece.column("_text")
                 w = lower_words(texts)
                 scores, is_open = hot.score_all(w.vocab.to_pylist())
