@@ -6,10 +6,10 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.asof import small
-from ..operators.ordered import count, highest, islands, last, scan, total, union_all
+from ..operators.ordered import count, highest, islands, last, scan, union_all
 from ..operators.raster import spans
 from ..operators.select import us
 from ..schema import EVENTS, US
@@ -101,32 +101,53 @@ def ingest_event_words(words: DataFrame, fmt: str = "evt21") -> DataFrame:
 
 
 def ingest_evt3_words(words: DataFrame) -> DataFrame:
-    """16-bit stateful words: every field is carried forward by a chunked scan.
+    """16-bit stateful words: every field is carried forward, within a chunk by windows and over chunks by one row for each.
 
     The 12-bit high time wraps (one epoch each time it falls); a vector word's column is the last
     base plus the widths of the vector words since.
     """
     k, d = F.col("_k"), F.col("_d")
-    df = words.withColumn("_k", F.shiftrightunsigned("word", 12)).withColumn("_d", F.col("word").bitwiseAND(0xFFF))
+    part = ["rec_id", "_chunk"]
+    w = Window.partitionBy(*part).orderBy("word_idx")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    high, base = F.when(k == 8, d), F.when(k == 3, d)
     width = F.when(k == 4, 12).when(k == 5, 8).otherwise(0)
-    s = scan(df, ["rec_id"], ["word_idx"], _chunk(),
-             _prev=last(F.when(k == 8, d), inclusive=False), _raw=last(F.when(k == 8, d)),
-             _low=last(F.when(k == 6, d)), _y=last(F.when(k == 0, d.bitwiseAND(0x7FF))),
-             _bp=last(F.when(k == 3, F.shiftrightunsigned(d, 11))), _bx=last(F.when(k == 3, d.bitwiseAND(0x7FF))),
-             _cw=total(width, inclusive=False))
-    s = s.withColumn("_wrap", F.when((k == 8) & (d < F.coalesce("_prev", F.lit(0))), 1).otherwise(0))
-    s = scan(s, ["rec_id"], ["word_idx"], _chunk(), _epoch=total(F.col("_wrap")),
-             _c0=last(F.when(k == 3, F.col("_cw"))))
-    t = ((F.col("_epoch") * 4096 + F.coalesce("_raw", F.lit(0))) * 4096 + F.coalesce("_low", F.lit(0))).cast("long")
-    base = F.coalesce("_bx", F.lit(0)) + F.col("_cw") - F.coalesce("_c0", F.lit(0))
-    y = F.coalesce("_y", F.lit(0)).cast("int")
-    one = s.where("_k = 2").select("rec_id", "word_idx", F.lit(0).alias("bit"), d.bitwiseAND(0x7FF).cast("int").alias("x"),
-                                   y.alias("y"), F.shiftrightunsigned(d, 11).cast("int").alias("p"), t.alias("t"))
-    mask = F.when(k == 4, d).otherwise(d.bitwiseAND(0xFF))
-    vec = s.where("_k IN (4, 5)").withColumn("bit", _bits(mask, 12)).select(
-        "rec_id", "word_idx", "bit", (base + F.col("bit")).cast("int").alias("x"), y.alias("y"),
-        F.coalesce("_bp", F.lit(0)).cast("int").alias("p"), t.alias("t"))
-    return one.unionByName(vec)
+    s = words.select("rec_id", "word_idx", _chunk().alias("_chunk"), F.shiftrightunsigned("word", 12).cast("int").alias("_k"),
+                     F.col("word").bitwiseAND(0xFFF).cast("int").alias("_d"))
+    s = s.withColumns({
+        "_prev": F.last(high, True).over(before), "_raw": F.last(high, True).over(upto), "_first": F.first(high, True).over(upto),
+        "_low": F.last(F.when(k == 6, d), True).over(upto), "_y": F.last(F.when(k == 0, d.bitwiseAND(0x7FF)), True).over(upto),
+        "_base": F.last(base, True).over(upto), "_cw": F.sum(width).over(upto)})
+    s = s.withColumns({"_wraps": F.sum(F.when(high < F.col("_prev"), 1).otherwise(0)).over(upto),
+                       "_c0": F.last(F.when(k == 3, F.col("_cw")), True).over(upto)})
+
+    # what each chunk hands on is its last row
+    state = ["_raw", "_first", "_low", "_y", "_base", "_cw", "_wraps", "_c0"]
+    heads = s.groupBy(*part).agg(F.max_by(F.struct(*state), "word_idx").alias("e")).select(*part, "e.*")
+    past = Window.partitionBy("rec_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(c):
+        return F.last(c, True).over(past)
+
+    heads = heads.withColumns({f"_p{c}": carried(c) for c in ("_raw", "_low", "_y", "_base")})
+    heads = heads.withColumns({"_turn": F.when(F.col("_first") < F.col("_p_raw"), 1).otherwise(0), "_widths": F.coalesce(F.sum("_cw").over(past), F.lit(0))})
+    heads = heads.withColumns({"_epoch": F.coalesce(F.sum(F.col("_wraps") + F.col("_turn")).over(past), F.lit(0)),
+                               "_since": F.col("_widths") - F.coalesce(carried(F.col("_widths") + F.col("_c0")), F.lit(0))})
+    ev = s.where("_k IN (2, 4, 5)").join(heads.select(*part, "_p_raw", "_p_low", "_p_y", "_p_base", "_turn", "_epoch", "_since"), part)
+
+    def now(c):
+        return F.coalesce(c, f"_p{c}", F.lit(0)).cast("long")
+
+    epoch = F.col("_epoch") + F.col("_wraps") + F.when(F.col("_raw").isNotNull(), F.col("_turn")).otherwise(0)
+    t = (epoch * 4096 + now("_raw")) * 4096 + now("_low")
+    cw = F.col("_cw") - width                      # of the vector words before this one
+    column = now("_base").bitwiseAND(0x7FF) + F.when(F.col("_c0").isNotNull(), cw - F.col("_c0")).otherwise(cw + F.col("_since"))
+    one = k == 2
+    mask = F.when(one, 1).when(k == 4, d).otherwise(d.bitwiseAND(0xFF))
+    pol = F.shiftrightunsigned(F.when(one, d.cast("long")).otherwise(now("_base")), 11)
+    return ev.withColumn("bit", _bits(mask, 12)).select(
+        "rec_id", "word_idx", "bit", F.when(one, d.bitwiseAND(0x7FF)).otherwise(column + F.col("bit")).cast("int").alias("x"),
+        now("_y").cast("int").alias("y"), pol.cast("int").alias("p"), t.alias("t"))
 
 
 def strip_preroll(ev: DataFrame) -> DataFrame:

@@ -116,3 +116,40 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     assert words.rdd.getNumPartitions() <= 65
     n = words.groupBy("rec_id").agg({"word_idx": "sum"}).toDF("rec_id", "s").where("s = 45").count()
     assert n == 300 and words.count() == 3000
+
+
+def test_evt3_state_crosses_chunks(spark, monkeypatch):
+    """Every cut of a stream gives what one chunk gives, and that is the plain loop."""
+    r = np.random.default_rng(5)
+    kinds = r.choice([0, 2, 3, 4, 5, 6, 8, 14], 400)
+    words = [(int(k) << 12) | int(d) for k, d in zip(kinds, r.integers(0, 4096, 400))]
+    want, high, epoch, low, y, pol, x = [], None, 0, 0, 0, 0, 0
+    for i, w in enumerate(words):
+        k, d = w >> 12, w & 0xFFF
+        if k == 8:
+            epoch, high = epoch + (high is not None and d < high), d
+        elif k == 6:
+            low = d
+        elif k == 0:
+            y = d & 0x7FF
+        elif k == 3:
+            pol, x = d >> 11, d & 0x7FF
+        t = (epoch * 4096 + (high or 0)) * 4096 + low
+        if k == 2:
+            want.append((i, 0, d & 0x7FF, y, d >> 11, t))
+        elif k in (4, 5):
+            n = 12 if k == 4 else 8
+            want += [(i, b, x + b, y, pol, t) for b in range(n) if d >> b & 1]
+            x += n
+    rows = spark.createDataFrame([("a", i, w) for i, w in enumerate(words)], "rec_id string, word_idx long, word long")
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(src, "WORDS_PER_CHUNK", size)
+        got = src.ingest_evt3_words(rows).orderBy("word_idx", "bit").collect()
+        assert [tuple(g)[1:] for g in got] == want
+
+
+def test_decoding_reads_a_stream_twice(spark, tmp_path, monkeypatch):
+    """The plan of the 16-bit decoder has two scans of its words (eight before)."""
+    put(tmp_path, "a.raw", "% format EVT3\n", np.array([0x8001, 0x6002, 3, 0x2805], "<u2").tobytes())
+    plan = src.ingest_evt3_words(raw.read_words(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 2
