@@ -13,6 +13,7 @@ from ..operators.ordered import count, highest, islands, last, scan, union_all
 from ..operators.raster import spans
 from ..operators.select import us
 from ..schema import EVENTS, US
+from ..session import cut_lineage
 from .raw import WORDS, read_words
 
 WORDS_PER_CHUNK = 1_000_000
@@ -30,8 +31,10 @@ def pick_recordings(files: DataFrame, camera: str) -> DataFrame:
 def number_events(raw: DataFrame, source_order: str) -> DataFrame:
     """Stable time order and zero base: add ``seq`` and shift ``t`` to the first event.
 
-    The running number is a chunked scan, so one long recording is numbered in parallel.
+    The running number is a chunked scan, so one long recording is numbered in parallel.  The events are read three times, so
+    they are materialised and the decoding behind them runs once.
     """
+    raw = cut_lineage(raw)
     first = raw.groupBy("rec_id").agg(F.min("t").alias("_t0"))
     z = raw.join(small(first), "rec_id").withColumn("t", F.col("t") - F.col("_t0"))
     n = scan(z, ["rec_id"], ["t", source_order], _n=count())
