@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.neighbours import latest_around
+from ..functions.neighbours import NEVER, latest_around
 from ..schema import US
 from ..session import cut_lineage
 from .select import polarity_filter
@@ -163,21 +163,37 @@ def baf_filter(ev: DataFrame, dt_us: int = 5000, chunk_us: int = US, tile: int =
 
     The stream is cut into tiles of pixels and chunks of time.  A tile also gets the events of the rim of one pixel around it and a
     chunk those of the last ``dt_us`` before it, so that a piece needs nothing from outside and about 1.1 rows an event are
-    shuffled.  Each piece is judged in one vectorised pass.
+    shuffled.  Spark sorts the pieces, and a task judges them batch by batch with the last times of one piece's pixels, so its memory
+    does not grow with the events of a piece.
     """
-    chunk_us = max(int(chunk_us), int(dt_us))
-
-    def judge(table: pa.Table) -> pa.Table:
-        tx, ty, chunk = (table.column(c)[0].as_py() for c in ("_tx", "_ty", "_chunk"))
-        table = table.sort_by([("t", "ascending"), ("seq", "ascending")])
-        x, y, t = (table.column(c).to_numpy() for c in ("x", "y", "t"))
-        gx, gy = x - tx * tile + 1, y - ty * tile + 1
-        own = (gx > 0) & (gx <= tile) & (gy > 0) & (gy <= tile) & (t // chunk_us == chunk)
-        seen = latest_around(gx, gy, t, tile + 2)
-        return table.filter(pa.array(own & (t - seen <= dt_us))).select(["rec_id", "seq", "x", "y", "p", "t"])
+    chunk_us, side = max(int(chunk_us), int(dt_us)), tile + 2
 
+    def judge(batches):
+        last, surface = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tx, ty, chunk, x, y, t = (b.column(c).to_numpy() for c in ("_tx", "_ty", "_chunk", "x", "y", "t"))
+            rec = b.column("rec_id").dictionary_encode()
+            starts = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in (rec.indices.fill_null(-1).to_numpy(), tx, ty, chunk)], axis=0))
+            ends = [(rec[int(i)].as_py(), tx[i], ty[i], chunk[i]) for i in (starts[0], starts[-1])]
+            if ends[0] != last:
+                surface = None
+            # the pieces of a batch lie below each other; only the first one may have begun in the batch before
+            at = np.searchsorted(starts, np.arange(b.num_rows), "right") - 1
+            gx, gy = x - tx * tile + 1, y - ty * tile + 1
+            own = (gx > 0) & (gx <= tile) & (gy > 0) & (gy <= tile) & (t // chunk_us == chunk)
+            seen = latest_around(gx, gy + at * side, t, side, surface)
+            if len(starts) > 1 or surface is None:
+                surface = np.full(side * side, NEVER, np.int64)
+            end = slice(starts[-1], None)
+            np.maximum.at(surface, gy[end] * side + gx[end], t[end])
+            last = ends[1]
+            yield b.filter(pa.array(own & (t - seen <= dt_us))).select(["rec_id", "seq", "x", "y", "p", "t"])
+
+    key = ["rec_id", "_tx", "_ty", "_chunk"]
     schema = T.StructType([f for f in ev.select("rec_id", "seq", "x", "y", "p", "t").schema])
-    return pieces(ev, dt_us, chunk_us, tile).groupBy("rec_id", "_tx", "_ty", "_chunk").applyInArrow(judge, schema)
+    return pieces(ev, dt_us, chunk_us, tile).repartition(*key).sortWithinPartitions(*key, "t", "seq").mapInArrow(judge, schema)
 
 
 # ------------------------------------------------------------------ chains

@@ -93,3 +93,19 @@ def test_stream_filters_carry_state_between_batches(spark, events):
     got_r, got_b = kept(outs[0]), kept(outs[1])
     assert got_r == brute_refractory(x, y, t, 450)
     assert got_b == brute_baf(x, y, t, 300)
+
+
+def test_baf_is_judged_batch_by_batch(spark, events):
+    """Pieces longer than a batch and batches of several pieces give the same; no piece is gathered in Python."""
+    r = np.random.default_rng(8)
+    n = 900
+    t, x, y = np.sort(r.integers(0, 6000, n)), r.integers(0, 20, n), r.integers(0, 20, n)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("5", "64"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            out = dn.baf_filter(events(x, y, t), 40, 500, tile=8)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+            assert kept(out) == brute_baf(x, y, t, 40)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
