@@ -29,6 +29,9 @@ from .spectra import blade_fft, region_spectrum
 from .trackers import kalman_tracker, kvf_tracker, multi_tracker, nearest_tracker, single_tracker
 from .tracks import in_box_events, top_blob_per_frame
 
+#: Events of a task that joins them with overlapping windows.
+TASK_EVENTS = 100_000
+
 BLOB = T.ArrayType(T.StructType([
     T.StructField("blob", T.IntegerType()), T.StructField("area", T.LongType()),
     *[T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")],
@@ -114,14 +117,21 @@ def isolate_target(ev: DataFrame, dt_us: int, width: int, height: int, min_pixel
 
 
 # ------------------------------------------------------------------ spectral verification
+def dealt(ev: DataFrame, window_us: int, rows: int = TASK_EVENTS) -> DataFrame:
+    """Events by recording and window, in as many tasks as their number asks for; few events stay where they are."""
+    n = -(-ev.count() // rows)
+    return ev if n <= ev.sparkSession.sparkContext.defaultParallelism else ev.repartition(n, "rec_id", F.floor(F.col("t") / window_us))
+
+
 def box_lines(ev: DataFrame, blobs: DataFrame, window_s: float, fs: float, fmin: float, fmax: float,
               min_events: int) -> DataFrame:
-    """In-box spectral line per (rec_id, step, blob) over the trailing window."""
+    """In-box spectral line per (rec_id, step, blob) over the trailing window.
+
+    Windows overlap, so an event becomes a row for each of some dozen boxes; many events are dealt out first.
+    """
     key = ["rec_id", "step", "blob"]
-    e = in_box_events(ev, blobs, int(round(window_s * US)), ["step", "blob"])
-    n = e.groupBy(*key).agg(F.count("*").alias("n_box")).where(F.col("n_box") > min_events)
-    e = e.join(n.select(*key), key, "left_semi")
-    return region_spectrum(e, key, fs, fmin, fmax).select(
+    e = in_box_events(dealt(ev, int(round(window_s * US))), blobs, int(round(window_s * US)), ["step", "blob"])
+    return region_spectrum(e, key, fs, fmin, fmax, min_events=min_events + 1).select(
         *key, F.col("peak_freq").alias("freq_hz"), "snr", "harmonic", "n_events")
 
 
@@ -295,10 +305,10 @@ def freq_verified_tracker(ev: DataFrame, width: int, height: int, band=(80.0, 80
     b = b.withColumn("t", c0 + (F.col("step") + 1) * dt)
     key = ["rec_id", "step", "blob"]
     wide = b.withColumns({"x1": F.col("x1") + 1, "y1": F.col("y1") + 1})       # closed box on both sides
-    e = in_box_events(ev, wide, int(round(window_s * US)), ["step", "blob"])
+    e = in_box_events(dealt(ev, int(round(window_s * US))), wide, int(round(window_s * US)), ["step", "blob"])
     n_bins = int(np.ceil(window_s * fs - 1e-9)) - 1
     cnt = e.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > min_events)
-    bins = (e.join(cnt, key, "left_semi").withColumn("bin", F.floor((F.col("t") - F.col("dt") + int(window_s * US)) / (US / fs)).cast("int"))
+    bins = (e.join(small(cnt.select(*key)), key, "left_semi").withColumn("bin", F.floor((F.col("t") - F.col("dt") + int(window_s * US)) / (US / fs)).cast("int"))
             .where(F.col("bin") < n_bins).groupBy(*key, "bin").agg(F.count("*").alias("c")).withColumn("n_bins", F.lit(n_bins)))
     sp = spectra(bins, key, "plain")
     step = F.lit(fs / n_bins)

@@ -34,10 +34,10 @@ def bin_signal(ev: DataFrame, keys: list[str], fs: float) -> DataFrame:
     return _bins_of(ev, keys, fs, _bin_spans(ev, keys, fs))
 
 
-def _bin_spans(ev: DataFrame, keys: list[str], fs: float) -> DataFrame:
+def _bin_spans(ev: DataFrame, keys: list[str], fs: float, min_events: int = 0) -> DataFrame:
     """First event, event count and bin total of every group, computed once."""
     s = ev.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.count("*").alias("n_events"))
-    return small(s.select(*keys, "_lo", "n_events", F.floor((F.col("_hi") - F.col("_lo")) / (US / fs)).cast("int").alias("n_bins")).where("n_bins >= 2"))
+    return small(s.where(F.col("n_events") >= min_events).select(*keys, "_lo", "n_events", F.floor((F.col("_hi") - F.col("_lo")) / (US / fs)).cast("int").alias("n_bins")).where("n_bins >= 2"))
 
 
 def _bins_of(ev: DataFrame, keys: list[str], fs: float, s: DataFrame) -> DataFrame:
@@ -104,13 +104,15 @@ def lines(binned: DataFrame, keys: list[str], fs, fmin: float, fmax: float, n_ha
 
 
 def region_spectrum(ev: DataFrame, keys: list[str], fs: float = 2000.0, fmin: float = 10.0,
-                    fmax: float = 800.0, derotate_hz: float = 0.0, n_harmonics: int = 3, normalize: str = "none") -> DataFrame:
+                    fmax: float = 800.0, derotate_hz: float = 0.0, n_harmonics: int = 3, normalize: str = "none", min_events: int = 0) -> DataFrame:
     """Temporal power spectrum of each group's event stream, with its dominant in-band line.
 
+    Groups of fewer than ``min_events`` are left out by their spans, so the events need no join of their own for it.
+
     ``normalize`` (median or zscore) whitens the spectrum before the line is looked for.
     """
     hp = max(3, int(round(fs / derotate_hz))) if derotate_hz > 0 else 0
-    s = _bin_spans(ev, keys, fs)
+    s = _bin_spans(ev, keys, fs, min_events)
     return lines(_bins_of(ev, keys, fs, s), keys, fs, fmin, fmax, n_harmonics, _has_long(s), hp, normalize)
 
 
@@ -316,8 +318,7 @@ def per_rev_spectra(ev_rev: DataFrame, boxes: DataFrame, fmin: float = 200.0, fm
     e = ev_rev.join(boxes, ["rec_id", "rev"]).where(
         azu.between(F.col("az0"), F.col("az1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     key = ["rec_id", "rev"]
-    n = e.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_events)
-    return region_spectrum(e.join(n, key, "left_semi"), key, fs, fmin, fmax, 8.0 * spin_hz if spin_hz else 0.0)
+    return region_spectrum(e, key, fs, fmin, fmax, 8.0 * spin_hz if spin_hz else 0.0, min_events=min_events)
 
 
 # ------------------------------------------------------------------ spectra without binning

@@ -133,3 +133,15 @@ def test_tracks_beyond_six_are_kept():
     cands = [(100.0 * k, 0.0, (0, 0, 1, 1)) for k in range(9)]
     assert len(tk.update(0, cands)) == 9
     assert [i for _, i, _, _ in tk.update(3, [(100.0 * k + 6, 0.0, (0, 0, 1, 1)) for k in range(9)])] == list(range(9))
+
+
+def test_windows_are_joined_without_sorting_the_events(spark, events):
+    """Dealt out or not, boxes have the same lines, and no plan sorts the events for the least count."""
+    t = bursts(200, 1.0, 10)
+    ev = events(np.arange(len(t)) % 4, 2, t)
+    assert dt.dealt(ev, 300_000, 10).rdd.getNumPartitions() == -(-len(t) // 10) and dt.dealt(ev, 300_000).rdd.getNumPartitions() == ev.rdd.getNumPartitions()
+    b = spark.createDataFrame([("r", k, 1, 20_000 * k, 0, 0, 4, 4) for k in range(1, 50)], "rec_id string, step long, blob int, t long, x0 int, y0 int, x1 int, y1 int")
+    one = dt.box_lines(ev, b, 0.3, 2000.0, 80.0, 800.0, 40)
+    two = dt.box_lines(dt.dealt(ev, 300_000, 10), b, 0.3, 2000.0, 80.0, 800.0, 40)
+    assert "SortMergeJoin" not in one._jdf.queryExecution().toString()
+    assert one.count() > 40 and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
