@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.angles import elevation
 from ..schema import US
 from ..session import cut_lineage
+from .asof import small
 from .geometry import propeller_columns, sweep_velocity
 from .movers import derived_extent_range
 from .quantiles import counted_quantiles, exact_quantiles
@@ -163,7 +164,7 @@ def scan_rotation(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: flo
     e = cut_lineage(scan_cells(ev, tel, pulses, fov_deg, width, bin_deg))
     sweep = sweep_velocity(rotation_period(pulses), fov_deg, width)
     lad = ladder_signature(e, key, sweep, f_lo, f_hi, min_events=min_events, strength=strength)
-    big = e.join(lad.select(*key), key, "left_semi")
+    big = e.join(small(lad.select(*key)), key, "left_semi")
     q = exact_quantiles(big, key, {"bearing_deg": ("az", 0.5, 0.1), "_t": ("t", 0.5, 1000)})
     y = counted_quantiles(big, key, "y", {"_y": 0.5})
     rng = derived_extent_range(big, key, fov_deg, width, target_m).drop("n_events")

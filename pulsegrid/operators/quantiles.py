@@ -3,12 +3,15 @@
 ``percentile`` keeps every distinct value of a group in one task, which is right for per-pixel
 counts (bounded by the sensor) and wrong for event-level values of a hot group.  Here a small
 histogram per group (fixed bucket width, map-side combined) locates the buckets that hold the
-wanted ranks, and only the rows of those buckets are counted and ordered.
+wanted ranks, and only the rows of those buckets are counted and ordered.  The buckets are broadcast up to the bound of
+:func:`.asof.small`, so all other rows stay where they are.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .asof import small
+
 
 def exact_quantiles(df: DataFrame, keys: list[str],
                     wanted: dict[str, tuple[str, float, float]]) -> DataFrame:
@@ -33,6 +36,7 @@ def exact_quantiles(df: DataFrame, keys: list[str],
              .withColumn("want", F.filter(F.array(*ranks), lambda s: (s["c"] == F.col("c"))
                          & (s["r"] >= F.col("n0")) & (s["r"] < F.col("n0") + F.col("n"))))
              .where(F.size("want") > 0).select(*k, "b", "n0", "want"))
+    heads = small(heads)          # at most two buckets for each group and probability
     inside = Window.partitionBy(*k, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     hit = (rows.join(heads.select(*k, "b"), [*k, "b"], "left_semi")
            .groupBy(*k, "b", "v").agg(F.count("*").alias("n"))

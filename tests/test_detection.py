@@ -145,3 +145,11 @@ def test_windows_are_joined_without_sorting_the_events(spark, events):
     two = dt.box_lines(dt.dealt(ev, 300_000, 10), b, 0.3, 2000.0, 80.0, 800.0, 40)
     assert "SortMergeJoin" not in one._jdf.queryExecution().toString()
     assert one.count() > 40 and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_quantiles_leave_other_rows_where_they_are(spark):
+    from pulsegrid.operators.quantiles import exact_quantiles
+    d = spark.range(1001).selectExpr("id % 2 AS k", "id / 10.0D AS v")
+    q = exact_quantiles(d, ["k"], {"m": ("v", 0.5, 1.0)})
+    assert "SortMergeJoin" not in q._jdf.queryExecution().sparkPlan().toString()
+    assert {r.k: round(r.m, 6) for r in q.collect()} == {0: 50.0, 1: 50.0}
