@@ -165,6 +165,25 @@ def test_blocks_return_forests(spark, monkeypatch):
     assert jaccard._block_counts(None, pdf).linked.tolist() == [79] * 80
 
 
+def test_texts_become_sets_four_times(spark, monkeypatch):
+    """For the classes, the postings and twice for kept sets, which the later steps read."""
+    passes, plain = [], jaccard._mapped
+    monkeypatch.setattr(jaccard, "_mapped", lambda *a: passes.append(a[-1]) or plain(*a))
+    jaccard.jaccard_join(spark.createDataFrame(near_copies(8), "doc_id long, text string").repartition(3)).collect()
+    assert len(passes) == 4
+
+
+def test_buckets_count_links_inside_components():
+    import numpy as np
+    import pandas as pd
+    base = [np.arange(k * 1000, k * 1000 + 100, dtype=np.uint64) for k in range(3)]
+    sets = [b[:100 - j] for b in base for j in range(4)]
+    pdf = pd.DataFrame({"component": np.repeat([0, 1, 1], 4), "cls": np.arange(12), "n": [len(s) for s in sets], "size": np.tile([1, 2, 3, 4], 3), "items": [s.tobytes() for s in sets]})
+    assert jaccard._bucket_counts(None, pdf).linked.tolist() == [9, 8, 7, 6] * 3
+    sigs = [jaccard.signature(s) for s in (*sets, np.arange(700, dtype=np.uint64))]
+    assert jaccard.distances(sigs, sigs[::-1]).tolist() == [jaccard.distance(x, y) for x, y in zip(sigs, sigs[::-1])]
+
+
 def test_signature_distance_bounds_the_difference():
     import numpy as np
     r = np.random.default_rng(5)
