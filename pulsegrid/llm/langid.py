@@ -56,22 +56,30 @@ def _rows(total: dict) -> pa.RecordBatch:
 
 def _count_words(batches):
     """lang, word, n of a task's texts, merged as far as memory allows."""
-    total: dict = {}
+    parts, rows = [], 0
     for batch in batches:
         for piece in slices(batch, "text", PIECE):
             w = lower_words(piece.column("text"))
             langs = piece.column("lang").dictionary_encode()
             row_lang = np.asarray(langs.indices).astype(np.int64)
-            pair, n = np.unique(row_lang[w.doc] * max(1, len(w.vocab)) + w.codes, return_counts=True)
-            names, words = langs.dictionary.to_pylist(), w.vocab.to_pylist()
-            for p, k in zip(pair.tolist(), n.tolist()):
-                key = (names[p // len(words)], words[p % len(words)])
-                total[key] = total.get(key, 0) + k
-            if len(total) > FLUSH:
-                yield _rows(total)
-                total = {}
-    if total:
-        yield _rows(total)
+            size = max(1, len(w.vocab))
+            pair, n = np.unique(row_lang[w.doc] * size + w.codes, return_counts=True)
+            parts.append(pa.table([langs.dictionary.take(pa.array(pair // size)).cast(pa.string()), w.vocab.take(pa.array(pair % size)).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"]))
+            rows += len(pair)
+            if rows > FLUSH // 2:
+                parts = [_merged(parts)]
+                rows = parts[0].num_rows
+            if rows > FLUSH // 2:
+                yield from parts[0].to_batches()
+                parts, rows = [], 0
+    if parts:
+        yield from _merged(parts).to_batches()
+
+
+def _merged(parts: list[pa.Table]) -> pa.Table:
+    """Counts of equal lang and word added; a few bytes for each row, where a dictionary takes hundreds."""
+    out = pa.concat_tables(parts).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+    return out.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"]).combine_chunks()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -119,6 +127,7 @@ class Hot:
             names = self.names.to_pylist()
             self.words = {w: k for k, w in enumerate(names[:self.n_words])}
             self.grams = {g: k for k, g in enumerate(names[self.n_words:], self.n_words)}
+            self.names = None
             self.known: dict[str, np.ndarray] = {}
 
     def parts(self, word: str):
@@ -143,12 +152,17 @@ class Hot:
         return np.zeros(self.size)
 
     def score_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of distinct words, and which are open; what was scored before in this task is kept, up to a bound."""
+        """Scores of distinct words, and which are open; scores of words not in the table are kept, up to a bound."""
         self.index()
         if len(self.known) > 300_000:
             self.known = {}
+        at = np.array([self.words.get(w, -1) for w in words], np.int64)
         out, is_open = np.zeros((len(words), self.size)), np.zeros(len(words), bool)
-        for k, w in enumerate(words):
+        out[at >= 0] = self.scores[at[at >= 0]]
+        if not (self.all_words and self.all_grams):
+            return out, at < 0
+        for k in np.flatnonzero(at < 0).tolist():
+            w = words[k]
             s = self.known.get(w)
             if s is None:
                 s = self.score(w)

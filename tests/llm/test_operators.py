@@ -3,10 +3,12 @@ import hashlib
 import html
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -358,6 +360,24 @@ def test_language_model_is_whole_whatever_travels(spark, odd, monkeypatch):
     assert all(r.lang_pred == lang for r, (_, _, lang) in zip(langid.identify(docs).where("doc_id < 300").orderBy("doc_id").collect(), rows))
 
 
+@pytest.mark.parametrize("flush", [1_000_000, 5_000])
+def test_language_counts_take_little_memory(monkeypatch, flush):
+    monkeypatch.setattr(langid, "FLUSH", flush)
+    texts = [" ".join(f"w{(k * 5_000 + i) % 250_000:06d}" for i in range(6_000)) for k in range(60)]
+    batches = [pa.record_batch({"lang": ["en", "de"] * 5, "text": texts[k:k + 10]}) for k in range(0, 60, 10)]
+    tracemalloc.start()
+    out = list(langid._count_words(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = Counter()
+    for b in out:
+        for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n"))):
+            total[lang, word] += n
+    assert total == Counter(("en" if k % 2 == 0 else "de", w) for k, t in enumerate(texts) for w in t.split())
+    assert flush < 1_000_000 or sum(b.num_rows for b in out) == len(total)
+    assert peak < 30_000_000
+
+
 def test_toxicity_sees_through_spelling(spark, odd, empty):
     rows = [(k, f"you are an idiot number {k}" if k % 4 == 0 else f"you are an honest number {k}") for k in range(400)]
     odd_spelling = [(1000, "what an 1d10t"), (1001, "i d i o t they said"), (1002, "idiiiiot!"), (1003, "i.d.i.o.t"), (1004, "a plain 10 day word"), (1005, None), (1006, "")]
