@@ -2,8 +2,8 @@
 
 Training counts every word of every labelled text by language, and n-grams of 1 to ``LONGEST`` characters from all words.  The model is two
 distributed tables of all words and all n-grams that occur at least ``LEAST`` times.  Their most frequent ``WORDS`` and ``GRAMS`` entries travel
-to the tasks; words that these cannot settle are gathered, scored once each by joins with the whole tables, and added to their texts'
-sums.  Scores are integers (``UNIT`` to 1), so sums don't depend on order or on what travels.  A known word scores its relative log frequency in each language, with a
+to the tasks; each occurrence of a word that these cannot settle is joined with the whole tables, and its score is added to its text's
+sum.  Scores are integers (``UNIT`` to 1), so sums don't depend on order or on what travels.  A known word scores its relative log frequency in each language, with a
 penalty below any frequency where a language never has it.  An unseen word, framed by blanks, is cut into n-grams of the
 longest order; if a model of that order knows any of them, their mean log frequency is the word's score, else the next shorter order is
 tried.  A text's score is the mean over its words.  The answer is the best language; its score is the
@@ -139,17 +139,21 @@ class Hot:
             if found:
                 return
 
+    def by_grams(self, word: str) -> np.ndarray | None:
+        """Score of a word that no table of words has; None where the whole table of n-grams is needed."""
+        for _, total, n, missing in self.parts(word):
+            if missing:
+                return None
+            if n:
+                return np.round(total / n)
+        return np.zeros(self.size)
+
     def score(self, word: str) -> np.ndarray | None:
         """None where the whole tables are needed."""
         k = self.words.get(word)
         if k is not None:
             return self.scores[k]
-        if not (self.all_words and self.all_grams):
-            return None
-        for _, total, n, _ in self.parts(word):
-            if n:
-                return np.round(total / n)
-        return np.zeros(self.size)
+        return self.by_grams(word) if self.all_words and self.all_grams else None
 
     def score_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of distinct words, and which are open; scores of words not in the table are kept, up to a bound."""
@@ -191,20 +195,25 @@ def train(docs: DataFrame) -> Model | None:
     """Learn from every row with a text and a lang."""
     counts = (docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text").mapInArrow(_count_words, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    counts = cut_lineage(counts)
+    counts = cut_lineage(counts, free_shuffles=True)
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
     langs = sorted(totals)
-    gram_counts = cut_lineage(counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    gram_counts = cut_lineage(counts.mapInArrow(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), free_shuffles=True)
     size = {(r.lang, r.size): r.n for r in gram_counts.groupBy("lang", F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()}
     of_size = (lambda k: F.element_at(F.array(*[F.lit(float(size.get((langs[k], n), 1))) for n in range(1, LONGEST + 1)]), F.length("word")))
     lowest = min(PENALTY, math.log(0.5 / max(*totals.values(), *size.values())))
-    return Model(langs, _scored(counts, langs, lambda k: F.lit(float(totals[langs[k]])), lowest), _scored(gram_counts, langs, of_size, lowest))
+    # The words are read twice; only those of the table are shuffled the second time, and the counts of all others can go.
+    words = cut_lineage(_scored(counts, langs, lambda k: F.lit(float(totals[langs[k]])), lowest), free_shuffles=True)
+    return Model(langs, words, _scored(gram_counts, langs, of_size, lowest))
+
 
+def settled(opened: DataFrame, model: Model, shared) -> DataFrame:
+    """_id, s0, s1, ... of each row of ``opened`` (_id, word), by the whole tables.
 
-def settled(words: DataFrame, model: Model, shared) -> DataFrame:
-    """word, s0, s1, ... of distinct words, by the whole tables."""
+    A row moves to its word's entry and its score moves on; only rows that ask for n-grams beyond ``shared`` go to those first.
+    """
     each = [f"s{k}" for k in range(len(model.langs))]
     types = ", ".join(f"{c} long" for c in each)
 
@@ -212,23 +221,49 @@ def settled(words: DataFrame, model: Model, shared) -> DataFrame:
         hot = shared.value
         hot.index()
         for b in batches:
-            scores = np.stack([np.asarray(b.column(c).fill_null(0)) for c in each], axis=1).astype(np.int64)
+            scores, new, words = _looked_up(b, each)
+            found = [hot.by_grams(w) for w in words.dictionary.to_pylist()]
+            code, is_open = np.asarray(words.indices), np.array([f is None for f in found], bool)
+            if len(code):
+                scores[new] = np.array([np.zeros(len(each)) if f is None else f for f in found])[code].astype(np.int64)
+            kept = np.ones(b.num_rows, bool)
+            kept[new] = ~is_open[code]
+            yield pa.RecordBatch.from_arrays([b.column("_id").filter(pa.array(kept)), *[pa.array(scores[kept, k]) for k in range(len(each))]], ["_id", *each])
+
+    def ask(batches):
+        hot = shared.value
+        hot.index()
+        for b in batches:
+            _, new, words = _looked_up(b, each)
             rows = []
-            for k, (word, known) in enumerate(zip(b.column("word").to_pylist(), b.column(each[0]).is_valid().to_pylist())):
-                rows += [(word, LONGEST + 1, scores[k], 1, [])] if known else [(word, *part) for part in hot.parts(word)]
-            total = np.array([r[2] for r in rows], np.int64).reshape(len(rows), len(each))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), *[pa.array(total[:, k]) for k in range(len(each))],
-                                              pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.string()))], ["word", "size", *each, "n", "missing"])
-
-    parts = words.join(model.words.drop("all"), "word", "left").mapInArrow(run, f"word string, size int, {types}, n long, missing array<string>")
-    if not shared.value.all_grams:
-        parts = cut_lineage(parts)
-        asked = parts.select(F.col("word").alias("of"), "size", F.explode("missing").alias("word"))
-        found = asked.join(model.grams, "word").select(F.col("of").alias("word"), "size", *[F.col(c).cast("long").alias(c) for c in each], F.lit(1).cast("long").alias("n"))
-        parts = parts.drop("missing").unionByName(found)
-    sums = parts.groupBy("word", "size").agg(*[F.sum(c).alias(c) for c in each], F.sum("n").alias("n"))
-    best = sums.groupBy("word").agg(F.max_by(F.struct(*each, "n"), F.when(F.col("n") > 0, F.col("size"))).alias("b"))
-    return best.select("word", *[F.coalesce(F.rint(F.col(f"b.{c}") / F.col("b.n")).cast("int"), F.lit(0)).alias(c) for c in each])
+            for i, word in zip(b.column("_id").take(pa.array(new)).to_pylist(), words.to_pylist()):
+                if hot.by_grams(word) is None:
+                    for size, total, n, missing in hot.parts(word):
+                        # What is found here has a key that no n-gram is as long as.
+                        rows.append((i, word, size, " " * LONGEST + word, total, n, 1))
+                        rows += [(i, word, size, g, np.zeros(len(each), np.int64), 0, 0) for g in missing]
+            total = np.array([r[4] for r in rows], np.int64).reshape(len(rows), len(each))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], t) for c, t in ((1, pa.string()), (2, pa.int32()), (3, pa.string()))],
+                                              *[pa.array(total[:, k]) for k in range(len(each))], *[pa.array([r[c] for r in rows], pa.int64()) for c in (5, 6)]], ["_id", "of", "size", "word", *each, "n", "times"])
+
+    # Both readers of this join take all its columns, so Spark shuffles it once.
+    joined = opened.join(model.words.drop("all"), "word", "left").select("_id", "word", *each)
+    direct = joined.mapInArrow(run, f"_id long, {types}")
+    if shared.value.all_grams:
+        return direct
+    asked = joined.mapInArrow(ask, f"_id long, of string, size int, word string, {types}, n long, times long")
+    found = asked.join(model.grams.select("word", *[F.col(c).alias(f"g_{c}") for c in each]), "word", "left")
+    # A word that a text repeats has its sums and numbers repeated, which leaves their quotient as it is.
+    sums = found.groupBy("_id", "of", "size").agg(*[F.sum(F.col(c) + F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in each], F.sum(F.col("n") + F.col(f"g_{each[0]}").isNotNull().cast("long")).alias("n"), F.sum("times").alias("times"))
+    best = sums.groupBy("_id", "of").agg(F.max_by(F.struct(*each, "n"), F.when(F.col("n") > 0, F.col("size"))).alias("b"), F.max("times").alias("times"))
+    return direct.unionByName(best.select("_id", *[(F.coalesce(F.rint(F.col(f"b.{c}") / F.col("b.n")).cast("long"), F.lit(0)) * F.col("times")).alias(c) for c in each]))
+
+
+def _looked_up(b: pa.RecordBatch, each: list[str]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Scores by the table of words, the rows that have none, and the words of these."""
+    scores = np.stack([np.asarray(b.column(c).fill_null(0)) for c in each], axis=1).astype(np.int64)
+    new = np.flatnonzero(np.asarray(b.column(each[0]).is_null()))
+    return scores, new, b.column("word").take(pa.array(new)).dictionary_encode()
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -265,10 +300,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     model_langs, types = model.langs, ", ".join(f"{c} long" for c in each)
     first = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(summed, f"{fields}, {types}, _n long, _open string")
     if not (model.hot.all_words and model.hot.all_grams):
-        first = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()))
+        first = cut_lineage(first.withColumn("_id", F.monotonically_increasing_id()), free_shuffles=True)
         opened = first.where("_open <> ''").select("_id", F.explode(F.split("_open", " ")).alias("word"))
-        scored = settled(opened.select("word").distinct(), model, shared)
-        added = opened.join(scored, "word").drop("word").repartition("_id").groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"a{k}") for k in range(len(each))])
+        added = settled(opened, model, shared).repartition("_id").groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"a{k}") for k in range(len(each))])
         first = first.drop("_open").join(added, "_id", "left").select(*[F.col(f"`{c}`") for c in keep], *[(F.col(c) + F.coalesce(f"a{k}", F.lit(0))).alias(c) for k, c in enumerate(each)], "_n")
     else:
         first = first.drop("_open")
@@ -288,7 +322,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     names = ["hash_a", "hash_b"]
     key = [F.xxhash64("text").alias(names[0]), F.xxhash64(F.lit(1), "text").alias(names[1])]
     answers = predict(docs.select(*key, "text"), model, names)
-    gone = cut_lineage(answers.where(F.col("lang_pred") == UNKNOWN).select(*names).distinct())
+    gone = cut_lineage(answers.where(F.col("lang_pred") == UNKNOWN).select(*names).distinct(), free_shuffles=True)
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
     return rows.join(gone, names, "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 import hashlib
 import html
 import itertools
+import pathlib
 import re
 import tracemalloc
 import zlib
@@ -360,6 +361,35 @@ def test_language_model_is_whole_whatever_travels(spark, odd, monkeypatch):
     assert all(r.lang_pred == lang for r, (_, _, lang) in zip(langid.identify(docs).where("doc_id < 300").orderBy("doc_id").collect(), rows))
 
 
+def test_language_moves_open_words_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(langid, "WORDS", 50)
+    monkeypatch.setattr(langid, "GRAMS", 4_000)
+    r = np.random.default_rng(3)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+    texts = [" ".join("".join(parts[i] for i in r.integers(0, 12, 5)) for _ in range(60)) for _ in range(4_000)]
+    spark.createDataFrame([(k, t, ("en", "de")[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = (lambda: {f: f.stat().st_size for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")})
+    earlier, whole = set(files()), sum(map(len, texts))
+    new = (lambda: sum(n for f, n in files().items() if f not in earlier) / whole)
+    out = langid.identify(spark.read.parquet(f"{tmp_path}/docs"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    first = new()
+    assert out.write.parquet(f"{tmp_path}/out") is None and spark.read.parquet(f"{tmp_path}/out").count() == len(texts)
+    assert first < 0.2 and new() < 1.5
+
+
+def test_language_repeated_words_count_each_time(spark, monkeypatch):
+    rows = [(k, ("the cat and the dog", "der hund und die katze")[k % 2], ("en", "de")[k % 2]) for k in range(40)]
+    rows += [(100, "hunde hunde hunde catz dogg", None), (101, "hunde catz dogg catz dogg catz", None), (102, "qqq qqq catz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(map(tuple, langid.identify(docs).collect()))
+    monkeypatch.setattr(langid, "WORDS", 1)
+    for most in (langid.GRAMS, 3, 0):
+        monkeypatch.setattr(langid, "GRAMS", most)
+        assert sorted(map(tuple, langid.identify(docs).collect())) == whole
+
+
 @pytest.mark.parametrize("flush", [1_000_000, 5_000])
 def test_language_counts_take_little_memory(monkeypatch, flush):
     monkeypatch.setattr(langid, "FLUSH", flush)
