@@ -178,6 +178,36 @@ def test_texts_become_sets_four_times(spark, monkeypatch):
     assert len(passes) == 4
 
 
+def test_jaccard_drops_its_shuffle_files(spark):
+    import time
+    rows = spark.createDataFrame(near_copies(8), "doc_id long, text string").repartition(3)
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n.split("_")[1] for k in range(found.size()) if (n := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    out = jaccard.jaccard_components(rows)
+    until = time.time() + 10
+    while len(left := files() - before) > 1 and time.time() < until:  # the last one, of the components, may stay
+        time.sleep(0.2)
+    assert len(left) <= 1, sorted(left)
+    assert out.count() == len(near_copies(8))
+
+
+def test_lean_batches_are_small(spark):
+    from pyspark.sql import functions as F
+    from pulsegrid.session import cut_lineage
+    rows = spark.range(0, 48, 1, 1).select(F.expr("repeat('x', 1000000)").alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    sizes = [r.n for r in cut_lineage(rows.mapInArrow(size, "n long"), free_shuffles=True).collect()]
+    assert max(sizes) < 12_000_000 and sum(sizes) > 47_000_000
+
+
 def test_buckets_count_links_inside_components():
     import numpy as np
     import pandas as pd
