@@ -15,7 +15,7 @@ from .geometry import propeller_columns, sweep_velocity
 from .movers import derived_extent_range
 from .quantiles import counted_quantiles, exact_quantiles
 from .rotation import revolution_asof, rotation_period, world_azimuth
-from .trackers import link_tracks
+from .trackers import link_tracks, pass_tracks
 from .tracks import fuse_split_cells, strongest_cell, template_match
 
 
@@ -105,31 +105,35 @@ def ladder_signature(ev: DataFrame, keys: list[str], sweep: DataFrame | None = N
             .select(*keys, "n_events", "drift_px_s", "gappiness", "step_px", "blade_hz", "comb_strength", "in_band", "detected")
 
 
-def accumulate_comb(ev: DataFrame, keys: list[str], pass_key: str, sweep_px_s: float, f_lo: float = 80.0,
+def accumulate_comb(ev: DataFrame, keys: list[str], pass_key: str, sweep: float | DataFrame, f_lo: float = 80.0,
                     f_hi: float = 1500.0, bin_px: float = 1.0, n_lag: int | None = None, min_events: int = 60) -> DataFrame:
     """Mean of the passes' autocorrelations (missing lags count as 0), smallest strong peak.
 
+    ``sweep`` is the sweep velocity, or that of each recording (rec_id, sweep_px_s; ``keys`` has rec_id then).
     All lags of the band are used; ``n_lag`` limits them if given.
     """
-    v = abs(sweep_px_s)
     h = sweep_histogram(ev, [*keys, pass_key], min_events, bin_px).where("acf IS NOT NULL")
     used = h.groupBy(*keys).agg(F.count("*").alias("n_passes"))
     lags = F.col("acf") if n_lag is None else F.slice("acf", 1, n_lag)
     acc = (h.select(*keys, F.posexplode(lags).alias("lag", "v")).groupBy(*keys, "lag")
            .agg(F.sum("v").alias("v")).join(used, keys).withColumn("v", F.col("v") / F.col("n_passes")))
     g = acc.groupBy(*keys, "n_passes").agg(F.map_from_entries(F.collect_list(F.struct("lag", "v"))).alias("m"))
+    if isinstance(sweep, DataFrame):
+        g = g.join(sweep.select("rec_id", F.abs("sweep_px_s").alias("_v")).where("_v > 0"), "rec_id")
+    else:
+        g = g.withColumn("_v", F.lit(float(abs(sweep))))
     at = lambda l: F.coalesce(F.element_at("m", l), F.lit(0.0))
-    lo = max(int(round(v / f_hi / bin_px)), 2)
-    hi = int(round(v / f_lo / bin_px))
-    hi = hi if n_lag is None else min(hi, n_lag - 2)
-    if hi <= lo:
-        return g.select(*keys, "n_passes", F.lit(None).cast("double").alias("blade_hz"), F.lit(0.0).alias("comb_strength"))
-    peaks = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda l: (at(l) > 0) & (at(l) >= at(l - 1)) & (at(l) >= at(l + 1)))
-    g = g.withColumn("_p", peaks)
+    v = F.col("_v")
+    g = g.withColumn("_lo", F.greatest(F.rint(v / f_hi / bin_px), F.lit(2.0)).cast("int")).withColumn("_hi", F.rint(v / f_lo / bin_px).cast("int"))
+    if n_lag is not None:
+        g = g.withColumn("_hi", F.least("_hi", F.lit(n_lag - 2)))
+    lags = F.when(F.col("_hi") > F.col("_lo"), F.sequence("_lo", F.greatest("_lo", "_hi")))
+    g = g.withColumn("_p", F.filter(lags, lambda l: (at(l) > 0) & (at(l) >= at(l - 1)) & (at(l) >= at(l + 1))))
     top = F.array_max(F.transform("_p", at))
     best = F.array_min(F.filter("_p", lambda l: at(l) >= 0.6 * top))
-    return g.withColumn("_b", best).select(*keys, "n_passes", F.round(v / (F.col("_b") * bin_px), 1).alias("blade_hz"),
-                                           F.coalesce(F.round(at(F.col("_b")), 3), F.lit(0.0)).alias("comb_strength"))
+    g = g.withColumn("_b", best)
+    return g.select(*keys, "n_passes", F.round(v / (F.col("_b") * bin_px), 1).alias("blade_hz"),
+                    F.coalesce(F.round(at(F.col("_b")), 3), F.lit(0.0)).alias("comb_strength"))
 
 
 def track_ladders(passes: DataFrame, keys: list[str], period: DataFrame) -> DataFrame:
@@ -155,11 +159,11 @@ def scan_cells(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float,
         "bin", F.least(F.floor(F.col("az") / bin_deg), F.lit(nb - 1)))
 
 
-def scan_rotation(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float, width: int, height: int,
-                  f_lo: float = 80.0, f_hi: float = 800.0, bin_deg: float = 4.0, min_events: int = 150,
-                  blade_tol: float = 0.15, target_m: float = 0.0, template_hz: float | None = None,
-                  strength: float = 0.2, n_blades: int = 2) -> DataFrame:
-    """Survey of every (revolution, azimuth) cell: ladder, geometry, merged passes, template match."""
+def _survey(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float, width: int, height: int,
+            f_lo: float = 80.0, f_hi: float = 800.0, bin_deg: float = 4.0, min_events: int = 150,
+            blade_tol: float = 0.15, target_m: float = 0.0, template_hz: float | None = None,
+            strength: float = 0.2, n_blades: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The events with their cells, the sweep velocities, the tested cells, and the merged passes with their template match."""
     key = ["rec_id", "rev", "bin"]
     e = cut_lineage(scan_cells(ev, tel, pulses, fov_deg, width, bin_deg))
     sweep = sweep_velocity(rotation_period(pulses), fov_deg, width)
@@ -173,7 +177,31 @@ def scan_rotation(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: flo
     d = cut_lineage(propeller_columns(d, "blade_hz", n_blades))
     tmpl = strongest_cell(d, ["rec_id"]).select("rec_id", "template_hz") if template_hz is None else \
         d.select("rec_id").distinct().withColumn("template_hz", F.lit(template_hz))
-    return template_match(fuse_split_cells(d, ["rec_id", "rev"], bin_deg), tmpl, ["rec_id"], blade_tol)
+    return e, sweep, d, template_match(fuse_split_cells(d, ["rec_id", "rev"], bin_deg), tmpl, ["rec_id"], blade_tol)
+
+
+def scan_passes(*args, **options) -> DataFrame:
+    """Every (revolution, azimuth) cell: ladder, geometry, merged passes, template match (parameters of :func:`_survey`)."""
+    return _survey(*args, **options)[-1]
+
+
+def scan_rotation(ev: DataFrame, tel: DataFrame, pulses: DataFrame, fov_deg: float, width: int, height: int,
+                  f_lo: float = 80.0, f_hi: float = 800.0, *cells, gate_deg: float = 6.0, min_passes: int = 2, **options) -> DataFrame:
+    """Survey of every (revolution, azimuth) cell: the passes of :func:`scan_passes`, the track that links each matched pass
+    across revolutions, and the blade rate of all matched passes of a recording together (``accumulated_``; null under two passes).
+
+    A merged pass takes part in the accumulation with the events of its strongest cell, if that is detected itself.
+    """
+    e, sweep, tested, out = _survey(ev, tel, pulses, fov_deg, width, height, f_lo, f_hi, *cells, **options)
+    key = ["rec_id", "rev", "bin"]
+    out = cut_lineage(out)
+    hits = out.where("matches_template")
+    out = out.join(pass_tracks(hits, rotation_period(pulses), gate_deg, min_passes), ["rec_id", "rev", "bearing_deg", "matches_template"], "left")
+    passes = cut_lineage(hits.join(tested.where("detected").select(*key), key, "left_semi").select(*key))
+    several = passes.groupBy("rec_id").agg(F.count("*").alias("_n")).where("_n >= 2")
+    seen = e.join(small(passes), key, "left_semi").withColumn("pass", F.col("rev") * 100_000 + F.col("bin"))
+    comb = accumulate_comb(seen, ["rec_id"], "pass", sweep, f_lo, f_hi).where("blade_hz IS NOT NULL").join(several, "rec_id", "left_semi")
+    return out.join(comb.select("rec_id", F.col("blade_hz").alias("accumulated_blade_hz"), F.col("comb_strength").alias("accumulated_comb_strength")), "rec_id", "left")
 
 
 def scan_tracks(dets: DataFrame, pulses: DataFrame, gate_deg: float = 6.0, min_passes: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import US
 from .folds import fold
@@ -372,13 +372,8 @@ class BearingLines:
         return list(zip(hit[:, 0].astype(int).tolist(), hit[:, 4].tolist()))
 
 
-def link_tracks(dets: DataFrame, period: DataFrame, gate_deg: float = 6.0, init_gate_deg: float | None = None,
-                min_passes: int = 2, strength: str = "comb_strength", max_silent: int = 1000) -> DataFrame:
-    """Link detections across revolutions with a predicted bearing; slope per revolution = motion.
-
-    ``dets`` has rec_id, rev, bearing_deg, blade_hz, range_m and the strength column; ``period`` has
-    rec_id, period_s.  A track without a pass for ``max_silent`` revolutions leaves the state.
-    """
+def _linked(dets: DataFrame, gate_deg: float, init_gate_deg: float | None, strength: str, max_silent: int) -> DataFrame:
+    """The detections with the number of their track and the track's slope so far."""
     def make():
         live = BearingLines(gate_deg, 3.0 * gate_deg if init_gate_deg is None else init_gate_deg, max_silent)
 
@@ -390,7 +385,26 @@ def link_tracks(dets: DataFrame, period: DataFrame, gate_deg: float = 6.0, init_
 
     d = dets.select("rec_id", F.col("rev").alias("step"), "bearing_deg", "blade_hz", "range_m",
                     (-F.col(strength)).alias("rank"))
-    rows = fold(_closed(d, ["rec_id"]), ["rec_id"], ["last", "step", "rank", "bearing_deg"], ROTOR_SCHEMA, make)
+    return fold(_closed(d, ["rec_id"]), ["rec_id"], ["last", "step", "rank", "bearing_deg"], ROTOR_SCHEMA, make)
+
+
+def pass_tracks(dets: DataFrame, period: DataFrame, gate_deg: float = 6.0, min_passes: int = 2) -> DataFrame:
+    """Matched detections of tracks of ``min_passes`` or more: track_id, n_passes, offset_per_rev_deg and omega_deg_s of their track."""
+    w = Window.partitionBy("rec_id", "track_id")
+    rows = _linked(dets, gate_deg, None, "comb_strength", 1000)
+    rows = rows.withColumns({"n_passes": F.count("*").over(w), "offset_per_rev_deg": F.max_by("offset_deg", "rev").over(w)}).where(F.col("n_passes") >= min_passes)
+    omega = F.coalesce(F.col("offset_per_rev_deg") / F.col("period_s"), F.lit(0.0)).alias("omega_deg_s")
+    return rows.join(period, "rec_id", "left").select("rec_id", "rev", "bearing_deg", F.lit(True).alias("matches_template"), "track_id", "n_passes", "offset_per_rev_deg", omega)
+
+
+def link_tracks(dets: DataFrame, period: DataFrame, gate_deg: float = 6.0, init_gate_deg: float | None = None,
+                min_passes: int = 2, strength: str = "comb_strength", max_silent: int = 1000) -> DataFrame:
+    """Link detections across revolutions with a predicted bearing; slope per revolution = motion.
+
+    ``dets`` has rec_id, rev, bearing_deg, blade_hz, range_m and the strength column; ``period`` has
+    rec_id, period_s.  A track without a pass for ``max_silent`` revolutions leaves the state.
+    """
+    rows = _linked(dets, gate_deg, init_gate_deg, strength, max_silent)
     g = rows.groupBy("rec_id", "track_id").agg(
         F.count("*").alias("n_passes"), F.median("bearing_deg").alias("bearing_deg"), F.median("blade_hz").alias("median_blade_hz"),
         F.stddev_pop("blade_hz").alias("_sd"), F.count("blade_hz").alias("_nf"), F.median("range_m").alias("range_m"),

@@ -75,13 +75,13 @@ def accumulate_comb(v):
     return ld.accumulate_comb(e, ["rec_id"], "rev", 230.4, 10.0, 80.0)
 
 
-def scan(v):
-    return ld.scan_rotation(v.px_events, v.telemetry, v.pulses, 50.0, 32, 32, 10.0, 80.0, 30.0, 12, 0.15, 0.2)
+def scan(v, survey=ld.scan_passes, **options):
+    return survey(v.px_events, v.telemetry, v.pulses, 50.0, 32, 32, 10.0, 80.0, 30.0, 12, 0.15, 0.2, **options)
 
 
-@query("rec_id rev:l cluster:l bin:l bearing_deg:d4 blade_hz:d1 n_events:l range_m:d4 rpm:d1 matches_template:b")
+@query("rec_id rev:l cluster:l bin:l bearing_deg:d4 blade_hz:d1 n_events:l range_m:d4 rpm:d1 matches_template:b template_hz:d1 track_id:l n_passes:l omega_deg_s:d3 accumulated_blade_hz:d1 accumulated_comb_strength:d3")
 def scan_rotation(v):
-    return scan(v)
+    return scan(v, ld.scan_rotation, gate_deg=10.0)
 
 
 @query("rec_id track_id:l n_passes:l bearing_deg:d3 median_blade_hz:d1 omega_deg_s:d3")

@@ -78,6 +78,53 @@ def test_accumulated_comb_over_passes(events):
     assert c.n_passes == 4 and abs(c.blade_hz - f) < 0.1 * f
 
 
+def test_survey_links_passes_and_accumulates_their_comb(spark):
+    """The tracks are those of link_tracks; the accumulated rate is that of a plain mean of the passes' autocorrelations."""
+    from pulsegrid.plans import fusion_catalog as cat
+    from pulsegrid.plans.views import Views
+    v = Views(spark, "/root/testdata/sf0.1")
+    rows = cat.scan(v, ld.scan_rotation, gate_deg=10.0).toPandas()
+    tracks = ld.scan_tracks(cat.scan(v), v.pulses, 10.0).toPandas().set_index(["rec_id", "track_id"])
+    on = rows[rows.track_id.notna()].groupby(["rec_id", "track_id"])
+    assert len(on) == len(tracks) > 0 and not rows[~rows.matches_template].track_id.notna().any()
+    for k, g in on:
+        assert len(g) == g.n_passes.iloc[0] == tracks.n_passes[k] and np.allclose(g.omega_deg_s, tracks.omega_deg_s[k])
+    tested = ld._survey(v.px_events, v.telemetry, v.pulses, 50.0, 32, 32, 10.0, 80.0, 30.0, 12, 0.15, 0.2)[2].where("detected").select("rec_id", "rev", "bin")
+    tested = {tuple(r) for r in tested.collect()}
+    e = ld.scan_cells(v.px_events, v.telemetry, v.pulses, 50.0, 32, 30.0).select("rec_id", "rev", "bin", "x").toPandas().groupby(["rec_id", "rev", "bin"]).x
+    sweep = {r.rec_id: abs(r.sweep_px_s) for r in ld.sweep_velocity(ld.rotation_period(v.pulses), 50.0, 32).collect()}
+    for rec, g in rows.groupby("rec_id"):
+        xs = [e.get_group(k).to_numpy(float) for k in g[g.matches_template][["rec_id", "rev", "bin"]].itertuples(index=False, name=None) if k in tested]
+        acc, used = np.zeros(4000), 0
+        for x in xs:
+            lo, hi = np.percentile(x, [0.5, 99.5])
+            if len(x) >= 60 and hi - lo >= 3:
+                h = np.histogram(x, bins=max(int(hi - lo), 8), range=(lo, hi))[0].astype(float)
+                a = np.correlate(h - h.mean(), h - h.mean(), "full")[len(h) - 1:]
+                if a[0] > 0:
+                    acc[:len(a)] += a / a[0]
+                    used += 1
+        acc = np.round(acc / max(used, 1), 9)
+        lags = range(max(round(sweep[rec] / 80), 2), round(sweep[rec] / 10) + 1)
+        peaks = [k for k in lags if acc[k] > 0 and acc[k] >= acc[k - 1] and acc[k] >= acc[k + 1]] if len(xs) >= 2 and used else []
+        want = round(sweep[rec] / min(k for k in peaks if acc[k] >= 0.6 * max(acc[peaks])), 1) if peaks else None
+        got = g.accumulated_blade_hz.iloc[0]
+        assert (np.isnan(got) if want is None else abs(got - want) < 0.11), (rec, got, want, len(xs), used)
+    assert rows.accumulated_blade_hz.notna().any()
+
+
+def test_accumulated_comb_takes_each_recordings_sweep(spark, events):
+    r = np.random.default_rng(3)
+    k = np.repeat(np.arange(22), 12)
+    x = np.concatenate([np.round(12 * k + r.uniform(0, 12) + r.normal(0, 0.6, len(k))).astype(int) for _ in range(4)])
+    e = events(x, 0, np.arange(len(x))).withColumn("pass", F.floor(F.col("seq") / len(k)))
+    both = e.unionByName(e.withColumn("rec_id", F.lit("s")))
+    sweep = spark.createDataFrame([("r", -1800.0), ("s", 3600.0)], "rec_id string, sweep_px_s double")
+    got = {c.rec_id: c.blade_hz for c in ld.accumulate_comb(both, ["rec_id"], "pass", sweep).collect()}
+    assert got["r"] == ld.accumulate_comb(e, ["rec_id"], "pass", 1800.0).first().blade_hz
+    assert got["s"] == ld.accumulate_comb(e, ["rec_id"], "pass", 3600.0).first().blade_hz
+
+
 def test_fixed_bearing_is_recovered_per_revolution(spark, events):
     """A source at 200 deg seen by a sensor turning at 360 deg/s with a 50 deg field of view."""
     tel = spark.createDataFrame([("r", k * 10_000, (3.6 * k) % 360.0) for k in range(502)], "rec_id string, t long, azimuth double")
