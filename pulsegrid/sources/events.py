@@ -298,7 +298,7 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
 def source_facts(ev: DataFrame, config: dict[str, object], manifest: DataFrame | None = None) -> DataFrame:
     """Geometry, counts, duration and the run configuration (as JSON) per recording.
 
-    With the manifest of an ingested table also what was read: size, time of change, encoding and digest of the source.
+    With the manifest of an ingested table also what was read: path, size, time of change, encoding, digest and SHA-256 of the source.
     """
     conf = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in config.items()]))
     facts = ev.groupBy("rec_id").agg(
@@ -307,4 +307,4 @@ def source_facts(ev: DataFrame, config: dict[str, object], manifest: DataFrame |
         .withColumn("config", conf)
     if manifest is None:
         return facts
-    return facts.join(manifest.select("rec_id", "bytes", "modified_us", "fmt", "n_words", "digest"), "rec_id", "left")
+    return facts.join(manifest.select("rec_id", "path", "bytes", "modified_us", "fmt", "n_words", "digest", "sha256"), "rec_id", "left")

@@ -38,7 +38,7 @@ def write_event_table(ev: DataFrame, path: str, bucket_us: int = CHUNK_US) -> No
 
 # ------------------------------------------------------------------ incremental ingest
 #: A line of the manifest: a recording, what its source was when it was read, and where its events are.
-MANIFEST = "rec_id string, path string, bytes long, modified_us long, fmt string, width int, height int, n_words long, digest string, generation int"
+MANIFEST = "rec_id string, path string, bytes long, modified_us long, fmt string, width int, height int, n_words long, digest string, generation int, sha256 string"
 
 
 def manifest_versions(path: str) -> list[int]:
@@ -60,13 +60,14 @@ def ingest_folder(spark: SparkSession, source: str, path: str, bucket_us: int =
     A recording is read if the manifest does not have it with the same size and time of change.  Its events go to the folder of a
     new generation, and the manifest that names it is written last: readers follow the newest whole manifest, so they see all of an
     ingest or nothing of it, and one that was cut short leaves only a folder that no manifest names.  Recordings whose source is
-    gone leave the manifest.  The digest sums a hash of every word and its place, whatever the ranges a file was read in.
+    gone leave the manifest.  The digest sums a hash of every word and its place, whatever the ranges a file was read in; sha256 is
+    that of the whole file.  Recordings of older manifests, which have none, are read again.
     """
     version = max(manifest_versions(path), default=0) + 1
     old = cut_lineage(read_manifest(spark, path))
     heads = cut_lineage(raw.read_headers(spark, source, options.get("pattern")))
     same = ["rec_id", "bytes", "modified_us"]
-    names = [r.rec_id for r in heads.join(old.select(*same), same, "left_anti").select("rec_id").collect()]
+    names = [r.rec_id for r in heads.join(old.where("sha256 IS NOT NULL").select(*same), same, "left_anti").select("rec_id").collect()]
     kept = old.join(heads.select("rec_id"), "rec_id", "left_semi").where(~F.col("rec_id").isin(names) if names else F.lit(True))
     if names:
         words = raw.read_words(spark, source, names=names, **options)
@@ -75,7 +76,8 @@ def ingest_folder(spark: SparkSession, source: str, path: str, bucket_us: int =
         ev = union_all(*[events.decode_words(raw.read_words(spark, source, names=names, fmt=f, **options), f) for f in raw.WORDS])
         numbered = events.number_events(ev.withColumn("_order", F.col("word_idx") * 64 + F.col("bit")), "_order")
         write_event_table(numbered, f"{path}/data/generation={version}", bucket_us)
-        new = heads.where(F.col("rec_id").isin(names)).join(facts, "rec_id", "left").withColumn("generation", F.lit(version))
+        read = heads.where(F.col("rec_id").isin(names))
+        new = read.join(facts, "rec_id", "left").join(raw.file_hashes(read, source), "rec_id", "left").withColumn("generation", F.lit(version))
         kept = kept.unionByName(new.select(*kept.columns))
     kept.coalesce(1).write.parquet(f"{path}/manifest/v={version}")
     return names

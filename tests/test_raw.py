@@ -93,6 +93,27 @@ def test_only_changed_recordings_are_read_again(spark, tmp_path):
     assert now["a.raw"] == first["a.raw"] and now["b.raw"] != first["b.raw"]
 
 
+def test_source_facts_have_the_hash_of_the_whole_file(spark, tmp_path, monkeypatch):
+    import hashlib
+    from pyspark.sql import functions as F
+    from pulsegrid.sources import sinks
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    for name, n in (("a.raw", 5), ("b.raw", 200_000)):                    # header and payload, in one block and in several
+        put(source, name, "% format EVT21\n", evt21(range(0, n * 64, 64), [k % 30 for k in range(n)], [k % 20 for k in range(n)], [1] * n).tobytes())
+    sinks.ingest_folder(spark, str(source), table)
+
+    def facts():
+        return {r.rec_id: r for r in src.source_facts(sinks.read_ingested(spark, table), {"mode": "x"}, sinks.read_manifest(spark, table)).collect()}
+
+    got = facts()
+    assert got["b.raw"].bytes > 1 << 20 and got["b.raw"].events == 200_000
+    for name in ("a.raw", "b.raw"):
+        assert got[name].sha256 == hashlib.sha256((source / name).read_bytes()).hexdigest() and got[name].path == str(source / name)
+    old = sinks.read_manifest(spark, table).withColumn("sha256", F.when(F.col("rec_id") != "a.raw", F.col("sha256")))
+    old.coalesce(1).write.parquet(f"{table}/manifest/v=5")                # a line without the hash, as older manifests have
+    assert sinks.ingest_folder(spark, str(source), table) == ["a.raw"] and facts()["a.raw"].sha256 == got["a.raw"].sha256
+
+
 def test_files_are_streamed(spark, tmp_path):
     """Files longer than a batch, and several files in one batch, are written whole and in order."""
     from pyspark.sql import functions as F
